@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, packing, pii, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_packing": packing.op3_packing,
+        "op7_pii": pii.op7_pii,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
     }
 
