@@ -27,15 +27,38 @@ from .common import as_bytes, read, saved
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 8_000
-#: Words used as features, at most; chosen by how far their document rates differ between the classes.
+#: Words and word beginnings used as features, at most; chosen by how far their document rates differ between the classes.
 FEATURES = 2_048
 GRADES = 3
 PENALTY = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _bag(text: bytes) -> Counter:
-    return Counter(_WORD.findall(text.decode("utf-8", "replace").lower()))
+#: Lengths of word beginnings that are features too; inflected words share them.
+STEMS = (4, 5, 6, 7)
+
+
+def _names(word: str) -> list[str]:
+    """The features a word counts for: itself and its beginnings."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)]
+
+
+def _values(words: Counter, names) -> dict:
+    """Feature values of a text: log(1 + count) for words, log(1 + count in 1,000 words) for beginnings.
+
+    ``names`` gives (feature, is a beginning) pairs of a word.
+    """
+    sums: Counter = Counter()
+    for word, n in words.items():
+        for name in names(word):
+            sums[name] += n
+    rate = 1000 / (words.total() + 20)
+    return {f: math.log1p(n * rate if f[1] else n) for f, n in sums.items()}
+
+
+def _bag(text: bytes) -> dict[str, float]:
+    words = Counter(_WORD.findall(text.decode("utf-8", "replace").lower()))
+    return {f[0]: x for f, x in _values(words, lambda w: [(n, n[-1] == "*") for n in _names(w)]).items()}
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -91,11 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_bag(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["id", "grade", "w", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.float64()))], names=["id", "grade", "w", "c"])
 
     # The sample is at most ``sample`` ids, so it can go to every task.
     chosen = docs.join(F.broadcast(marks), docs["doc_id"] == marks["_id"]).select("_id", "grade", as_bytes("text").alias("t")).dropDuplicates(["_id"])
-    chosen = saved(chosen.mapInArrow(bags, "id long, grade int, w array<string>, c array<int>"), "labelled")
+    chosen = saved(chosen.mapInArrow(bags, "id long, grade int, w array<string>, c array<double>"), "labelled")
     n = {r["toxic"]: r["n"] for r in chosen.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1:
@@ -106,19 +129,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     top = rates.filter("a + b >= 3").withColumn("z", z).orderBy(F.abs("z").desc(), "word").limit(FEATURES).collect()
     words = {r["word"]: i for i, r in enumerate(top)}
     strong = {r["word"] for r in top if r["z"] > 4}
-    keep = F.array(*[F.lit(x) for x in words]) if words else F.array().cast("array<string>")
-    # One row for each labelled document, cut to the chosen words: bounded by ``sample``.
-    data = chosen.select("grade", F.filter(F.arrays_zip("w", "c"), lambda x: F.array_contains(keep, x["w"])).alias("x")).collect() if len(words) < 64 else None
-    if data is None:
-        keep_frame = chosen.sparkSession.createDataFrame([(w, i) for w, i in words.items()], "word string, at int")
-        pairs = chosen.select("id", "grade", F.explode(F.arrays_zip("w", "c")).alias("x")).join(F.broadcast(keep_frame), F.col("x.w") == F.col("word"))
-        data = chosen.select("id", "grade").join(pairs.groupBy("id").agg(F.collect_list(F.struct("x.w", "x.c")).alias("x")), "id", "left").select("grade", F.coalesce("x", F.array().cast("array<struct<w:string,c:int>>")).alias("x")).collect()
+    # One row for each labelled document, cut to the chosen features: bounded by ``sample``.
+    chosen_words = chosen.sparkSession.createDataFrame(list(words.items()), "word string, at int")
+    pairs = chosen.select("id", "grade", F.explode(F.arrays_zip("w", "c")).alias("x")).join(F.broadcast(chosen_words), F.col("x.w") == F.col("word"))
+    gathered = pairs.groupBy("id").agg(F.collect_list(F.struct("x.w", "x.c")).alias("x"))
+    data = chosen.select("id", "grade").join(gathered, "id", "left").select("grade", F.coalesce("x", F.array().cast("array<struct<w:string,c:double>>")).alias("x")).orderBy("id").collect()
     rows = np.array([i for i, r in enumerate(data) for _ in r["x"]], dtype=np.int64)
     cols = np.array([words[x["w"]] for r in data for x in r["x"]], dtype=np.int64)
-    values = np.log1p(np.array([x["c"] for r in data for x in r["x"]], dtype=np.float64))
+    values = np.array([x["c"] for r in data for x in r["x"]], dtype=np.float64)
     grade = np.array([r["grade"] for r in data], dtype=np.int64)
     if grade.max() == 1:
-        evidence = np.array([sum(math.log1p(x["c"]) for x in r["x"] if x["w"] in strong) for r in data])
+        evidence = np.array([sum(x["c"] for x in r["x"] if x["w"] in strong) for r in data])
         edges = np.quantile(evidence[grade > 0], np.arange(1, GRADES) / GRADES)
         grade = np.where(grade > 0, 1 + np.searchsorted(edges, evidence, side="left"), 0)
     weights, cuts = fit_ordinal(rows, cols, values, grade, len(words), int(grade.max()) + 1)
@@ -131,11 +152,20 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
     word_at, weights = model.words, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple[int, bool]]] = {}
+
+        def names(word: str) -> list[tuple[int, bool]]:
+            if word not in known:
+                if len(known) > 500_000:  # a bounded memo, not a limit on what is read
+                    known.clear()
+                known[word] = [(word_at[n], n[-1] == "*") for n in _names(word) if n in word_at]
+            return known[word]
+
         for batch in batches:
             sums = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                hits = Counter([w for w in _WORD.findall(text.as_py().decode("utf-8", "replace").lower()) if w in word_at])
-                sums[i] = math.fsum(weights[word_at[w]] * math.log1p(c) for w, c in hits.items())
+                got = _values(Counter(_WORD.findall(text.as_py().decode("utf-8", "replace").lower())), names)
+                sums[i] = math.fsum(weights[f[0]] * x for f, x in got.items())
             chance = model.chances(sums)
             expected = chance @ np.arange(chance.shape[1])
             p = 1 - chance[:, 0]
