@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = 4 << 20) -
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
