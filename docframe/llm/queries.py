@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, simhash, toxicity
+from . import mixing, packing, pii, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substrings": substrings.op1_substrings,
         "op3_packing": packing.op3_packing,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
@@ -20,4 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substrings": substrings.OP1_SQL,
+    }
