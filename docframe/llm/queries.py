@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, simhash, substrings, toxicity
+from . import language_model, mixing, packing, pii, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substrings": substrings.op1_substrings,
+        "op2_language_model": language_model.op2_language_model,
         "op3_packing": packing.op3_packing,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,

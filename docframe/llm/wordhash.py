@@ -36,7 +36,7 @@ def spans(prefix: np.ndarray, down: np.ndarray, start: np.ndarray | slice, stop:
 
 
 class Words:
-    """Words of many texts: hash, text number, and each text's first word and number of words."""
+    """Words of many texts: hash, length and last byte, text number; each text's first word and number of words."""
 
     def __init__(self, texts: list[bytes]) -> None:
         data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8) if texts else np.zeros(0, dtype=np.uint8)
@@ -47,6 +47,7 @@ class Words:
         prefix = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * up[:-1], out=prefix[1:])
         self.hash = mix(spans(prefix, down, start, stop) ^ (stop - start).astype(np.uint64))
+        self.size, self.last = stop - start, data[stop - 1] if len(stop) else np.zeros(0, dtype=np.uint8)
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         at = np.searchsorted(start, offsets)
         self.first, self.count = at[:-1], np.diff(at)
