@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mixing, packing, pii, simhash, substrings, toxicity
+from . import ann, embedding_dedup, language_model, mixing, packing, pii, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substrings": substrings.op1_substrings,
         "op2_language_model": language_model.op2_language_model,
         "op3_packing": packing.op3_packing,
+        "op4_embeddings": embedding_dedup.op4_embeddings,
+        "op5_ann": ann.op5_ann,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
