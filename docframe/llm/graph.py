@@ -39,4 +39,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
