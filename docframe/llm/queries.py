@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, language_model, mixing, packing, pii, simhash, substrings, toxicity
+from . import ann, embedding_dedup, language_model, mixing, packing, pii, simhash, substrings, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_embeddings": embedding_dedup.op4_embeddings,
         "op5_ann": ann.op5_ann,
+        "op6_token_ids": token_files.op6_token_ids,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
