@@ -128,14 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     z = ((F.col("a") + 0.5) / (n1 + 1) - (F.col("b") + 0.5) / (n0 + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)))
     top = rates.filter("a + b >= 3").withColumn("z", z).orderBy(F.abs("z").desc(), "word").limit(FEATURES).collect()
     words = {r["word"]: i for i, r in enumerate(top)}
-    strong = {r["word"] for r in top if r["z"] > 4}
+    strong = {i for i, r in enumerate(top) if r["z"] > 4}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[{"w": words[w], "c": c} for w, c in zip(ws, cs, strict=True) if w in words] for ws, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, pa.list_(pa.struct([("w", pa.int32()), ("c", pa.float64())])))], names=["id", "grade", "x"])
+
     # One row for each labelled document, cut to the chosen features: bounded by ``sample``.
-    chosen_words = chosen.sparkSession.createDataFrame(list(words.items()), "word string, at int")
-    pairs = chosen.select("id", "grade", F.explode(F.arrays_zip("w", "c")).alias("x")).join(F.broadcast(chosen_words), F.col("x.w") == F.col("word"))
-    gathered = pairs.groupBy("id").agg(F.collect_list(F.struct("x.w", "x.c")).alias("x"))
-    data = chosen.select("id", "grade").join(gathered, "id", "left").select("grade", F.coalesce("x", F.array().cast("array<struct<w:string,c:double>>")).alias("x")).orderBy("id").collect()
+    data = chosen.mapInArrow(cut, "id long, grade int, x array<struct<w:int,c:double>>").orderBy("id").collect()
     rows = np.array([i for i, r in enumerate(data) for _ in r["x"]], dtype=np.int64)
-    cols = np.array([words[x["w"]] for r in data for x in r["x"]], dtype=np.int64)
+    cols = np.array([x["w"] for r in data for x in r["x"]], dtype=np.int64)
     values = np.array([x["c"] for r in data for x in r["x"]], dtype=np.float64)
     grade = np.array([r["grade"] for r in data], dtype=np.int64)
     if grade.max() == 1:
@@ -156,7 +159,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
 
         def names(word: str) -> list[tuple[int, bool]]:
             if word not in known:
-                if len(known) > 500_000:  # a bounded memo, not a limit on what is read
+                if len(known) > 200_000:  # a bounded memo, not a limit on what is read
                     known.clear()
                 known[word] = [(word_at[n], n[-1] == "*") for n in _names(word) if n in word_at]
             return known[word]
