@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import intake
+from . import intake, jobs
 from .base import Query
 
-_GROUPS = (intake.plans,)
+_GROUPS = (intake.plans, jobs.plans)
 
 
 def queries() -> dict[str, Query]:
