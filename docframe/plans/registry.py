@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import intake, jobs
+from . import intake, jobs, media
 from .base import Query
 
-_GROUPS = (intake.plans, jobs.plans)
+_GROUPS = (intake.plans, jobs.plans, media.plans)
 
 
 def queries() -> dict[str, Query]:
