@@ -44,7 +44,10 @@ _ITEMS = """(SELECT *, CASE WHEN status = 'leased' THEN available_at + INTERVAL
  CAST(l_quantity % 4 AS INTEGER) AS attempt_count, 3 AS max_attempts, CAST(l_shipdate AS TIMESTAMP) AS available_at, CAST(l_shipdate AS TIMESTAMP) - INTERVAL 1 DAY AS created_at FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL)))"""
 _READY = f"(SELECT i.*, NOT EXISTS (SELECT 1 FROM {_ITEMS} r WHERE r.work_item_id = i.need AND r.status NOT IN ('completed', 'failed', 'cancelled')) AS ready FROM {_ITEMS} i)"
 _ELIGIBLE = f"ready AND attempt_count < max_attempts AND ((status = 'pending' AND available_at <= TIMESTAMP '{NOW}') OR (status = 'leased' AND lease_expires_at <= TIMESTAMP '{NOW}'))"
-_now = F.lit(NOW).cast("timestamp")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
 
 
 @plans.add(f"WITH d AS (SELECT unnest(['queued', 'running', 'completed', 'completed_with_warnings', 'failed', 'expired']) AS status) SELECT d.status, count(j.job_id)::BIGINT AS n FROM d LEFT JOIN {_JOBS} j USING (status) GROUP BY d.status")
@@ -62,13 +65,13 @@ def queue_position(t):
 @plans.add(f"SELECT work_item_id, job_id FROM {_READY} WHERE {_ELIGIBLE}")
 def dependency_antijoin(t):
     """Items that can be claimed."""
-    return queue.with_ready(_items(t)).filter(queue.eligible(_now)).select("work_item_id", "job_id")
+    return queue.with_ready(_items(t)).filter(queue.eligible(_now())).select("work_item_id", "job_id")
 
 
 @plans.add(f"SELECT kind, work_item_id, place FROM (SELECT kind, work_item_id, row_number() OVER (PARTITION BY kind ORDER BY available_at, created_at, work_item_id) AS place FROM {_READY} WHERE {_ELIGIBLE}) WHERE place <= 3")
 def claim_order(t):
     """T02, O03."""
-    return queue.claims(_items(t), _now, 3).select("kind", "work_item_id", F.col("place").cast("bigint").alias("place"))
+    return queue.claims(_items(t), _now(), 3).select("kind", "work_item_id", F.col("place").cast("bigint").alias("place"))
 
 
 @plans.add(f"""SELECT count(*) FILTER (WHERE ready AND (w OR p))::BIGINT AS queue_depth, greatest(coalesce(epoch_us(TIMESTAMP '{NOW}') - epoch_us(min(CASE WHEN ready AND w THEN available_at WHEN ready AND p THEN lease_expires_at END)), 0) / 1e6, 0.0) AS oldest_eligible_age_seconds,
@@ -77,21 +80,21 @@ def claim_order(t):
  FROM (SELECT *, status = 'pending' AND available_at <= TIMESTAMP '{NOW}' AS w, coalesce(status = 'leased' AND lease_expires_at <= TIMESTAMP '{NOW}' AND attempt_count < max_attempts, false) AS p FROM {_READY})""")
 def queue_metrics(t):
     """A03, X27."""
-    return queue.metrics(_items(t), _now)
+    return queue.metrics(_items(t), _now())
 
 
 @plans.add(f"SELECT work_item_id, job_id, 'work_item_attempts_exhausted' AS code FROM {_ITEMS} WHERE status = 'leased' AND lease_expires_at <= TIMESTAMP '{NOW}' AND attempt_count >= max_attempts")
 def attempts_exhausted(t):
     """A17, T05."""
-    return _items(t).filter(queue.exhausted(_now)).select("work_item_id", "job_id", F.lit("work_item_attempts_exhausted").alias("code"))
+    return _items(t).filter(queue.exhausted(_now())).select("work_item_id", "job_id", F.lit("work_item_attempts_exhausted").alias("code"))
 
 
 @plans.add(f"""SELECT work_item_id, CASE WHEN r AND attempt_count < max_attempts THEN 'pending' ELSE 'failed' END AS status, strftime(CASE WHEN r AND attempt_count < max_attempts THEN TIMESTAMP '{NOW}' + INTERVAL 5 SECOND ELSE available_at END, '%Y-%m-%dT%H:%M:%S.%fZ') AS available_at, job_id % 4 = 0 AS allow_partial
  FROM (SELECT *, work_item_id % 3 > 0 AS r FROM {_ITEMS} WHERE status = 'leased' AND lease_expires_at > TIMESTAMP '{NOW}')""")
 def failure_transition(t):
     """What a failed attempt makes of an item whose lease still holds."""
-    held = _items(t).filter((F.col("status") == "leased") & (F.col("lease_expires_at") > _now))
-    status, due = queue.after_failure(_now, F.col("work_item_id") % 3 > 0, F.lit(5))
+    held = _items(t).filter((F.col("status") == "leased") & (F.col("lease_expires_at") > _now()))
+    status, due = queue.after_failure(_now(), F.col("work_item_id") % 3 > 0, F.lit(5))
     return held.select("work_item_id", "job_id", status, due).select("work_item_id", "status", T.iso_z(F.col("available_at")).alias("available_at"), (F.col("job_id") % 4 == 0).alias("allow_partial"))
 
 
