@@ -108,5 +108,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix reads it. Columns as in."""
-    counted = docs.withColumn("n_tokens", word_count("text")).withColumn("_mark", F.xxhash64("doc_id", "text")) if "n_tokens" not in docs.columns else docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
-    return mix(counted, plan(counted.select("source", "n_tokens"))).select(*docs.columns)
+    # The row travels as one column, so that none of its names can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", word_count("text").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_mark"))
+    return mix(rows, plan(rows.select("source", "n_tokens"))).select("_row.*")

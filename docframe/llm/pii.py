@@ -161,10 +161,12 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFra
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with entities of ``text`` replaced; ``count`` names an optional column with their number."""
-    columns = docs.columns
-    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    found = docs.withColumn("_m", F.when(maybe, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    hits = saved(found.filter(F.size("_m") > 0).withColumn("_t", F.md5(text)), "pii-hits")
+    # The row travels as one column, so that none of its names can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    own = F.col("_row")[text]
+    maybe = F.coalesce(own.rlike(MAYBE), F.lit(False))
+    found = rows.withColumn("_m", F.when(maybe, F.regexp_extract_all(own, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    hits = saved(found.filter(F.size("_m") > 0).withColumn("_t", F.md5(own)), "pii-hits")
     matches = saved(hits.select(F.explode("_m").alias("match")).distinct().withColumn("kind", kind_of(F.col("match"))).withColumn("parts", _parts(F.col("kind"), F.col("match"))), "pii-matches")
     parts = matches.select("match", "kind", F.posexplode("parts").alias("at", "part")).select("match", F.col("kind").alias("whole"), "at", "part.*")
     drawn = surrogates(parts, key)
@@ -173,13 +175,12 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     # Distinct (text, match) pairs, then one map a text.
     pairs = hits.select("_t", F.explode("_m").alias("match")).distinct().join(new, "match")
     maps = pairs.groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("match", "put"))).alias("_map"))
-    between = F.split(text, PATTERN, -1)
     put = F.concat(F.transform("_m", lambda m: F.element_at("_map", m)), F.array(F.lit("")))
-    filled = F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, b)), "")
+    filled = F.array_join(F.zip_with(F.split(own, PATTERN, -1), put, lambda a, b: F.concat(a, b)), "")
     extra = [F.size("_m").cast("long").alias(count)] if count else []
-    changed = hits.join(maps, "_t").select(*[filled.alias(c) if c == text else c for c in columns], *extra)
-    none = F.coalesce(F.size(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))) == 0, F.lit(True))
-    same = docs.filter(~maybe | none).select(*columns, *([F.lit(0).cast("long").alias(count)] if count else []))
+    changed = hits.join(maps, "_t").withColumn("_row", F.col("_row").withField(text, filled)).select("_row.*", *extra)
+    none = F.coalesce(F.size(F.regexp_extract_all(own, F.lit(PATTERN), F.lit(0))) == 0, F.lit(True))
+    same = rows.filter(~maybe | none).select("_row.*", *([F.lit(0).cast("long").alias(count)] if count else []))
     return same.unionByName(changed)
 
 

@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.float64()))], names=["id", "grade", "w", "c"])
 
     # The sample is at most ``sample`` ids, so it can go to every task.
-    chosen = docs.join(F.broadcast(marks), docs["doc_id"] == marks["_id"]).select("_id", "grade", as_bytes("text").alias("t")).dropDuplicates(["_id"])
+    texts = docs.select("doc_id", as_bytes("text").alias("t"))
+    chosen = texts.join(F.broadcast(marks), texts["doc_id"] == marks["_id"]).select("_id", "grade", "t").dropDuplicates(["_id"])
     chosen = saved(chosen.mapInArrow(bags, "id long, grade int, w array<string>, c array<double>"), "labelled")
     n = {r["toxic"]: r["n"] for r in chosen.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
@@ -149,10 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     return OrdinalModel(words, weights, cuts)
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns and severity int (likeliest grade), expected_severity double, p_toxic double, toxic boolean."""
+def score(docs: DataFrame, model: OrdinalModel, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and severity int (likeliest grade), expected_severity double, p_toxic double, toxic boolean.
+
+    A text that is kept is sent to the workers once.
+    """
     schema = docs.select(*keep).schema
     word_at, weights = model.words, model.weights
+    at = keep.index(text) if text in keep and dict(docs.dtypes)[text] == "string" else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[tuple[int, bool]]] = {}
@@ -166,16 +171,19 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
 
         for batch in batches:
             sums = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                got = _values(Counter(_WORD.findall(text.as_py().decode("utf-8", "replace").lower())), names)
+            for i, value in enumerate(batch.column(at)):
+                own = value.as_py() or ""
+                own = own if isinstance(own, str) else own.decode("utf-8", "replace")
+                got = _values(Counter(_WORD.findall(own.lower())), names)
                 sums[i] = math.fsum(weights[f[0]] * x for f, x in got.items())
             chance = model.chances(sums)
             expected = chance @ np.arange(chance.shape[1])
             p = 1 - chance[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chance.argmax(1).astype(np.int32)), pa.array(expected), pa.array(p), pa.array(p > 0.5)], names=[*keep, "severity", "expected_severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(chance.argmax(1).astype(np.int32)), pa.array(expected), pa.array(p), pa.array(p > 0.5)], names=[*keep, "severity", "expected_severity", "p_toxic", "toxic"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, as_bytes("text").alias("_t")).mapInArrow(run, f"{ddl}, severity int, expected_severity double, p_toxic double, toxic boolean")
+    sent = docs.select(*keep) if at < len(keep) else docs.select(*keep, as_bytes(text).alias("_t"))
+    return sent.mapInArrow(run, f"{ddl}, severity int, expected_severity double, p_toxic double, toxic boolean")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +194,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents less those more likely toxic than not. Columns as in."""
-    return score(docs, fit(docs, labels), docs.columns).filter(~F.col("toxic")).select(*docs.columns)
+    # Numbered names can't clash with those of the result.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    scored = score(docs.toDF(*plain), fit(docs, labels), plain, plain[docs.columns.index("text")])
+    return scored.filter(~F.col("toxic")).select(*plain).toDF(*docs.columns)
 
 
 def held_out_accuracy(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:

@@ -1,0 +1,410 @@
+"""The operators against brute force, round trips and held-out accuracy, and their defined cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from docframe.llm import ann, embedding_dedup, language_model, mixing, packing, pii, range_coder, simhash, substrings, token_files, toxicity
+from docframe.llm.common import word_count
+
+SPACE = b" \t\n\x0b\x0c\r"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, chunk long, t string, _row string, toxic int, block int"
+
+
+def documents(seed=1, n=60):
+    """Texts with copies, near copies, shared passages, nulls, blanks, a long one; columns that clash with ours."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ab", "ce", "di", "fo", "gu", "é"]) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", ",", "."])
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(n):
+        words = [word() for _ in range(rng.randrange(1, 120))]
+        if i % 5 == 0:
+            words[3:3] = passage[: rng.randrange(30, 60)]
+        if i % 7 == 0 and rows:
+            words = rows[-1][1].split() if rows[-1][1] else words
+            if len(words) > 60:
+                words[len(words) // 2] = "changed"
+        rows.append((i, rng.choice([" ", "\n", "\t"]).join(words)))
+    rows += [(n, None), (n + 1, ""), (n + 2, " \n "), (None, "null id text"), (n + 3, "x " * 5000), (5, rows[5][1]), (5, rows[5][1]), (n + 4, rows[9][1])]
+    return [(i, t, "en", None if i == 3 else f"s{(i or 0) % 3}", len(t or ""), 1, 2, "t", "r", 0, 7) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts():
+    return [(r[0], (r[1] or "").encode()) for r in documents()]
+
+
+def order(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_word_count(spark):
+    cases = ["", " ", "a", " a", "a ", " a b ", "\n\ta\x0b\x0cb\r", "\x1ca", None, " " * 300, "é x y"]
+    got = spark.createDataFrame([(c,) for c in cases], "x string").select(word_count("x")).collect()
+    assert [r[0] for r in got] == [len((c or "").encode().split()) for c in cases]
+
+
+def test_substrings_equal_brute_force(docs, empty):
+    split = [(i, t.split()) for i, t in texts()]
+    seen = Counter(tuple(w[a : a + 35]) for _, w in split for a in range(len(w) - 34))
+    want = []
+    for i, w in split:
+        gone = set()
+        for a in range(len(w) - 34):
+            if seen[tuple(w[a : a + 35])] > 1:
+                gone.update(range(a, a + 35))
+        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    out = substrings.remove_repeats(docs)
+    got = [(r.doc_id, r.n_words, sum(x.length for x in r.removed), hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()]
+    assert any(x[2] for x in want) and order(got) == order(want)
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_language_model_counts_and_gain(docs, empty, monkeypatch):
+    monkeypatch.setattr(language_model, "PIECE", 4096)
+    rows = [(i, [*t.lower().split(), None], zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1) for i, t in texts()]
+    counts = Counter(w for _, ws, held in rows if not held for w in ws)
+    n, v = counts.total(), len(counts)
+    want = [(i, held, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws, held in rows]
+    out = language_model.score_documents(docs).collect()
+    assert order((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == order(want)
+    assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
+    assert language_model.score_documents(empty).count() == 0
+
+
+def test_language_model_is_a_distribution():
+    rng = np.random.default_rng(0)
+    code = np.unique(rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(6) | rng.integers(0, 4, 300).astype(np.uint64))
+    count = rng.integers(1, 200, len(code))
+    seats = language_model.Seating.first(code, count, np.full(64, 30), int(count.sum()), 0.5, rng)
+    context = lambda w: np.bincount(seats.context, weights=w, minlength=64)
+    for _ in range(3):
+        totals = language_model.Totals(int(count.sum()), len(np.unique(seats.word)), context(count), context(seats.per), 0.5, 0.5)
+        seats.sweep(totals, rng)
+        assert (seats.per >= 1).all() and (seats.per <= count).all() and (seats.size > 0).all()
+        assert (np.bincount(np.repeat(np.arange(len(code)), seats.per), weights=seats.size) == count).all()
+    tables = context(seats.per)
+    totals = language_model.Totals(int(count.sum()), len(np.unique(seats.word)), context(count), tables, 0.5, 0.5)
+    c0 = seats.customers0()
+    unseen = totals.parent(np.zeros(1), tables)[0]
+    assert totals.parent(c0, tables).sum() + unseen == pytest.approx(1)
+    for u in range(4):
+        own = seats.context == u
+        back = (1 + 0.5 * tables[u]) / (1 + context(count)[u])
+        assert ((count[own] - 0.5 * seats.per[own]) / (1 + context(count)[u])).sum() + back == pytest.approx(1)
+
+
+def test_packing_places_every_token(docs, empty):
+    rows = packing.pack_documents(docs).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((i, len(t.split()) + 1) for i, t in texts())
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin_id, []).append(r)
+    for own in bins.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.bin_offset):
+            assert r.bin_offset == at
+            at += r.n_tokens
+        assert {r.bin_used for r in own} == {at} and {r.bin_size for r in own} == {min(c for c in packing.CAPACITIES if c >= at)}
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_packing_takes_the_tightest_bin_and_cuts_long_documents(spark):
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 900, 800)
+    bins, _, cap, held = packing.pack(sizes, (256, 512, 1024), 8)
+    assert held.sum() == sizes.sum() and (held <= cap).all() and held.sum() / cap.sum() > 0.97
+    open_bins = {}
+    for at in np.argsort(-sizes, kind="stable"):  # no open bin with less room would have taken it
+        open_bins.setdefault(bins[at], 0)
+        open_bins[bins[at]] += sizes[at]
+    rows = packing.best_fit(spark.createDataFrame([(1, 20_000)], "doc_id long, n_tokens long")).collect()
+    assert sorted((r.piece, r.n_tokens) for r in rows) == [(0, 8192), (1, 8192), (2, 3616)]
+
+
+def vectors(seed=3, n=400, dim=16):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dim)).astype(np.float32)
+    base[50:120] = base[50] + 0.05 * rng.standard_normal((70, dim))
+    base[130:140] = base[130]
+    base[150] = base[151] + 0.3 * base[150]
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(n, None), (n + 1, []), (n + 2, [0.0] * dim), (n + 3, [float("nan")] * dim), (n + 4, [None] + [1.0] * (dim - 1)), (n + 5, [float("inf")] + [0.0] * (dim - 1)), (n + 6, [1.0, 2.0]), (None, rows[60][1])]
+    return rows
+
+
+def valid(v, dim=16):
+    return v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+def test_embedding_links_equal_brute_force(spark):
+    rows = vectors()
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, n long")
+    got = {(r.id): (r.n_links, r.component) for r in embedding_dedup.near_vectors(df).collect()}
+    own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if valid(v)]
+    x = np.array([v for _, v in own])
+    near = x @ x.T >= 0.9
+    label = np.arange(len(own))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(own))])
+        if (new == label).all():
+            break
+        label = new
+    for k, (i, _) in enumerate(own):
+        members = [own[j][0] for j in range(len(own)) if label[j] == label[k] and own[j][0] is not None]
+        assert got[i] == (near[k].sum() - 1, min(members))
+    for i, v in rows:
+        if not valid(v) and i is not None:
+            assert got[i] == (0, i)
+    assert embedding_dedup.near_vectors(df.filter("vec_id < 0")).count() == 0
+
+
+def test_neighbours_recall_and_order(spark):
+    rows = vectors(n=1500)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, 50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if valid(v) and i is not None]
+    ids, x = np.array([i for i, _ in own]), np.array([v for _, v in own])
+    hits = 0
+    for i, v in own:
+        if i % 50 == 0:
+            s = np.round(x @ v, 12)
+            want = [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != i][:5]
+            found = sorted(got[i])
+            assert [f[0] for f in found] == [1, 2, 3, 4, 5] and all(a[2] >= b[2] for a, b in zip(found, found[1:], strict=False))
+            hits += len(set(want) & {f[1] for f in found})
+    assert hits / (5 * len(got)) >= 0.9
+    tiny = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    assert [(r.rank, r.vec_id) for r in ann.nearest(tiny, 50).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert ann.nearest(tiny.filter("vec_id < 0"), 50).count() == 0
+
+
+def test_balanced_parts():
+    x = np.random.default_rng(1).standard_normal((640, 8))
+    part = ann.balanced_parts(ann.neighbour_graph(x / np.linalg.norm(x, axis=1)[:, None]), 16)
+    assert np.bincount(part, minlength=16).min() >= 38
+
+
+def test_range_coder_round_trips_and_damage():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 255, 256, 257, 1000):
+        for ids in (rng.integers(0, 65536, n), rng.integers(0, 5, n), np.zeros(n, int), np.minimum(rng.zipf(1.3, n), 65535)):
+            ids = ids.astype(np.uint16)
+            image = range_coder.write_file(ids, np.array([3, 4]), np.array([n, 0]), 256)
+            back, docs, sizes = range_coder.read_file(image)
+            assert (back == ids).all() and docs.tolist() == [3, 4] and sizes.tolist() == [n, 0]
+    some, _, _ = range_coder.read_file(image, [2])
+    assert (some == ids[512:768]).all()
+    broken = bytearray(image)
+    broken[-3] ^= 1
+    with pytest.raises(range_coder.BadFile):
+        range_coder.read_file(bytes(broken))
+    with pytest.raises(range_coder.BadFile):
+        range_coder.read_file(image[:-1])
+    same = np.tile(np.arange(20), 100).astype(np.uint16)
+    assert sum(map(len, range_coder.encode(same))) < len(same) / 4
+
+
+def test_token_files_equal_the_tokenizer(docs, empty):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_files.tokenizer_path())
+    want, at = [], 0
+    for i, t in sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1].decode()), r[1])):
+        ids = [*tokenizer.encode(t.decode(), add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        at += len(ids)
+    files = token_files.write_files(docs, token_files.tokenizer_path(), file_ids=2000, task=8192)
+    assert files.count() > 2
+    assert order(map(tuple, token_files.read_documents(files).collect())) == order(want)
+    assert token_files.read_documents(token_files.write_files(empty, token_files.tokenizer_path())).count() == 0
+
+
+def test_words_are_tokens_alone():
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    coder, tokenizer = token_files.Encoder(token_files.tokenizer_path()), Tokenizer.from_file(token_files.tokenizer_path())
+    for text in ["a<|endoftext|>b <|ENDOFTEXT|>", "don't I'M. É. naïve, x1. 12. ... a..", "Σίσυφος ΣΊΣΥΦΟΣ. İstanbul, <|startoftext|>.", "é. x", "\x1ca\x1c. b\x85c", "日本語。テスト, 한국어."]:
+        assert np.frombuffer(coder.texts([text.encode()])[0], dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+PRIVATE = "Mr. John Smith and Mrs Anna Smith, Mr. Smith; mail Jo.Doe@Mail7.example.com or jo.doe@mail7.example.com, +1 (377) 555-0271, +1-377-555-0271, 4111 1111 1111 1111, 193.195.198.107, token = \"2321bac4d15ec8f90433\" 123-45-6789 Г-жа Анна Петрова."
+
+
+def test_surrogates_keep_type_format_and_identity(spark):
+    rows = [(1, PRIVATE), (2, "again jo.doe@mail7.example.com and 4111111111111111."), (3, "clean words 12 and 2024"), (4, None), (5, ""), (None, "193.195.198.107"), (1, PRIVATE)]
+    df = spark.createDataFrame([(*r, "m", "t") for r in rows], "doc_id long, text string, _m string, _t string")
+    out = pii.pseudonymise(df, count="n")
+    assert out.columns == [*df.columns, "n"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == len(rows) and got[4].text is None and got[5].text == "" and got[3].text == "clean words 12 and 2024" and got[3].n == 0
+    text = got[1].text
+    for secret in ("Smith", "John", "Anna", "Doe@", "377) 555", "4111 1111", "193.195", "2321bac4", "123-45", "Анна", "Петрова"):
+        assert secret.lower() not in text.lower()
+    men, women, russian = re.search(r"Mr\. (\S+) (\S+) and Mrs (\S+) (\S+), Mr\. (\S+);", text), None, re.search(r"Г-жа ([А-Яа-я]+) ([А-Яа-я]+)\.", text)
+    assert men[2] == men[4] == men[5] and men[3][-1] == "a" and russian
+    one, two = re.findall(r"[\w.]+@[\w.]+", text)
+    assert one.lower() == two.lower() and one != two and one[0].isupper() and one.endswith(".com")
+    assert two in got[2].text
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", text)[0].replace(" ", "")
+    assert card in got[2].text and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(card))) % 10 == 0
+    a, b = re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", text)[0], re.search(r"\+\d-\d{3}-\d{3}-\d{4}", text)[0]
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    assert re.search(r'token = "[0-9a-f]{20}"', text)
+    assert re.fullmatch(r"\d{3}\.\d{3}\.\d{3}\.\d{3}", got[None].text) and got[None].text in text
+    assert pii.pseudonymise(df.filter("doc_id = 99")).count() == 0
+
+
+def test_surrogates_are_distinct_when_there_are_few(spark):
+    entities = spark.createDataFrame([("ip", f"{a}.{b}.1.{c}") for a in range(1, 4) for b in range(1, 10) for c in range(1, 10)], "kind string, canonical string")
+    rows = pii.surrogates(entities).collect()
+    originals = {r.canonical for r in rows}
+    assert len({r.new for r in rows}) == len(rows) == 243 and not originals & {r.new for r in rows}
+
+
+def test_toxicity_grades_and_held_out(spark):
+    rng = random.Random(5)
+    bad, plain = ["vile", "nasty", "grim", "foul"], [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = rng.random() < 0.2
+        words = [rng.choice(plain) for _ in range(rng.randrange(20, 80))]
+        for _ in range(rng.randrange(2, 9) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words), 1))
+        labels.append((i, int(toxic)))
+    rows += [(None, "vile nasty foul grim vile w1 w2", 1), (901, None, 1), (902, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    marks = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.held_out_accuracy(docs, marks)
+    assert ((out.actual == 1) == out.toxic).mean() > 0.97
+    scored = {r.doc_id: r for r in toxicity.score(docs.drop("toxic"), toxicity.fit(docs, marks), ["doc_id"]).collect()}
+    assert scored[None].toxic and not scored[901].toxic and not scored[902].toxic and 0 <= scored[902].expected_severity < 1
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 0
+    assert toxicity.drop_toxic(docs.filter("doc_id < -1"), marks.filter("doc_id < -1")).count() == 0
+
+
+def test_more_evidence_is_more_severe():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, 600)
+    grade = np.clip(x + rng.integers(-1, 2, 600), 0, 5) // 2
+    w, cuts = toxicity.fit_ordinal(np.arange(600), np.zeros(600, int), x.astype(float), grade, 1, 3)
+    model = toxicity.OrdinalModel({"a": 0}, w, cuts)
+    expected = model.chances(np.arange(6) * w[0]) @ np.arange(3)
+    assert w[0] > 0 and cuts[0] < cuts[1] and (np.diff(expected) > 0).all()
+
+
+def test_mixing_blocks_and_budget(docs, empty):
+    lengths = docs.select("doc_id", "source", word_count("text").alias("n_tokens")).withColumn("_mark", F.xxhash64("doc_id", "n_tokens"))
+    plan = {r.source: r for r in mixing.plan(lengths).collect()}
+    rows = mixing.mix(lengths, mixing.plan(lengths)).collect()
+    own = Counter((i, len(t.split())) for i, t in texts())
+    assert sum(r.weight for r in plan.values()) == pytest.approx(1) and max(r.quota / r.tokens for r in plan.values()) <= 2 + 1e-6 and min(r.full for r in plan.values()) == 1
+    for block in range(2):
+        got = Counter((r.doc_id, r.n_tokens) for r in rows if r.block == block)
+        assert not got - own and (block or got == own)
+    for source, p in plan.items():
+        last = [r for r in rows if r.source == source and r.block == p.full]
+        used = sum(r.n_tokens for r in last)
+        assert used <= p.rest
+        slots = lengths.filter(F.col("source").eqNullSafe(F.lit(source))).withColumn("s", F.xxhash64(F.lit(mixing.SEED), F.lit(p.full), "_mark")).collect()
+        fits, total = 0, 0
+        for r in sorted(slots, key=lambda r: (r.s & (2**64 - 1), r._mark)):
+            total += r.n_tokens
+            fits += total <= p.rest and r.n_tokens > 0
+        assert sum(r.n_tokens > 0 for r in last) == fits
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() >= docs.count()
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixing_exponent(spark):
+    shares = spark.createDataFrame([("a", 900.0, 0.9), ("b", 90.0, 0.09), ("c", 10.0, 0.01)], "source string, tokens double, share double")
+    entropy = lambda a: (lambda w: -sum(x / sum(w) * np.log(x / sum(w)) for x in w))([p**a for p in (0.9, 0.09, 0.01)])
+    a = mixing.exponent(shares, None, 0.8)
+    assert entropy(a) == pytest.approx(0.8 * np.log(3), abs=1e-6)
+    a = mixing.exponent(shares, 3.0, None)
+    assert (0.9 / 0.01) ** (1 - a) == pytest.approx(3.0, abs=1e-6)
+    assert mixing.exponent(shares, 1.0, 0.1) == pytest.approx(1.0)
+
+
+def fingerprint(text, n=3):
+    words = text.lower().split()
+    runs = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([b" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_equals_brute_force(docs, empty):
+    own = [(i, fingerprint(t)) for i, t in texts()]
+    label = list(range(len(own)))
+    for _ in own:
+        label = [min(label[j] for j in range(len(own)) if (own[i][1] ^ own[j][1]).bit_count() <= 3) for i in range(len(own))]
+    least = {k: min((own[j][0] for j in range(len(own)) if label[j] == k and own[j][0] is not None), default=None) for k in set(label)}
+    got = order((r.id, r.fp[0] & (2**64 - 1), r.component) for r in simhash.near_groups(docs, 3, 3).collect())
+    assert got == order((i, f, least[label[k]]) for k, (i, f) in enumerate(own))
+    assert simhash.near_groups(empty, 3, 3).count() == 0
+
+
+def test_gray_index_finds_all_pairs_and_hot_keys(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    codes = np.unique(np.r_[rng.integers(0, 2**64, 300, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))])
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    index = simhash.GrayIndex(np.zeros(len(codes), dtype=np.int64), codes)
+    for limit in (0, 2, 3, 9):
+        got = {(min(a, b), max(a, b)) for i, j in index.within(limit) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= limit}
+    df = spark.createDataFrame([(int(c), [int(c)]) for c in codes.view(np.int64)], "n long, fp array<long>")
+
+    def groups():
+        label = {int(c): int(c) for c in codes.view(np.int64)}
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for r in simhash.link_forest(df).collect():
+            label[root(r.a)] = root(r.b)
+        return sorted(Counter(root(x) for x in label).values())
+
+    plain = groups()
+    monkeypatch.setattr(simhash, "HOT", 3)
+    assert groups() == plain
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i in range(6):
+        near = list(base[i])
+        near[150] = "edited"
+        rows.append((100 + i, " ".join(near)))
+    rows += [(7, rows[7][1]), (200, rows[8][1]), (None, "x"), (300, None), (301, "")]
+    df = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, _id string")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [*range(12), 300]
