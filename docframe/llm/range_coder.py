@@ -4,7 +4,7 @@ Ids are coded in blocks of ``BLOCK``; every block starts from an empty model and
 alone. All blocks of a call advance together, one id a step, as lanes of NumPy arrays.
 
 Three orders predict the next id. Order 2 and order 1 look up the id that last followed the last two ids, or the last
-one, with a confidence that grows with each hit; how often a confidence is right is counted in the block itself. Order 0
+one, with a confidence that grows with each hit; how often each confidence is right is learned within the block. Order 0
 counts the ids' upper bytes. The predictions are mixed into one distribution over all ids,
 
     cum(id) = w0 * C0(id) + w1 * [pred1 < id] + w2 * [pred2 < id]
@@ -22,7 +22,7 @@ import numpy as np
 BLOCK = 2_048
 SLOTS = 512
 LEVELS = 4
-REBUILD = 64
+REBUILD = 128
 _F = 12  # log2 of the sum of order-0 frequencies
 _Z = 1 << (_F + 8)  # all ids of order 0
 _T = 24  # log2 of the whole distribution
@@ -33,102 +33,106 @@ MAGIC = b"DFIDS1\0\0"
 
 
 class _Model:
-    """Prediction state of ``lanes`` blocks."""
+    """Prediction state of ``lanes`` blocks. A slot holds the predicted id and, above it, the confidence."""
 
     def __init__(self, lanes: int, highs: int) -> None:
         self.lanes, self.highs = lanes, highs
-        self.row = np.arange(lanes)
-        self.pred = [np.zeros(lanes * SLOTS, dtype=np.uint16) for _ in range(2)]
-        self.conf = [np.zeros(lanes * SLOTS, dtype=np.int8) for _ in range(2)]
-        self.hits = [np.full(lanes * LEVELS, 0.3, dtype=np.float32) for _ in range(2)]
-        self.seen = [np.ones(lanes * LEVELS, dtype=np.float32) for _ in range(2)]
-        self.count = np.zeros((lanes, highs), dtype=np.int64)
-        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.row = np.arange(lanes, dtype=np.int32)
+        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
+        self.right = [np.full(lanes * LEVELS, 0.25, dtype=np.float32) for _ in range(2)]
+        self.count = np.zeros(lanes * highs, dtype=np.int32)
+        self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
+        self.row_slots, self.row_levels, self.row_highs, self.base = self.row * SLOTS, self.row * LEVELS, self.row * highs, self.row * (highs + 1)
         self.step = 0
         self.rebuild()
 
     def rebuild(self) -> None:
         """Order-0 frequencies from the counts so far: at least one each, summing to 2**12."""
-        n = self.count.sum(1, keepdims=True)
+        count = self.count.reshape(self.lanes, self.highs)
+        n = count.sum(1, keepdims=True, dtype=np.int32)
         spare = (1 << _F) - self.highs
-        freq = 1 + (self.count * 32 + 1) * spare // (n * 32 + self.highs)
-        freq[np.arange(self.lanes), freq.argmax(1)] += (1 << _F) - freq.sum(1)
-        self.cum = np.zeros((self.lanes, self.highs + 1), dtype=np.int64)
-        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-        self.flat = self.cum.ravel()
-        self.base = self.row * (self.highs + 1)
+        freq = 1 + (count * 32 + 1) * spare // (n * 32 + self.highs)
+        freq[np.arange(self.lanes), freq.argmax(1)] += (1 << _F) - freq.sum(1, dtype=np.int32)
+        cum = np.zeros((self.lanes, self.highs + 1), dtype=np.int32)
+        np.cumsum(freq, axis=1, out=cum[:, 1:])
+        self.flat = cum.ravel()
 
     def predict(self, active: int) -> None:
         """Sets predictions (c1, c2) and weights (k, w1, w2) of the first ``active`` lanes."""
-        row, last = self.row[:active], self.last[:active]
-        self.slot = (row * SLOTS + ((last * 40503) >> 4 & (SLOTS - 1)), row * SLOTS + (((last * 40503) ^ (self.before[:active] * 30011)) >> 3 & (SLOTS - 1)))
-        chance = []
-        self.at, self.guess = [], []
-        for order in (0, 1):
-            slot = self.slot[order]
-            level = row * LEVELS + self.conf[order][slot]
-            chance.append(self.hits[order][level] / self.seen[order][level])
-            self.at.append(level)
-            self.guess.append(self.pred[order][slot].astype(np.int64))
-        p2 = chance[1] * 0.97
-        p1 = (1 - p2) * chance[0] * 0.97
-        self.k = np.maximum((16 * (1 - p1 - p2) + 0.5).astype(np.int64), 1)
+        last = self.last[:active]
+        one = last * 181
+        self.slot = (self.row_slots[:active] + (one >> 4 & (SLOTS - 1)), self.row_slots[:active] + ((one ^ self.before[:active] * 911) >> 3 & (SLOTS - 1)))
+        self.held = [self.slots[o][self.slot[o]] for o in (0, 1)]
+        self.guess = [h & 65535 for h in self.held]
+        self.level = [self.row_levels[:active] + (h >> 16) for h in self.held]
+        self.chance = [self.right[o][self.level[o]] for o in (0, 1)]
+        p2 = self.chance[1]
+        p1 = (1 - p2) * self.chance[0]
+        self.k = np.maximum((16.5 - 16 * (p1 + p2)).astype(np.int32), 1)
         share = (16 - self.k) * _Z
-        self.w2 = (share * (p2 / (p1 + p2))).astype(np.int64)
+        self.w2 = (share * (p2 / (p1 + p2))).astype(np.int32)
         self.w1 = share - self.w2
 
     def interval(self, ids: np.ndarray, active: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids in the mixed distribution."""
-        high = ids >> 8
-        low_cum = self.flat[self.base[:active] + high]
-        width = self.flat[self.base[:active] + high + 1] - low_cum
+        at = self.base[:active] + (ids >> 8)
+        low_cum = self.flat[at]
+        width = self.flat[at + 1] - low_cum
         c1, c2 = self.guess
-        start = self.k * ((low_cum << 8) + (ids & 255) * width) + np.where(c1 < ids, self.w1, 0) + np.where(c2 < ids, self.w2, 0)
-        return start, self.k * width + np.where(c1 == ids, self.w1, 0) + np.where(c2 == ids, self.w2, 0)
-
-    def _order0(self, value: np.ndarray, active: int) -> np.ndarray:
-        """The id at a place of order 0 alone."""
-        value = np.clip(value // self.k, 0, _Z - 1)
-        target = value >> 8
-        at = np.zeros(active, dtype=np.int64)
-        step = 1 << (self.highs.bit_length() - 1)
-        base = self.base[:active]
-        while step:
-            to = np.minimum(at + step, self.highs)
-            at = np.where((at + step <= self.highs) & (self.flat[base + to] <= target), to, at)
-            step >>= 1
-        at = np.minimum(at, self.highs - 1)
-        low_cum = self.flat[base + at]
-        width = self.flat[base + at + 1] - low_cum
-        return (at << 8) + (value - (low_cum << 8)) // width
+        start = self.k * ((low_cum << 8) + (ids & 255) * width) + self.w1 * (c1 < ids) + self.w2 * (c2 < ids)
+        return start, self.k * width + self.w1 * (c1 == ids) + self.w2 * (c2 == ids)
 
-    def find(self, value: np.ndarray, active: int) -> np.ndarray:
-        """The id whose interval holds ``value``: the places of both predictions cut order 0 in three."""
+    def find(self, value: np.ndarray, active: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, start, width) of the interval that holds ``value``: the places of both predictions cut order 0 in three."""
+        base, k = self.base[:active], self.k
         c1, c2 = self.guess
-        first_is_1 = c1 <= c2
         a, b = np.minimum(c1, c2), np.maximum(c1, c2)
-        wa = np.where(first_is_1, self.w1, self.w2)
-        start_a, width_a = self.interval(a, active)
-        start_b, width_b = self.interval(b, active)
-        shift = np.where(value >= start_b + width_b, self.w1 + self.w2, np.where(value >= start_a + width_a, np.where(a == b, self.w1 + self.w2, wa), 0))
-        ids = self._order0(value - shift, active)
-        ids = np.where((value >= start_a) & (value < start_a + width_a), a, ids)
-        return np.where((value >= start_b) & (value < start_b + width_b), b, ids)
+        both = self.w1 + self.w2
+        one = np.where(c1 < c2, self.w1, self.w2)
+        one = np.where(a == b, both, one)
+        at = base + (a >> 8)
+        low = self.flat[at]
+        step_a = self.flat[at + 1] - low
+        start_a = k * ((low << 8) + (a & 255) * step_a)
+        width_a = k * step_a + one
+        at = base + (b >> 8)
+        low = self.flat[at]
+        step_b = self.flat[at + 1] - low
+        start_b = k * ((low << 8) + (b & 255) * step_b) + one
+        width_b = k * step_b + (both - one)
+        start_b, width_b = np.where(a == b, start_a, start_b), np.where(a == b, width_a, width_b)
+        shift = one * (value >= start_a + width_a)
+        shift = np.where(value >= start_b + width_b, both, shift)
+        inner = (value - shift) // k
+        np.clip(inner, 0, _Z - 1, out=inner)
+        target = inner >> 8
+        at = np.zeros(active, dtype=np.int32)
+        step = 1 << (self.highs - 1).bit_length() - 1
+        while step:
+            to = np.minimum(at + step, self.highs - 1)
+            at = np.where(self.flat[base + to] <= target, to, at)
+            step >>= 1
+        low = self.flat[base + at]
+        width = self.flat[base + at + 1] - low
+        rest = (inner - (low << 8)) // width
+        ids, start, width = (at << 8) + rest, k * ((low << 8) + rest * width) + shift, k * width
+        for chosen, begin, wide in ((a, start_a, width_a), (b, start_b, width_b)):
+            inside = (value >= begin) & (value < begin + wide)
+            ids, start, width = np.where(inside, chosen, ids), np.where(inside, begin, start), np.where(inside, wide, width)
+        return ids, start, width
 
     def update(self, ids: np.ndarray, active: int) -> None:
         for order in (0, 1):
-            slot, level = self.slot[order], self.at[order]
             hit = self.guess[order] == ids
-            self.hits[order][level] += hit
-            self.seen[order][level] += 1
-            conf = self.conf[order][slot]
-            self.conf[order][slot] = np.where(hit, np.minimum(conf + 1, LEVELS - 1), np.where(conf > 1, conf - 1, 0))
-            self.pred[order][slot] = np.where(hit | (conf <= 1), ids, self.guess[order])
-        self.count[self.row[:active], ids >> 8] += 1
+            self.right[order][self.level[order]] = self.chance[order] + (hit * np.float32(0.96) + np.float32(0.005) - self.chance[order]) * np.float32(0.04)
+            conf = self.held[order] >> 16
+            kept = self.guess[order] | np.where(hit, np.minimum(conf + 1, LEVELS - 1), conf - 1) << 16
+            self.slots[order][self.slot[order]] = np.where(hit | (conf > 1), kept, ids)
+        self.count[self.row_highs[:active] + (ids >> 8)] += 1
         self.before[:active] = self.last[:active]
         self.last[:active] = ids
         self.step += 1
-        if self.step % REBUILD == 0:
+        if self.step % REBUILD == 0 or self.step in (16, 32, 64):
             self.rebuild()
 
 
@@ -143,8 +147,8 @@ def _renorm(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     return np.flatnonzero(settled)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Payload of each block of ``ids`` (uint16)."""
+def encode(ids: np.ndarray, block: int = BLOCK, highs: int = 256) -> list[bytes]:
+    """Payload of each block of ``ids`` (uint16), whose upper bytes are all below ``highs``."""
     if not len(ids):
         return []
     lanes = -(-len(ids) // block)
@@ -152,12 +156,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     tail = len(ids) - (lanes - 1) * block
-    model = _Model(lanes, 256)
+    model = _Model(lanes, highs)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0))
     out, put = np.zeros((lanes, block * 2 + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
     for step in range(min(block, len(ids))):
         active = lanes if step < tail else lanes - 1
-        now = grid[step, :active].astype(np.int64)
+        now = grid[step, :active].astype(np.int32)
         model.predict(active)
         start, width = model.interval(now, active)
         lo, sp = low[:active], span[:active]
@@ -180,7 +184,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     return [out[i, : put[i] + 4].tobytes() for i in range(lanes)]
 
 
-def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode(payloads: list[bytes], lengths: list[int], highs: int = 256) -> list[np.ndarray]:
     """Ids of blocks; any blocks of a file, in any order. Shorter blocks end earlier."""
     order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
     lanes = len(order)
@@ -190,7 +194,7 @@ def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     data = [np.frombuffer(payloads[i], dtype="<u2") for i in order]
     begin = np.r_[0, np.cumsum([len(d) for d in data])[:-1]]
     words = np.concatenate([*data, np.zeros(8, dtype="<u2")])
-    model = _Model(lanes, 256)
+    model = _Model(lanes, highs)
     low, span, code = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0)), np.zeros(lanes, dtype=np.uint64)
     at_word = begin.copy()
     for _ in range(4):
@@ -203,9 +207,8 @@ def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         model.predict(active)
         lo, sp, co = low[:active], span[:active], code[:active]
         unit = sp >> _24
-        value = np.minimum((co - lo) // unit, _U((1 << _T) - 1)).astype(np.int64)
-        now = model.find(value, active)
-        start, width = model.interval(now, active)
+        value = np.minimum((co - lo) // unit, _U((1 << _T) - 1)).astype(np.int32)
+        now, start, width = model.find(value, active)
         lo += unit * start.astype(np.uint64)
         sp[:] = unit * width.astype(np.uint64)
         at = _renorm(lo, sp)
@@ -232,12 +235,13 @@ def write_file(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, block: i
 
     Every part has a CRC-32; that of a block is over its ids as little-endian unsigned 32-bit integers.
     """
-    payloads = encode(ids, block)
+    highs = max(2, (int(ids.max()) >> 8) + 1) if len(ids) else 2
+    payloads = encode(ids, block, highs)
     index = zlib.compress(doc_ids.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), 1)
     lengths = [min(block, len(ids) - i * block) for i in range(len(payloads))]
     checks = [zlib.crc32(ids[i * block : i * block + n].astype("<u4").tobytes()) for i, n in enumerate(lengths)]
     table = b"".join(struct.pack("<III", n, len(p), c) for n, p, c in zip(lengths, payloads, checks, strict=True))
-    head = MAGIC + struct.pack("<QQQII", len(ids), len(doc_ids), len(index), len(payloads), block)
+    head = MAGIC + struct.pack("<QQQIII", len(ids), len(doc_ids), len(index), len(payloads), block, highs)
     return head + struct.pack("<III", zlib.crc32(head), zlib.crc32(index), zlib.crc32(table)) + index + table + b"".join(payloads)
 
 
@@ -247,11 +251,11 @@ class BadFile(ValueError):
 
 def read_file(data: bytes, blocks: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, document ids, sizes) of a file image; or the ids of some blocks only."""
-    size = len(MAGIC) + 32
+    size = len(MAGIC) + 36
     head = data[:size]
     if len(data) < size + 12 or head[: len(MAGIC)] != MAGIC:
         raise BadFile("not a token-id file")
-    n_ids, n_docs, n_index, n_blocks, _ = struct.unpack("<QQQII", head[len(MAGIC) :])
+    n_ids, n_docs, n_index, n_blocks, _, highs = struct.unpack("<QQQIII", head[len(MAGIC) :])
     check_head, check_index, check_table = struct.unpack("<III", data[size : size + 12])
     at = size + 12
     index, table = data[at : at + n_index], data[at + n_index : at + n_index + 12 * n_blocks]
@@ -262,7 +266,7 @@ def read_file(data: bytes, blocks: list[int] | None = None) -> tuple[np.ndarray,
     if begin[-1] != len(data):
         raise BadFile("the file is cut off")
     chosen = list(range(n_blocks)) if blocks is None else blocks
-    parts = decode([data[begin[i] : begin[i + 1]] for i in chosen], [lengths[i] for i in chosen])
+    parts = decode([data[begin[i] : begin[i + 1]] for i in chosen], [lengths[i] for i in chosen], highs)
     for i, part in zip(chosen, parts, strict=True):
         if zlib.crc32(part.astype("<u4").tobytes()) != checks[i]:
             raise BadFile(f"block {i} is damaged")
