@@ -233,14 +233,14 @@ def decode(payloads: list[bytes], lengths: list[int], highs: int = 256) -> list[
 def write_file(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> bytes:
     """A file image: header, documents (id, whether null is marked by the caller, size), block table, blocks.
 
-    Every part has a CRC-32; that of a block is over its ids as little-endian unsigned 32-bit integers.
+    Every part has a CRC-32; a block has one over its bytes and one over its ids as little-endian unsigned 32-bit integers.
     """
     highs = max(2, (int(ids.max()) >> 8) + 1) if len(ids) else 2
     payloads = encode(ids, block, highs)
     index = zlib.compress(doc_ids.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), 1)
     lengths = [min(block, len(ids) - i * block) for i in range(len(payloads))]
     checks = [zlib.crc32(ids[i * block : i * block + n].astype("<u4").tobytes()) for i, n in enumerate(lengths)]
-    table = b"".join(struct.pack("<III", n, len(p), c) for n, p, c in zip(lengths, payloads, checks, strict=True))
+    table = b"".join(struct.pack("<IIII", n, len(p), c, zlib.crc32(p)) for n, p, c in zip(lengths, payloads, checks, strict=True))
     head = MAGIC + struct.pack("<QQQIII", len(ids), len(doc_ids), len(index), len(payloads), block, highs)
     return head + struct.pack("<III", zlib.crc32(head), zlib.crc32(index), zlib.crc32(table)) + index + table + b"".join(payloads)
 
@@ -258,14 +258,17 @@ def read_file(data: bytes, blocks: list[int] | None = None) -> tuple[np.ndarray,
     n_ids, n_docs, n_index, n_blocks, _, highs = struct.unpack("<QQQIII", head[len(MAGIC) :])
     check_head, check_index, check_table = struct.unpack("<III", data[size : size + 12])
     at = size + 12
-    index, table = data[at : at + n_index], data[at + n_index : at + n_index + 12 * n_blocks]
+    index, table = data[at : at + n_index], data[at + n_index : at + n_index + 16 * n_blocks]
     if zlib.crc32(head) != check_head or zlib.crc32(index) != check_index or zlib.crc32(table) != check_table:
         raise BadFile("header, index or block table is damaged")
-    lengths, widths, checks = (list(x) for x in zip(*struct.iter_unpack("<III", table), strict=True)) if n_blocks else ([], [], [])
-    begin = np.r_[0, np.cumsum(widths)].astype(np.int64) + at + n_index + 12 * n_blocks
+    lengths, widths, checks, packed = (list(x) for x in zip(*struct.iter_unpack("<IIII", table), strict=True)) if n_blocks else ([], [], [], [])
+    begin = np.r_[0, np.cumsum(widths)].astype(np.int64) + at + n_index + 16 * n_blocks
     if begin[-1] != len(data):
         raise BadFile("the file is cut off")
     chosen = list(range(n_blocks)) if blocks is None else blocks
+    for i in chosen:
+        if zlib.crc32(data[begin[i] : begin[i + 1]]) != packed[i]:
+            raise BadFile(f"block {i} is damaged")
     parts = decode([data[begin[i] : begin[i + 1]] for i in chosen], [lengths[i] for i in chosen], highs)
     for i, part in zip(chosen, parts, strict=True):
         if zlib.crc32(part.astype("<u4").tobytes()) != checks[i]:
