@@ -79,3 +79,47 @@ def text_chunks(docs: DataFrame, text: str = "text", size: int = 8 << 20) -> int
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bundles(rows: DataFrame, held: int = 16 << 20) -> DataFrame:
+    """(chunk, bundle): rows of (chunk long, ..., t binary) that a task has read, in one compressed Arrow stream a chunk.
+
+    A shuffle then moves a few rows at about half the bytes. ``opened`` gives the rows back.
+    """
+    schema = [f for f in rows.schema if f.name != "chunk"]
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting)
+            chunk = table.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            table, chunk = table.take(pa.array(order)), chunk[order]
+            cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+            streams = []
+            for a, b in zip(cut, np.r_[cut[1:], len(chunk)], strict=True):
+                sink = pa.BufferOutputStream()
+                part = table.slice(a, b - a).select(names).combine_chunks()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as stream:
+                    stream.write_table(part)
+                streams.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(chunk[cut], pa.int64()), pa.array(streams, pa.binary())], names=["chunk", "bundle"])
+
+        for part in slices(batches, len(names), held // 4):
+            waiting.append(part)
+            size += part.nbytes
+            if size >= held:
+                yield out()
+                waiting, size = [], 0
+        if waiting:
+            yield out()
+
+    return rows.select("chunk", *names).mapInArrow(run, "chunk long, bundle binary")
+
+
+def opened(bundled: pa.Table) -> pa.Table:
+    """The rows of bundles."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in bundled.column("bundle")])

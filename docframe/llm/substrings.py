@@ -1,6 +1,6 @@
 """Substring dedup: seed and extend on winnowed anchors.
 
-Seeds. Every run of ``SEED`` words is hashed; of each 24 consecutive ones the least hash is an anchor. 24 runs of 12
+Seeds. Every run of ``SEED`` words is hashed; of each 26 consecutive ones the least hash is an anchor. 26 runs of 10
 words are exactly one window of 35 words, so equal windows hold the same anchor at the same place: where an anchor
 occurs once in the corpus, no window around it can repeat. Anchors are counted over all documents and joined back.
 
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read, saved, slices, text_chunks
+from .common import as_bytes, bundles, opened, read, saved, slices, text_chunks
 from .wordhash import BASES, Words, sliding
 
 WINDOW = 35
-SEED = 12
+SEED = 10
 _SLICE = 2 << 20
 
 
@@ -67,9 +67,9 @@ def _window_keys(table: pa.Table, window: int) -> Iterator[tuple[pa.RecordBatch,
 
 def _requests(window: int, seed: int, buckets: int):
     def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
-        known = np.sort(repeated.column("anchor").to_numpy())
+        known = np.unique(repeated.column("anchor").to_numpy())
         keys: list[np.ndarray] = []
-        for _, words, one in _window_keys(texts, window) if len(known) else ():
+        for _, words, one in _window_keys(opened(texts), window) if len(known) and texts.num_rows else ():
             if not len(one):
                 continue
             least, _ = anchors(words, window, seed)
@@ -116,7 +116,7 @@ def _removal(window: int, id_type: pa.DataType):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         again = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(x, dtype=np.uint64) for x in answers.column("again").to_pylist())]))
         ids, total, kept, cuts = [], [], [], []
-        for batch, words, one in _window_keys(texts, window):
+        for batch, words, one in _window_keys(opened(texts), window) if texts.num_rows else ():
             cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
             if len(again) and len(one):
                 place = np.minimum(np.searchsorted(again, one), len(again) - 1)
@@ -149,10 +149,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     texts = docs.select(piece.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("t"))
     seeds = saved(texts.select("chunk", "t").mapInArrow(_anchor_rows(window, seed), "chunk long, anchor long"), "anchors")
     twice = seeds.groupBy("anchor").count().filter("count > 1").select("anchor")
-    known = seeds.distinct().join(twice, "anchor").select("chunk", "anchor")
-    asked = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_requests(window, seed, n), "bucket long, chunk long, keys binary, often binary")
+    known = seeds.join(twice, "anchor").select("chunk", "anchor")
+    packed = bundles(texts)
+    asked = packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_requests(window, seed, n), "bucket long, chunk long, keys binary, often binary")
     answers = saved(asked.groupBy("bucket").applyInArrow(_answers, "chunk long, again binary"), "repeats")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_removal(window, pa.int64()), "doc_id long, n_words long, removed array<struct<start:long,length:long>>, kept string")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_removal(window, pa.int64()), "doc_id long, n_words long, removed array<struct<start:long,length:long>>, kept string")
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
