@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read, saved, text_chunks
+from .common import as_bytes, read, saved, slices, text_chunks
 from .range_coder import BLOCK, read_file, write_file
 
 END_ID = 1
 FILE_IDS = 8 << 20
 #: Bytes of text that a task gets, about.
 TASK = 32 << 20
-MEMO = 400_000
+MEMO = 700_000
 _NO_ID = -(1 << 63)
 
 
@@ -55,36 +56,26 @@ class Encoder:
         self.marks = {bytes([c]): self._ids([chr(c)])[0] for c in b".,;:!?"}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in got]
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cores: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            # A mark after a letter is a token of its own; ASCII case is dropped by the tokenizer in any case.
-            core = w.lower() if b"<|" not in w else w
-            mark = core[-1:]
-            if len(core) > 1 and mark in self.marks and core[-2] in self.letters and b"<|" not in core:
-                cores[w] = (core[:-1], self.marks[mark])
-            else:
-                cores[w] = (core, b"")
-        fresh = list({c for c, _ in cores.values()} - self.memo.keys())
-        known = dict(zip(fresh, self._ids([c.decode("utf-8", "replace") for c in fresh]), strict=True))
-        for w, (core, mark) in cores.items():
-            self.memo[w] = (known[core] if core in known else self.memo[core]) + mark
-        self.memo.update((c, known[c]) for c in fresh if c == c.lower() and b"<|" not in c)
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word without what its ids don't depend on: ASCII case, and a mark after a letter, which is a token of its own."""
+        if b"<|" in word:
+            return word, b""
+        core = word.lower()
+        mark = self.marks.get(core[-1:])
+        return (core[:-1], mark) if mark is not None and len(core) > 1 and core[-2] in self.letters else (core, b"")
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = set().union(*split) - self.memo.keys() if split else set()
-        if new:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-                new = set().union(*split)
-            self._learn(new)
-        get = self.memo.__getitem__
+        parts = {w: self._parts(w) for w in set().union(*split)}
+        cores = {c for c, _ in parts.values()}
+        fresh = list(cores - self.memo.keys())
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = list(cores)
+        self.memo.update(zip(fresh, self._ids([c.decode("utf-8", "replace") for c in fresh]), strict=True))
+        get = {w: self.memo[c] + m for w, (c, m) in parts.items()}.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -116,9 +107,8 @@ def _written(path: str, end_id: int, file_ids: int, block: int):
             serial, parts, ids, held = serial + 1, [], [], 0
             return row
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+        for some in slices(batches, 1, 8 << 20):
+            if some.num_rows:
                 for doc, coded in zip(some.column(0).to_pylist(), coder.texts(some.column(1).to_pylist()), strict=True):
                     ids.append(_NO_ID if doc is None else doc)
                     parts.append(coded + end)
