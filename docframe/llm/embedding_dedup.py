@@ -6,9 +6,12 @@ deals rows out evenly whatever the data, so a dense cluster is many runs and nev
 vector introduces its neighbours, forward and backward, to each other, and every list keeps its ``K`` nearest; rounds
 go on until an audit of the links of up to ``AUDIT`` vectors against all rows finds ``RECALL`` of them.
 
-Links are list entries at the threshold or above. A list that holds nothing else is saturated: it may miss links. So
-the lists of every linked component are enlarged to all of its members, which are compared in tiles of ``TILE`` rows;
-components are joined by links found, and links are counted, not listed.
+Links are list entries at the threshold or above. A list that holds nothing else is saturated: it may miss links, but
+only to vectors whose own list is saturated too, as any other list holds them. So the saturated vectors of different
+components are compared exactly: each component has a member as its pivot and the widest angle to it as its radius;
+pairs of components whose pivots are further apart than both radii and the threshold's angle can't link, all others are
+compared in tiles of ``TILE`` rows and joined where a link is found. If the audit still finds too little, all vectors
+are compared that way. Within a component all members are then compared in tiles; links are counted, not listed.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of
 other dimension are not compared; a null id keeps its row, and its component is the least id in it; repeated rows are
@@ -74,7 +77,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _introduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Local join: neighbours of one vector, against each other; only what betters a list's last entry goes on."""
-    for table in runs(batches, ["u"], LEAF):
+    for table in runs(batches, ["u", "t1", "t2"]):
         if table.num_rows < 2:
             continue
         ids, least = table.column("m").to_numpy(), table.column("least_s").to_numpy()
@@ -90,7 +93,7 @@ def _best(pairs: DataFrame, k: int = K) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))).filter(F.col("_r") <= k).drop("_r")
 
 
-def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
+def _audit(vectors: DataFrame, groups: DataFrame, threshold: float) -> float:
     """Part of the links of up to AUDIT vectors (against all rows, in blocks) that are within the found components."""
     probe = vectors.orderBy(F.xxhash64("n")).limit(AUDIT).select("n", "x").toPandas()
     by_dim = {d: g for d, g in probe.groupby(probe["x"].map(len))}
@@ -106,7 +109,6 @@ def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
                     yield _pairs(q[i], table.column("n").to_numpy()[j], np.ones(len(i)))
 
     true = vectors.select("n", "x", "dim").mapInArrow(run, "a long, b long, s double").filter("a <> b")
-    groups = components(links)
     one, two = groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     row = true.join(one, "a", "left").join(two, "b", "left").agg(F.count("*").alias("all"), F.count_if(F.col("ra") == F.col("rb")).alias("found")).first()
     return row["found"] / row["all"] if row["all"] else 1.0
@@ -123,14 +125,90 @@ def neighbour_lists(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[D
         last = lists.groupBy("a").agg(F.min("s").alias("least_s"), F.count("*").alias("c")).select("a", F.when(F.col("c") < K, -2.0).otherwise(F.col("least_s")).alias("least_s"))
         member = vectors.join(last, vectors["n"] == last["a"]).select(F.col("n").alias("m"), "least_s", "x")
         near = lists.select(F.col("a").alias("u"), F.col("b").alias("m")).union(lists.select(F.col("b").alias("u"), F.col("a").alias("m"))).distinct()
-        met = near.join(member, "m").repartition(partitions(spark), "u").sortWithinPartitions("u")
-        lists = saved(_best(lists.union(met.select("u", "m", "least_s", "x").mapInArrow(_introduced, "a long, b long, s double"))), "nn-lists")
-        recall = _audit(vectors, lists.filter(F.col("s") >= threshold).select("a", "b"), threshold)
+        # A hub's neighbours are many tiles, and each tile meets each.
+        tiles = near.groupBy("u").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        dealt = near.join(tiles, "u").withColumn("t", F.pmod(F.xxhash64("m"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.select("u", "m", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
+        met = dealt.join(member, "m").repartition(partitions(spark), "u", "t1", "t2").sortWithinPartitions("u", "t1", "t2")
+        lists = saved(_best(lists.union(met.select("u", "t1", "t2", "m", "least_s", "x").mapInArrow(_introduced, "a long, b long, s double"))), "nn-lists")
+        recall = _audit(vectors, components(lists.filter(F.col("s") >= threshold).select("a", "b")), threshold)
         if recall >= RECALL:
             break
     return lists, recall
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The angle of each vector to the pivot of its component."""
+    for batch in batches:
+        for table in runs(iter([batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))]), ["dim"]):
+            cosine = np.einsum("ij,ij->i", units(table.column("x")), units(table.column("pivot")))
+            yield pa.RecordBatch.from_arrays([table.column("root").combine_chunks(), pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=["root", "angle"])
+
+
+def _reach(threshold: float):
+    """Pairs of components that may hold a link, by pivots and radii."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["dim", "t1", "t2"]):
+            side = table.column("side").to_numpy(zero_copy_only=False)
+            x, radius, root = units(table.column("x")), table.column("radius").to_numpy(), table.column("root").to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            angle = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
+            # Rounding of angles near zero is some 1e-8.
+            i, j = np.nonzero((angle <= radius[left][:, None] + radius[right] + np.arccos(threshold) + 1e-6) & (root[left][:, None] < root[right]))
+            yield pa.RecordBatch.from_arrays([pa.array(root[left[i]]), pa.array(root[right[j]])], names=["a", "b"])
+
+    return run
+
+
+def _touching(threshold: float):
+    """Of pairs of components, those with a link between two tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["a", "b", "t1", "t2"]):
+            side = table.column("side").to_numpy(zero_copy_only=False)
+            x = units(table.column("x"))
+            if (x[side == 0] @ x[side == 1].T >= threshold).any():
+                yield table.select(["a", "b"]).slice(0, 1).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def joined_components(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of roots between whose ``members`` (n, x, dim, root) there is a link; exact."""
+    spark = members.sparkSession
+    first = members.groupBy("root").agg(F.min_by("x", "n").alias("pivot"), F.count("*").alias("members"))
+    angles = members.join(first, "root").select("root", "dim", "x", "pivot").mapInArrow(_apart, "root long, angle double").groupBy("root").agg(F.max("angle").alias("radius"))
+    cells = saved(first.join(angles, "root").withColumn("dim", F.size("pivot")).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")), "cells")
+    tiles = max(1, -(-cells.count() // TILE))
+    dealt = cells.select("root", "radius", "dim", F.col("pivot").alias("x"), F.pmod(F.xxhash64("root"), F.lit(tiles)).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o"))
+    # Either order of two tiles would do, but a root may be the lesser one on either side.
+    both = dealt.select("dim", F.col("t").alias("t1"), F.col("o").alias("t2"), F.lit(0).alias("side"), "root", "radius", "x").union(dealt.select("dim", F.col("o").alias("t1"), F.col("t").alias("t2"), F.lit(1).alias("side"), "root", "radius", "x"))
+    near = saved(both.repartition(partitions(spark), "dim", "t1", "t2").sortWithinPartitions("dim", "t1", "t2").mapInArrow(_reach(threshold), "a long, b long"), "reach")
+    size = lambda side: cells.select(F.col("root").alias(side), F.col("tiles").alias(f"tiles_{side}"))
+    pairs = near.join(size("a"), "a").join(size("b"), "b")
+    rows = members.select("root", "n", "x").join(cells.select("root", "tiles"), "root").select("root", "x", F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int").alias("t"))
+    others = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"tiles_{side}") - 1))
+    left = pairs.join(rows, pairs["a"] == rows["root"]).select("a", "b", F.col("t").alias("t1"), others("b").alias("t2"), F.lit(0).alias("side"), "x")
+    right = pairs.join(rows, pairs["b"] == rows["root"]).select("a", "b", others("a").alias("t1"), F.col("t").alias("t2"), F.lit(1).alias("side"), "x")
+    met = left.union(right).repartition(partitions(spark), "a", "b", "t1", "t2").sortWithinPartitions("a", "b", "t1", "t2")
+    return met.mapInArrow(_touching(threshold), "a long, b long").distinct()
+
+
+def linked_groups(vectors: DataFrame, lists: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of the components of all links, also those that saturated lists have no room for."""
+    links = lists.filter(F.col("s") >= threshold).select("a", "b")
+    groups = saved(components(links), "nn-groups")
+    full = links.groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("n"))
+    saturated = saved(vectors.join(full, "n").join(groups, F.col("n") == F.col("node")).select("n", "x", "dim", "root"), "saturated")
+    more = joined_components(saturated, threshold)
+    groups = saved(components(links.union(more)), "nn-groups")
+    if _audit(vectors, groups, threshold) < RECALL:
+        members = saved(vectors.join(groups, F.col("n") == F.col("node"), "left").select("n", "x", "dim", F.coalesce("root", "n").alias("root")), "members")
+        groups = saved(components(links.union(more).union(joined_components(members, threshold))), "nn-groups")
+    return groups
+
+
 def _tiled(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["root", "t1", "t2"]):
@@ -152,8 +230,8 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec
     classes = keyed.filter("ok").groupBy("k1", "k2").agg(F.any_value("x").alias("x"), F.min("id").alias("least"), F.count("*").alias("rows"))
     classes = saved(classes.withColumn("n", F.monotonically_increasing_id()).withColumn("dim", F.size("x").cast("long")), "vector-classes")
     vectors = classes.select("n", "x", "dim")
-    lists, recall = neighbour_lists(vectors, threshold)
-    groups = components(lists.filter(F.col("s") >= threshold).select("a", "b"))
+    lists, _ = neighbour_lists(vectors, threshold)
+    groups = linked_groups(vectors, lists, threshold)
     linked = classes.join(groups, classes["n"] == groups["node"]).select("n", "x", "rows", "least", "root")
     sizes = linked.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component"))
     tiles = F.ceil(F.col("members") / TILE).cast("int")
