@@ -44,12 +44,15 @@ def rewrite_comments(docs: DataFrame, slides: DataFrame, key: str, text: str) ->
 def containing(docs: DataFrame, markers: DataFrame, doc: str, text: str, marker: str, phrase: str, lead: int = 4) -> DataFrame:
     """(doc, marker) where a text holds a phrase of words as whole words.
 
-    Both sides are joined on the phrase's first ``lead`` words, and only those pairs are compared. So it is an
+    Both sides are joined on the phrase's first ``lead`` words (all of them if it has fewer), and only those pairs are compared. So it is an
     equi-join: no text meets a marker that it shares nothing with.
     """
     split = lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")
     words = docs.select(doc, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("_text")).withColumn("_w", F.split("_text", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - lead + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(lead)), " ")))
+    # Texts are cut into runs of each length that occurs, of which there are at most ``lead``.
+    lengths = sorted(r[0] for r in markers.select(F.least(F.size(split(F.col(phrase))), F.lit(lead)).alias("_n")).filter("_n > 0").distinct().collect()) or [lead]
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(n)), " ")))
+    runs = F.flatten(F.array(*[run(n) for n in lengths]))
     leads = words.select(doc, "_text", F.explode(F.array_distinct(runs)).alias("_h"))
     wanted = markers.select(marker, F.trim(F.regexp_replace(phrase, r"\s+", " ")).alias("_phrase"), F.xxhash64(F.array_join(F.slice(split(F.col(phrase)), 1, lead), " ")).alias("_h"))
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))

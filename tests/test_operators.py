@@ -100,3 +100,9 @@ def test_coverage_takes_one_of_each_third(spark):
 def test_insert_or_ignore_keeps_what_is_there(spark):
     there, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "z"), (2, "c"), (2, "b")], "id int, v string")
     assert sorted(map(tuple, queue.insert_or_ignore(there, new, ["id"]).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_short_phrases_are_found_in_long_texts(spark):
+    docs = spark.createDataFrame([(1, "one two F2D-ab-1 four five six"), (2, "x F2D-ab-10 y z w v"), (3, "four five")], "d int, text string")
+    markers = spark.createDataFrame([(1, "F2D-ab-1"), (2, "four five"), (3, "two F2D-ab-1 four five six"), (4, "absent")], "m int, phrase string")
+    assert {tuple(r) for r in joins.containing(docs, markers, "d", "text", "m", "phrase").collect()} == {(1, 1), (1, 2), (3, 2), (1, 3)}
