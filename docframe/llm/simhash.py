@@ -7,7 +7,8 @@ group once the sum is over the threshold.
 
 The join is dealt out by the pigeonhole rule: fingerprints at no more than 3 differing bits agree on one of 4 blocks
 whole, so each is sent under its 4 (block, value) keys and the index is built in every key. A key with more than
-``HOT`` fingerprints is dealt out again by the blocks of its other 48 bits, under which the rule holds once more.
+``HOT`` fingerprints is dealt out again: by the blocks of its other 48 bits, under which the rule holds once more; in
+searches for more than 3 differing bits, where it does not hold, in parts of which each meets each.
 Equal fingerprints are one row throughout; a task sends on only a spanning forest of the links it finds.
 
 Defined cases: null text counts as empty and has fingerprint zero; rows with a null id keep their row, and its
@@ -198,21 +199,31 @@ def _links_in_partition(limit: int, wide: int | None, names: tuple[str, str]):
     return run
 
 
-def _dealt(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """Rows (n, w, fixed, k) by the 4 blocks of 16 bits; keys with over HOT rows by 4 blocks of 12 of the other bits."""
+def _dealt(rows: DataFrame, extra: list[str], limit: int) -> DataFrame:
+    """Rows (n, w, fixed, k) by the 4 blocks of 16 bits; keys with over HOT rows by 4 blocks of 12 of the other bits.
+
+    With a ``limit`` over 3 those keys are dealt in pairs of parts instead, so that all pairs in a key still meet.
+    """
     spark = rows.sparkSession
     keyed = rows.select("n", "w", *extra, F.posexplode(F.array(*[F.shiftrightunsigned("w", 16 * b).bitwiseAND(65535) for b in range(4)])).alias("b", "v"), "part")
     keyed = keyed.withColumn("k", ((F.col("part").cast("long") * 4 + F.col("b")) * 65536 + F.col("v")).cast("long"))
-    hot = keyed.groupBy("k").count().filter(F.col("count") > HOT).select("k")
+    hot = keyed.groupBy("k").count().filter(F.col("count") > HOT).select("k", "count")
     hot = saved(hot, "hot")
     if hot.isEmpty():
         return keyed.select("k", "n", "w", *extra)
+    if limit > 3:
+        parts = F.ceil(F.col("count") * 2 / HOT).cast("int")
+        again = keyed.join(F.broadcast(hot), "k").withColumn("parts", parts).withColumn("t", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int"))
+        again = again.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        again = again.select(F.xxhash64("k", F.least("t", "o"), F.greatest("t", "o")).alias("k"), "n", "w", *extra)
+        return keyed.join(F.broadcast(hot), "k", "left_anti").select("k", "n", "w", *extra).unionByName(again)
     # At most 4 x 65536 keys a fingerprint word, and no more than rows / HOT of them: small enough to send to all.
     rest = F.when(F.col("b") == 0, F.shiftrightunsigned("w", 16))
     for b in (1, 2, 3):
         low = F.col("w").bitwiseAND((1 << 16 * b) - 1)
         high = F.shiftleft(F.shiftrightunsigned("w", 16 * (b + 1)), 16 * b) if b < 3 else F.lit(0).cast("long")
         rest = rest.when(F.col("b") == b, low.bitwiseOR(high))
+    hot = hot.select("k")
     again = keyed.join(F.broadcast(hot), "k").withColumn("rest", rest)
     again = again.select("n", "w", *extra, "k", F.posexplode(F.array(*[F.shiftrightunsigned("rest", 12 * b).bitwiseAND(4095) for b in range(4)])).alias("b2", "v2"))
     again = again.select(((F.col("k") * 4 + F.col("b2")) * 4096 + F.col("v2") + (1 << 50)).cast("long").alias("k"), "n", "w", *extra)
@@ -227,7 +238,7 @@ def link_forest(codes: DataFrame, limit: int = 3, words: int = 1, wide: int | No
     bits over all words.
     """
     rows = codes.select("n", F.posexplode("fp").alias("part", "w"), *(["fp"] if wide is not None else []))
-    dealt = _dealt(rows, ["fp"] if wide is not None else [])
+    dealt = _dealt(rows, ["fp"] if wide is not None else [], limit)
     return dealt.repartition(max(partitions(codes.sparkSession), 1), "k").mapInArrow(_links_in_partition(limit, wide, ("a", "b")), "a long, b long")
 
 

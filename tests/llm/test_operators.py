@@ -408,6 +408,32 @@ def test_gray_index_finds_all_pairs_and_hot_keys(spark, monkeypatch):
     assert groups() == plain
 
 
+def test_wide_search_does_not_depend_on_hot(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 8, dtype=np.uint64)
+    rows = []
+    for i in range(60):
+        # One shared block of 16 bits a word; 9 bits of the others differ, three in each block of 12 of the rest.
+        flip = [int(sum(1 << int(16 + b * 12 + k) for b in range(4) for k in rng.choice(12, 2, replace=False))) for _ in range(8)]
+        rows.append((i, (base ^ np.array(flip, dtype=np.uint64)).view(np.int64).tolist()))
+    codes = spark.createDataFrame(rows, "n long, fp array<long>")
+    ends = lambda: {frozenset(g) for g in _groups(simhash.link_forest(codes, 24, 8, 110).collect())}
+    want = ends()
+    assert max(map(len, want)) > 10
+    monkeypatch.setattr(simhash, "HOT", 10)
+    assert ends() == want
+
+
+def _groups(edges):
+    sets = {}
+    for a, b in edges:
+        one, two = sets.get(a, {a}), sets.get(b, {b})
+        one = one | two
+        for x in one:
+            sets[x] = one
+    return sets.values()
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(8)
     base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(12)]
