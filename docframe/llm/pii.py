@@ -27,10 +27,10 @@ _SECRET_LEAD = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)
 _MEN = r"Mr|Sir|Herr|Señor|Monsieur|Г-н|Господин"
 _WOMEN = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Г-жа|Госпожа"
 _NAME = r"\p{Lu}\p{Ll}{1,30}"
-#: Pattern of each entity type, in order of precedence; all are bounded, so no text makes them backtrack far.
+#: Pattern of each entity type, in order of precedence; all are bounded or possessive, so no text makes them backtrack far.
 PATTERNS: dict[str, str] = {
-    "secret": rf"(?<![\p{{L}}\p{{N}}])(?i:{_SECRET_LEAD})[^\s\"',;]{{6,512}}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,127}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
+    "secret": rf"(?<![\p{{L}}\p{{N}}])(?i:{_SECRET_LEAD})[^\s\"',;]{{6,}}+|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16,}}+|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk-[A-Za-z0-9]{{20,}}+)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d.+-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
@@ -40,8 +40,8 @@ PATTERNS: dict[str, str] = {
     "woman": rf"(?<!\p{{L}})(?:{_WOMEN})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity needs to hold: a digit, an at sign or a title; tells most texts apart at little cost.
-MAYBE = rf"[0-9@]|(?:{_MEN}|{_WOMEN})\.? \p{{Lu}}|(?i:{_SECRET_LEAD})"
+#: What every entity needs to hold: a digit, an at sign, a title or how a secret starts; tells most texts apart at little cost.
+MAYBE = rf"[0-9@]|(?:{_MEN}|{_WOMEN})\.? \p{{Lu}}|(?i:{_SECRET_LEAD})|AKIA|gh[pousr]_|sk-"
 # Syllables that surrogate names are made of, by script; letters that surrogates draw from.
 LATIN = "ba be bo da de do fa fe ga go ha he ja jo ka ke la le lo ma me mo na ne no pa po ra re ro sa se so ta te to va ve".split()
 CYRILLIC = "ба бе бо ва ве да де до ка ле ла ма ми мо на не но ра ре ро са се та то".split()
@@ -138,25 +138,51 @@ def _poured(kind: Column, match: Column, new: Column) -> Column:
     first = new[0]
     packed = _each(match, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substr(first, F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
     cased = _each(match, lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(first, i + 1, F.lit(1)))).otherwise(F.substr(first, i + 1, F.lit(1))))
-    secret = F.concat(F.substr(match, F.lit(1), F.length(match) - F.length(first)), first)
+    value = F.length(F.regexp_extract(match, rf"(?s)^(?:(?i:{_SECRET_LEAD}))?(.*)$", 1))
+    secret = F.concat(F.substr(match, F.lit(1), F.length(match) - value), first)
     names = F.concat_ws(" ", F.split(match, " ")[0], new)
-    return F.when(kind.isin("man", "woman"), names).when(kind.isin("card", "phone", "ssn", "iban"), packed).when(kind == "secret", secret).otherwise(cased)
+    ranked = F.startswith(first, F.concat(kind, F.lit("-"))) & (kind != "secret")
+    return F.when(kind.isin("man", "woman"), names).when(ranked, first).when(kind.isin("card", "phone", "ssn", "iban"), packed).when(kind == "secret", secret).otherwise(cased)
+
+
+def by_rank(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canonical, new) for entities that can't be drawn: surrogates of their rank by a keyed digest, so no two are alike."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canonical").cast("binary"), 256)
+    placed = entities.select("kind", "canonical", digest.alias("_d")).withColumn("_r", F.row_number().over(W.partitionBy("kind").orderBy("_d", "canonical")).cast("string"))
+    name = F.initcap(F.concat(F.lit("x"), F.translate(F.concat(F.substr("_d", F.lit(1), F.lit(8)), F.lit("x"), "_r"), "0123456789", "bdgklmnprs")))
+    new = F.concat_ws("-", "kind", F.substr("_d", F.lit(1), F.lit(16)), "_r")
+    new = F.when(F.col("kind").isin("man", "woman", "surname"), name).when(F.col("kind") == "email", F.concat(new, F.lit("@surrogate.invalid"))).otherwise(new)
+    return placed.select("kind", "canonical", new.alias("new"))
 
 
 def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
-    """(kind, canonical, new) for distinct (kind, canonical); redraws until no two are alike and none is an entity."""
-    now = saved(entities.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)).withColumn("new", draw(F.col("kind"), F.col("canonical"), F.lit(0), key)), "pii-drawn")
-    taken = now.select(F.col("kind").alias("_k"), F.lower("canonical").alias("_c"))
+    """(kind, canonical, new) for distinct (kind, canonical); redraws until no two are alike and none is an entity.
+
+    What holds nothing to draw, or still collides after ``rounds``, gets a surrogate by rank.
+    """
+    each = entities.select("kind", "canonical").distinct()
+    # An email's last label is never drawn; names are made anew whatever they hold.
+    own = F.when(F.col("kind") == "email", F.regexp_replace("canonical", r"\.[^.]*$", "")).otherwise(F.col("canonical"))
+    fixed = ~F.col("kind").isin("man", "woman", "surname") & ~own.rlike("|".join(["[0-9]", *ALPHABETS]))
+    each = saved(each.withColumn("fixed", fixed), "pii-entities")
+    fixed = each.filter("fixed").select("kind", "canonical")
+    now = saved(each.filter("not fixed").select("kind", "canonical").withColumn("attempt", F.lit(0)).withColumn("new", draw(F.col("kind"), F.col("canonical"), F.lit(0), key)), "pii-drawn")
+    taken = each.select(F.col("kind").alias("_k"), F.lower("canonical").alias("_c"))
     for _ in range(rounds):
         rank = F.row_number().over(W.partitionBy("kind", F.lower("new")).orderBy("canonical"))
         ranked = now.withColumn("_again", rank > 1)
         clash = ranked.join(taken, (F.col("kind") == F.col("_k")) & (F.lower("new") == F.col("_c")), "left_semi").select("kind", "canonical").union(ranked.filter("_again").select("kind", "canonical")).distinct()
         clash = saved(clash, "pii-clash")
         if clash.isEmpty():
-            return now.select("kind", "canonical", "new")
+            return now.select("kind", "canonical", "new").unionByName(by_rank(fixed, key))
         redo = now.join(clash, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("new", draw(F.col("kind"), F.col("canonical"), F.col("attempt"), key))
         now = saved(now.join(clash, ["kind", "canonical"], "left_anti").unionByName(redo), "pii-drawn")
-    raise RuntimeError("surrogates still collide: too few values for an entity type")
+    # The last redraw was not held against the others yet.
+    rank = F.row_number().over(W.partitionBy("kind", F.lower("new")).orderBy("canonical"))
+    ranked = now.withColumn("_again", rank > 1).join(taken, (F.col("kind") == F.col("_k")) & (F.lower("new") == F.col("_c")), "left")
+    ranked = saved(ranked.withColumn("_left", F.col("_again") | F.col("_c").isNotNull()).select("kind", "canonical", "new", "_left").distinct(), "pii-left")
+    left = ranked.filter("_left").select("kind", "canonical").unionByName(fixed)
+    return ranked.filter("not _left").select("kind", "canonical", "new").unionByName(by_rank(left, key))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:

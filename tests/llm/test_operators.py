@@ -296,6 +296,18 @@ def test_surrogates_are_distinct_when_there_are_few(spark):
     assert len({r.new for r in rows}) == len(rows) == 243 and not originals & {r.new for r in rows}
 
 
+def test_whole_secrets_go_and_undrawable_ones_do_not_fail(spark):
+    jwt, key, local = "aB3" * 300, "sk-" + "abcdefgh" * 4, "a" * 200
+    texts = [f"token={jwt} end", f"key {key} end", f"write to {local}@mail.example.com now", "password: ******** end", "password: ######## end", "mail \u0645\u062d@\u0645\u062b\u0627\u0644.com now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(df, count="n").collect()}
+    assert [got[i][1] for i in range(6)] == [1] * 6
+    assert jwt[-30:] not in got[0][0] and got[0][0].startswith("token=") and got[0][0].endswith(" end")
+    assert key not in got[1][0] and local not in got[2][0] and "****" not in got[3][0] and "####" not in got[4][0]
+    assert got[3][0].startswith("password: ") and got[3][0] != got[4][0]
+    assert "\u0645\u062d@" not in got[5][0]
+
+
 def test_toxicity_grades_and_held_out(spark):
     rng = random.Random(5)
     bad, plain = ["vile", "nasty", "grim", "foul"], [f"w{i}" for i in range(200)]
