@@ -425,7 +425,7 @@ def test_wide_search_does_not_depend_on_hot(spark, monkeypatch):
     base = rng.integers(0, 2**63, 8, dtype=np.uint64)
     rows = []
     for i in range(60):
-        # One shared block of 16 bits a word; 9 bits of the others differ, three in each block of 12 of the rest.
+        # One shared block of 16 bits a word; two bits are flipped in each block of 12 of the rest.
         flip = [int(sum(1 << int(16 + b * 12 + k) for b in range(4) for k in rng.choice(12, 2, replace=False))) for _ in range(8)]
         rows.append((i, (base ^ np.array(flip, dtype=np.uint64)).view(np.int64).tolist()))
     codes = spark.createDataFrame(rows, "n long, fp array<long>")
