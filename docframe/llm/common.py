@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import math
 import shutil
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -36,11 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    With ``by``, rows of each value of that column are files of their own, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +82,31 @@ def text_chunks(docs: DataFrame, text: str = "text", size: int = 8 << 20) -> int
     return max(1, math.ceil(total / size))
 
 
+def joined_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte planes apart, so that the upper bytes of small numbers take no room."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        a = a.view(np.uint8) if a.dtype == bool else a
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+        packed = _ZSTD.compress(planes, asbytes=True) if planes else b""
+        parts.append(struct.pack("<3sQQ", a.dtype.str.encode(), len(a), len(packed)) + packed)
+    return b"".join(parts)
+
+
+def split_arrays(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``joined_arrays``; those of booleans come back as 0 and 1 of bytes."""
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<3sQQ", data, at)
+        at += struct.calcsize("<3sQQ")
+        dtype = np.dtype(kind.decode())
+        planes = _ZSTD.decompress(data[at : at + size], n * dtype.itemsize, asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(dtype.itemsize, n).T).view(dtype).ravel())
+        at += size
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
