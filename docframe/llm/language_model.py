@@ -458,7 +458,7 @@ def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMP
     state = saved(sent.groupBy("key").applyInArrow(_state(n), _ROWS), "lm-state", "kind")
     of = lambda rows, kind: rows.filter(F.col("kind") == kind)
     by = lambda rows: rows.groupBy("key")
-    stat = lambda rows, i: F.coalesce(F.sum(F.col("stats")[i]), F.lit(0))
+    stat = lambda rows, i: F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0))
     owners = saved(by(of(state, _WORDS)).applyInArrow(_owned, _ROWS), "lm-words")
     one, two = of(state, _ACTIVE).agg(stat(state, 0), stat(state, 1)).first()
     total, words = owners.agg(stat(owners, 0), stat(owners, 1)).first()

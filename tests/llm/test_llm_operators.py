@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docframe.llm import ann, embedding_dedup, language_model, mixing, packing, pii, range_coder, simhash, substrings, token_files, toxicity
+from docframe.llm import ann, embedding_dedup, mixing, packing, pii, range_coder, simhash, substrings, token_files, toxicity
 from docframe.llm.common import word_count
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -77,40 +77,6 @@ def test_substrings_equal_brute_force(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_language_model_counts_and_gain(docs, empty, monkeypatch):
-    monkeypatch.setattr(language_model, "PIECE", 4096)
-    rows = [(i, [*t.lower().split(), None], zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1) for i, t in texts()]
-    counts = Counter(w for _, ws, held in rows if not held for w in ws)
-    n, v = counts.total(), len(counts)
-    want = [(i, held, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws, held in rows]
-    out = language_model.score_documents(docs).collect()
-    assert order((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == order(want)
-    assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
-    assert language_model.score_documents(empty).count() == 0
-
-
-def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    code = np.unique(rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(6) | rng.integers(0, 4, 300).astype(np.uint64))
-    count = rng.integers(1, 200, len(code))
-    seats = language_model.Seating.first(code, count, np.full(64, 30), int(count.sum()), 0.5, rng)
-    context = lambda w: np.bincount(seats.context, weights=w, minlength=64)
-    for _ in range(3):
-        totals = language_model.Totals(int(count.sum()), len(np.unique(seats.word)), context(count), context(seats.per), 0.5, 0.5)
-        seats.sweep(totals, rng)
-        assert (seats.per >= 1).all() and (seats.per <= count).all() and (seats.size > 0).all()
-        assert (np.bincount(np.repeat(np.arange(len(code)), seats.per), weights=seats.size) == count).all()
-    tables = context(seats.per)
-    totals = language_model.Totals(int(count.sum()), len(np.unique(seats.word)), context(count), tables, 0.5, 0.5)
-    c0 = seats.customers0()
-    unseen = totals.parent(np.zeros(1), tables)[0]
-    assert totals.parent(c0, tables).sum() + unseen == pytest.approx(1)
-    for u in range(4):
-        own = seats.context == u
-        back = (1 + 0.5 * tables[u]) / (1 + context(count)[u])
-        assert ((count[own] - 0.5 * seats.per[own]) / (1 + context(count)[u])).sum() + back == pytest.approx(1)
-
-
 def test_packing_places_every_token(docs, empty):
     rows = packing.pack_documents(docs).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((i, len(t.split()) + 1) for i, t in texts())
