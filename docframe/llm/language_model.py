@@ -46,7 +46,7 @@ UNSEEN = 0.9
 BURN_IN = 2
 SAMPLES = 3
 #: Bytes of text tokenised together, and for each bucket of contexts.
-PIECE, BUCKET = 24 << 20, 40 << 20
+PIECE, BUCKET = 16 << 20, 20 << 20
 #: Share of the tokens from which on a context is split, and rows that are looked at to find those contexts.
 SHARE, LOOK = 0.002, 2_000
 PARTS = 64
