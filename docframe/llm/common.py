@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import shutil
 import struct
@@ -107,6 +108,14 @@ def split_arrays(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

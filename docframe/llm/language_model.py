@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, joined_arrays, read, saved, slices, split_arrays, text_chunks
+from .common import as_bytes, give_back, joined_arrays, read, saved, slices, split_arrays, text_chunks
 from .wordhash import Words, mix
 
 STRENGTH = 1.0
@@ -46,14 +46,14 @@ UNSEEN = 0.9
 BURN_IN = 2
 SAMPLES = 3
 #: Bytes of text tokenised together, and for each bucket of contexts.
-PIECE, BUCKET = 16 << 20, 20 << 20
+PIECE, BUCKET = 12 << 20, 16 << 20
 #: Share of the tokens from which on a context is split, and rows that are looked at to find those contexts.
 SHARE, LOOK = 0.002, 2_000
 PARTS = 64
 #: Customers up to which the law of tables is tabled.
 EXACT = 1_024
 _END, _START = np.uint64(0xE5D1_0C4B_9A73_2F40), np.uint64(0x1F83_D9AB_FB41_BD6B)
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ROWS = "kind int, key long, other long, head binary, docs binary, stats array<long>"
 _ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("head", pa.binary()), ("docs", pa.binary()), ("stats", pa.list_(pa.int64()))])
 _FULL, _ACTIVE, _WORDS, _META, _SUMS, _OWN = range(6)
@@ -182,8 +182,10 @@ def _messages(buckets: int, hot: np.ndarray):
             if size >= PIECE:
                 yield from _rows(list(sent(task + serial, texts, ids, held))).to_batches()
                 texts, ids, held, size, serial = [], [], [], 0, serial + 1
+                give_back()
         if texts:
             yield from _rows(list(sent(task + serial, texts, ids, held))).to_batches()
+        give_back()
 
     return run
 
@@ -225,6 +227,7 @@ def _state(owners: int):
         for o, a, b in _steps(owner):
             out.append(_row(_WORDS, o, key, joined_arrays(np.diff(words[a:b], prepend=np.uint64(0)), total[a:b], alone[a:b])))
             out.append(_row(_SUMS, o, key, joined_arrays(first[a:b])))
+        give_back()
         return _rows(out)
 
     return run
@@ -425,6 +428,7 @@ def _partial(models: list[Model]):
         for piece, place, many, doc in zip(got[::4], got[1::4], got[2::4], got[3::4], strict=True):
             pair = np.repeat(np.cumsum(place), many)
             out.append(_row(_META, piece[0], 0, joined_arrays(*[np.bincount(doc, weights=v[pair]) for v in (score, base, seen)])))
+        give_back()
         return _rows(out)
 
     return run
