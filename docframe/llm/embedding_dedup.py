@@ -11,7 +11,9 @@ only to vectors whose own list is saturated too, as any other list holds them. S
 components are compared exactly: each component has a member as its pivot and the widest angle to it as its radius;
 pairs of components whose pivots are further apart than both radii and the threshold's angle can't link, all others are
 compared in tiles of ``TILE`` rows and joined where a link is found. If the audit still finds too little, all vectors
-are compared that way. Within a component all members are then compared in tiles; links are counted, not listed.
+are compared that way, and an error is raised should it still do so. Within a component, rows are cut into tiles along
+the order of their sign codes. Of each pair of tiles, pivots and radii tell whether none or all of its rows link; only
+where they don't are rows sent and compared, once for both sides. Links are counted, not listed.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of
 other dimension are not compared; a null id keeps its row, and its component is the least id in it; repeated rows are
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +46,23 @@ TILE = 1024
 _BITS = 48
 
 
+def _dense(vector: str) -> str:
+    """The element type that vectors are kept in: floats as they are, all else as doubles. Cosines are in double precision."""
+    return "array<float>" if vector == "array<float>" else "array<double>"
+
+
+def _signs(x: np.ndarray, bits: int) -> np.ndarray:
+    """Sign codes of unit vectors under hyperplanes that depend on the dimension alone."""
+    planes = np.random.default_rng([7, x.shape[1]]).standard_normal((x.shape[1], bits * _BITS))
+    return (x @ planes > 0).reshape(len(x), bits, _BITS) @ (1 << np.arange(_BITS - 1, -1, -1, dtype=np.int64))
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for table in runs(iter([batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))]), ["dim"]):
             x = units(table.column("x"))
             dim = x.shape[1]
-            planes = np.random.default_rng([7, dim]).standard_normal((dim, TREES * _BITS))
-            signs = (x @ planes > 0).reshape(len(x), TREES, _BITS)
-            code = signs @ (1 << np.arange(_BITS - 1, -1, -1, dtype=np.int64))
+            code = _signs(x, TREES)
             for tree in range(TREES):
                 yield from pa.table({"tree": pa.array(np.full(len(x), tree * 100_000 + dim, dtype=np.int64)), "code": code[:, tree], "n": table.column("n"), "x": table.column("x")}).to_batches()
 
@@ -96,28 +108,34 @@ def _best(pairs: DataFrame, k: int = K) -> DataFrame:
 def _audit(vectors: DataFrame, groups: DataFrame, threshold: float) -> float:
     """Part of the links of up to AUDIT vectors (against all rows, in blocks) that are within the found components."""
     probe = vectors.orderBy(F.xxhash64("n")).limit(AUDIT).select("n", "x").toPandas()
+    numbers = probe["n"].tolist()
     by_dim = {d: g for d, g in probe.groupby(probe["x"].map(len))}
-    known = {d: (g["n"].to_numpy(), units(pa.array(g["x"].tolist()))) for d, g in by_dim.items()}
+    known = {d: (np.array([numbers.index(v) for v in g["n"]]), g["n"].to_numpy(), units(pa.array(g["x"].tolist()))) for d, g in by_dim.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table in runs(iter([batch.take(pa.array(np.argsort(batch.column(2).to_numpy(), kind="stable")))]), ["dim"]):
                 x = units(table.column("x"))
                 if x.shape[1] in known:
-                    q, qx = known[x.shape[1]]
-                    i, j = np.nonzero(qx @ x.T >= threshold)
-                    yield _pairs(q[i], table.column("n").to_numpy()[j], np.ones(len(i)))
-
-    true = vectors.select("n", "x", "dim").mapInArrow(run, "a long, b long, s double").filter("a <> b")
-    one, two = groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    row = true.join(one, "a", "left").join(two, "b", "left").agg(F.count("*").alias("all"), F.count_if(F.col("ra") == F.col("rb")).alias("found")).first()
+                    at, q, qx = known[x.shape[1]]
+                    n = table.column("n").to_numpy()
+                    links = (x @ qx.T >= threshold) & (n[:, None] != q[None, :])
+                    some = np.flatnonzero(links.any(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(n[some]), pa.array([at[links[i]].tolist() for i in some], pa.list_(pa.int32()))], names=["n", "probes"])
+
+    true = vectors.select("n", "x", "dim").mapInArrow(run, "n long, probes array<int>")
+    roots = {r["node"]: r["root"] for r in groups.filter(F.col("node").isin(numbers)).collect()} if numbers else {}
+    own = F.array(*[F.lit(roots.get(v, v)).cast("long") for v in numbers]) if numbers else F.array().cast("array<long>")
+    root = F.coalesce("root", "n")
+    row = true.join(groups, F.col("n") == F.col("node"), "left").withColumn("_own", own).withColumn("_root", root)
+    row = row.agg(F.sum(F.size("probes")).alias("all"), F.sum(F.size(F.filter("probes", lambda p: F.get(F.col("_own"), p) == F.col("_root")))).alias("found")).first()
     return row["found"] / row["all"] if row["all"] else 1.0
 
 
 def neighbour_lists(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
     """(a, b, s) lists over ``vectors`` (n, x, dim), and the recall of links that the last audit found."""
     spark = vectors.sparkSession
-    coded = saved(vectors.select("n", "dim", "x").mapInArrow(_coded, "tree long, code long, n long, x array<float>"), "nn-codes")
+    coded = saved(vectors.select("n", "dim", "x").mapInArrow(_coded, f"tree long, code long, n long, x {dict(vectors.dtypes)['x']}"), "nn-codes")
     ordered = coded.repartitionByRange(partitions(spark) * 2, "tree", "code", F.xxhash64("n")).sortWithinPartitions("tree", "code", F.xxhash64("n"))
     lists = saved(_best(ordered.mapInArrow(_leaves, "a long, b long, s double")), "nn-lists")
     recall = 0.0
@@ -206,26 +224,106 @@ def linked_groups(vectors: DataFrame, lists: DataFrame, threshold: float = THRES
     if _audit(vectors, groups, threshold) < RECALL:
         members = saved(vectors.join(groups, F.col("n") == F.col("node"), "left").select("n", "x", "dim", F.coalesce("root", "n").alias("root")), "members")
         groups = saved(components(links.union(more).union(joined_components(members, threshold))), "nn-groups")
+        if (recall := _audit(vectors, groups, threshold)) < RECALL:
+            raise RuntimeError(f"the audit finds {recall:.3f} of the links after all components were compared")
     return groups
 
 
+def _cut(tile: int):
+    """Rows sorted by (root, code), cut into tiles; each row with its tile, and one row (n null) a tile with its pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for table in runs(batches, ["root"], tile):
+            x, at = units(table.column("x")), at + 1
+            middle = x.mean(0)
+            # A clump round the origin has no mean direction; any member does as well.
+            pivot = middle / norm if (norm := np.sqrt(middle @ middle)) > 1e-3 else x[0]
+            radius = float(np.arccos(np.clip(x @ pivot, -1, 1)).max())
+            n, weight = table.num_rows, int(np.sum(table.column("rows").to_numpy()))
+            yield pa.RecordBatch.from_arrays([table.column("root").slice(0, 1).combine_chunks(), pa.array([at]), pa.array([None], pa.int64()), pa.array([weight]), pa.array([None], table.column("x").type), pa.array([pivot.tolist()], pa.list_(pa.float64())), pa.array([radius])], names=_CUT)
+            yield pa.RecordBatch.from_arrays([table.column("root").combine_chunks(), pa.array(np.full(n, at)), table.column("n").combine_chunks(), table.column("rows").combine_chunks(), table.column("x").combine_chunks(), pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.float64())], names=_CUT)
+
+    return run
+
+
+_CUT = ["root", "tile", "n", "rows", "x", "pivot", "radius"]
+
+
+def _verdicts(threshold: float):
+    """Pairs of tiles that may link, and whether all of their rows do."""
+    far = np.arccos(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.asarray(batch.column(i).flatten()).reshape(batch.num_rows, -1) for i in (4, 5))
+            angle = np.arccos(np.clip(np.einsum("ij,ij->i", a, b), -1, 1))
+            reach = batch.column(6).to_numpy() + batch.column(7).to_numpy()
+            # Rounding of angles near zero is some 1e-8.
+            every = angle + reach + 1e-6 <= far
+            some = np.flatnonzero(angle <= reach + far + 1e-6)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(some)) for i in range(4)], pa.array(every[some])], names=["t1", "t2", "w1", "w2", "every"])
+
+    return run
+
+
 def _tiled(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["root", "t1", "t2"]):
+        for table in runs(batches, ["t1", "t2"]):
             side = table.column("side").to_numpy(zero_copy_only=False)
             x, weight, ids = units(table.column("x")), table.column("rows").to_numpy(), table.column("n").to_numpy()
             left, right = side == 0, side == 1
-            links = (x[left] @ x[right].T >= threshold) & (ids[left][:, None] != ids[right][None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(links @ weight[right], pa.int64())], names=["n", "part"])
+            if right.any():
+                links = x[left] @ x[right].T >= threshold
+                n, part = np.r_[ids[left], ids[right]], np.r_[links @ weight[right], weight[left] @ links]
+            else:
+                links = x @ x.T >= threshold
+                np.fill_diagonal(links, False)
+                n, part = ids, links @ weight
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(part, pa.int64())], names=["n", "part"])
 
     return run
 
 
+def link_counts(linked: DataFrame, threshold: float) -> DataFrame:
+    """(n, others): the weight of the other vectors that each of ``linked`` (n, x, rows, root) links with."""
+    spark = linked.sparkSession
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = np.zeros(batch.num_rows, dtype=np.int64)
+            sizes = np.diff(batch.column(3).offsets.to_numpy()) if batch.num_rows else np.zeros(0)
+            for dim in np.unique(sizes):
+                some = np.flatnonzero(sizes == dim)
+                codes[some] = _signs(units(batch.column(3).take(pa.array(some))), 1)[:, 0]
+            yield from table.append_column("code", pa.array(codes)).to_batches()
+
+    kind = dict(linked.dtypes)["x"]
+    coded = saved(linked.select("root", "n", "rows", "x").mapInArrow(code, f"root long, n long, rows long, x {kind}, code long"), "member-codes")
+    ordered = coded.repartitionByRange(partitions(spark), "root", "code", F.xxhash64("n")).sortWithinPartitions("root", "code", F.xxhash64("n"))
+    cut = saved(ordered.select("root", "n", "rows", "x").mapInArrow(_cut(TILE), f"root long, tile long, n long, rows long, x {kind}, pivot array<double>, radius double"), "tiles")
+    rows, tiles = cut.filter("n is not null").select("tile", "n", "rows", "x"), cut.filter("n is null").select("root", "tile", F.col("rows").alias("w"), "pivot", "radius")
+    one, two = tiles.toDF("root", "t1", "w1", "p1", "r1"), tiles.toDF("root", "t2", "w2", "p2", "r2")
+    pairs = one.join(two, "root").filter("t1 < t2").select("t1", "t2", "w1", "w2", "p1", "p2", "r1", "r2")
+    judged = saved(pairs.mapInArrow(_verdicts(threshold), "t1 long, t2 long, w1 long, w2 long, every boolean"), "tile-pairs")
+    every = judged.filter("every")
+    whole = every.select(F.col("t1").alias("tile"), F.col("w2").alias("w")).union(every.select("t2", "w1")).groupBy("tile").agg(F.sum("w").alias("part"))
+    open_pairs = judged.filter("not every").select("t1", "t2").union(tiles.select("tile", "tile"))
+    left = open_pairs.join(rows, F.col("t1") == F.col("tile")).select("t1", "t2", F.lit(0).alias("side"), "n", "rows", "x")
+    right = open_pairs.filter("t1 < t2").join(rows, F.col("t2") == F.col("tile")).select("t1", "t2", F.lit(1).alias("side"), "n", "rows", "x")
+    met = left.union(right).repartition(partitions(spark), "t1", "t2").sortWithinPartitions("t1", "t2")
+    counted = met.mapInArrow(_tiled(threshold), "n long, part long").union(rows.join(whole, "tile").select("n", "part"))
+    return counted.groupBy("n").agg(F.sum("part").alias("others"))
+
+
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, n_links, component) for every row of ``table``."""
     spark = table.sparkSession
     good = table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x"), usable(vector).alias("ok"))
-    keyed = saved(good.withColumn("k1", F.when(F.col("ok"), F.xxhash64("x"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "x"))).withColumn("x", F.when(F.col("ok"), F.col("x").cast("array<float>") if "double" not in dict(table.dtypes)[vector] else F.col("x"))), "vectors")
+    keyed = saved(good.withColumn("k1", F.when(F.col("ok"), F.xxhash64("x"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "x"))).withColumn("x", F.when(F.col("ok"), F.col("x").cast(_dense(dict(table.dtypes)[vector])))), "vectors")
     # Rows that hold equal vectors are one from here on; the written numbers are what later steps read.
     classes = keyed.filter("ok").groupBy("k1", "k2").agg(F.any_value("x").alias("x"), F.min("id").alias("least"), F.count("*").alias("rows"))
     classes = saved(classes.withColumn("n", F.monotonically_increasing_id()).withColumn("dim", F.size("x").cast("long")), "vector-classes")
@@ -233,14 +331,9 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec
     lists, _ = neighbour_lists(vectors, threshold)
     groups = linked_groups(vectors, lists, threshold)
     linked = classes.join(groups, classes["n"] == groups["node"]).select("n", "x", "rows", "least", "root")
-    sizes = linked.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component"))
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    placed = linked.join(sizes, "root").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = placed.select("root", F.col("t").alias("t1"), each.alias("t2"), F.lit(0).alias("side"), "n", "rows", "x")
-    right = placed.select("root", each.alias("t1"), F.col("t").alias("t2"), F.lit(1).alias("side"), "n", "rows", "x")
-    tiled = left.union(right).repartition(partitions(spark), "root", "t1", "t2").sortWithinPartitions("root", "t1", "t2")
-    counts = tiled.mapInArrow(_tiled(threshold), "n long, part long").groupBy("n").agg(F.sum("part").alias("others"))
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component"))
+    placed = saved(linked.join(sizes, "root"), "linked")
+    counts = link_counts(placed, threshold)
     by_class = classes.select("n", "k1", "k2", "least", "rows").join(placed.select("n", "component"), "n", "left").join(counts, "n", "left")
     by_class = by_class.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     out = keyed.join(by_class, ["k1", "k2"], "left")

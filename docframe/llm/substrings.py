@@ -4,13 +4,14 @@ Seeds. Every run of ``SEED`` words is hashed; of each 26 consecutive ones the le
 words are exactly one window of 35 words, so equal windows hold the same anchor at the same place: where an anchor
 occurs once in the corpus, no window around it can repeat. Anchors are counted over all documents and joined back.
 
-Extension. Around every anchor that occurs again, each occurrence is extended both ways to the windows that it
-governs; these are matched by 128-bit hashes. A window that starts at two places is a repeat, and touching windows
-merge into maximal repeats, whose words are removed.
+Extension. Around every anchor that occurs again, each occurrence is extended both ways to the windows of 35 words that
+it governs; these are matched by 128-bit hashes. A window that starts at two places is a repeat, and touching windows
+merge into maximal repeats, whose words are removed. So occurrences are not compared two by two, word by word: a window's
+hash says whether an extension to it matches any other, which finds the same repeats without a pair of occurrences.
 
-No pair of occurrences is ever made. Texts are dealt into pieces of about 8 MB by a hash; a piece sends each different
-window once, to the bucket of its hash, and gets back those that repeat. So a passage in a third of all documents is
-one row a piece, not one a document.
+Texts are dealt into pieces of about 8 MB by a hash; a piece counts each anchor once, sends each different window once,
+to the bucket of its hash, and gets back those that repeat. So a passage in a third of all documents is one row a piece,
+not one a document.
 
 Defined cases: null and empty texts have no words; a text of under 35 words loses none; a null id keeps its row; the
 words of repeated rows repeat, so they go in every copy; an empty table gives an empty result; extra columns are ignored.
@@ -52,8 +53,11 @@ def _anchor_rows(window: int, seed: int):
             _, picked = anchors(words, window, seed)
             at = np.flatnonzero(picked)
             if len(at):
-                chunk = batch.column(0).to_numpy()[words.doc[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array((words.ngrams(seed)[at] | np.uint64(1)).view(np.int64))], names=["chunk", "anchor"])
+                chunk, anchor = batch.column(0).to_numpy()[words.doc[at]], (words.ngrams(seed)[at] | np.uint64(1)).view(np.int64)
+                order = np.lexsort((anchor, chunk))
+                chunk, anchor = chunk[order], anchor[order]
+                first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (anchor[1:] != anchor[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(anchor[first]), pa.array(np.diff(np.r_[first, len(chunk)]))], names=["chunk", "anchor", "n"])
 
     return run
 
@@ -88,7 +92,7 @@ def _requests(window: int, seed: int, buckets: int):
         both, often, bucket = both[order], often[order], bucket[order]
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
         chunk = texts.column("chunk")[0].as_py() if texts.num_rows else 0
-        ends = np.r_[cut[1:], len(bucket)]
+        ends = np.r_[cut[1:], len(bucket)] if len(cut) else cut
         return pa.table({"bucket": pa.array(bucket[cut], pa.int64()), "chunk": pa.array([chunk] * len(cut), pa.int64()), "keys": pa.array([both[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), "often": pa.array([np.packbits(often[a:b]).tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
     return run
@@ -107,20 +111,27 @@ def _answers(table: pa.Table) -> pa.Table:
     hit = np.zeros(len(keys), dtype=bool)
     hit[order] = np.repeat(again, size)
     ends = np.cumsum([len(k) for k in sent])
-    back = [keys[a:b][hit[a:b], 0].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+    back = [keys[a:b][hit[a:b]].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
     keep = [i for i, x in enumerate(back) if x]
     return pa.table({"chunk": pa.array([table.column("chunk")[i].as_py() for i in keep], pa.int64()), "again": pa.array([back[i] for i in keep], pa.binary())})
 
 
 def _removal(window: int, id_type: pa.DataType):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        again = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(x, dtype=np.uint64) for x in answers.column("again").to_pylist())]))
+        again = np.concatenate([np.zeros((0, 2), dtype=np.uint64), *(np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in answers.column("again").to_pylist())])
+        again = again[np.argsort(again[:, 0])]
+        # Windows that agree in the first hash alone are looked up one by one.
+        twins = again[:-1, 0][again[1:, 0] == again[:-1, 0]]
         ids, total, kept, cuts = [], [], [], []
         for batch, words, one in _window_keys(opened(texts), window) if texts.num_rows else ():
             cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
             if len(again) and len(one):
-                place = np.minimum(np.searchsorted(again, one), len(again) - 1)
-                at = np.flatnonzero((again[place] == one) & words.whole(window))
+                place = np.minimum(np.searchsorted(again[:, 0], one), len(again) - 1)
+                two = words.ngrams(window, BASES[2])
+                same = (again[place, 0] == one) & (again[place, 1] == two)
+                for i in np.flatnonzero(np.isin(one, twins)) if len(twins) else ():
+                    same[i] = (again == (one[i], two[i])).all(1).any()
+                at = np.flatnonzero(same & words.whole(window))
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
@@ -145,11 +156,13 @@ def _removal(window: int, id_type: pa.DataType):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, removed array<struct<start, length>> in words, kept string) for every row of (doc_id, text)."""
     n = text_chunks(docs)
-    piece = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n))
+    # Rows without an id may all be alike; where they are read deals them out.
+    piece = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(n))
     texts = docs.select(piece.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("t"))
-    seeds = saved(texts.select("chunk", "t").mapInArrow(_anchor_rows(window, seed), "chunk long, anchor long"), "anchors")
-    twice = seeds.groupBy("anchor").count().filter("count > 1").select("anchor")
-    known = seeds.join(twice, "anchor").select("chunk", "anchor")
+    seeds = texts.select("chunk", "t").mapInArrow(_anchor_rows(window, seed), "chunk long, anchor long, n long")
+    seeds = saved(seeds.groupBy("chunk", "anchor").agg(F.sum("n").alias("n")), "anchors")
+    twice = seeds.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    known = seeds.select("chunk", "anchor").join(twice, "anchor")
     packed = bundles(texts)
     asked = packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_requests(window, seed, n), "bucket long, chunk long, keys binary, often binary")
     answers = saved(asked.groupBy("bucket").applyInArrow(_answers, "chunk long, again binary"), "repeats")

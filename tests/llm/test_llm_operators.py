@@ -77,6 +77,21 @@ def test_substrings_equal_brute_force(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_texts_without_repeats(spark):
+    for texts in ([" ".join(f"w{i}x{k}" for k in range(60)) for i in range(20)], ["short text", "another one"], [None, "", " "]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r for r in substrings.remove_repeats(df).collect()}
+        for i, t in enumerate(texts):
+            words = (t or "").split()
+            assert (got[i].n_words, got[i].removed, got[i].kept) == (len(words), [], " ".join(words))
+
+
+def test_many_rows_without_an_id_repeat(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    got = substrings.remove_repeats(spark.createDataFrame([(None, text)] * 40 + [(1, text + " end")], "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 41 and {(r.n_words, r.kept) for r in got} == {(50, ""), (51, "end")}
+
+
 def test_packing_places_every_token(docs, empty):
     rows = packing.pack_documents(docs).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((i, len(t.split()) + 1) for i, t in texts())
@@ -120,7 +135,7 @@ def valid(v, dim=16):
     return v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_embedding_links_equal_brute_force(spark):
+def test_embedding_links_equal_brute_force(spark, monkeypatch):
     rows = vectors()
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, n long")
     got = {(r.id): (r.n_links, r.component) for r in embedding_dedup.near_vectors(df).collect()}
@@ -140,6 +155,13 @@ def test_embedding_links_equal_brute_force(spark):
         if not valid(v) and i is not None:
             assert got[i] == (0, i)
     assert embedding_dedup.near_vectors(df.filter("vec_id < 0")).count() == 0
+    # Other element types; small tiles, of which some pairs are settled by their pivots.
+    links = {k: v for k, v in got.items()}
+    monkeypatch.setattr(embedding_dedup, "TILE", 7)
+    doubles = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    assert {r.id: (r.n_links, r.component) for r in embedding_dedup.near_vectors(doubles).collect()} == links
+    whole = spark.createDataFrame([(1, [1, 0]), (2, [9, 1]), (3, [0, 1]), (4, [2**53 + 1, 0])], "vec_id long, embedding array<long>")
+    assert {(r.id, r.n_links, r.component) for r in embedding_dedup.near_vectors(whole).collect()} == {(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)}
 
 
 def test_links_between_two_tight_clumps_are_found(spark, monkeypatch):
@@ -388,18 +410,27 @@ def test_gray_index_finds_all_pairs_and_hot_keys(spark, monkeypatch):
 
 def test_wide_search_does_not_depend_on_hot(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 8, dtype=np.uint64)
-    # All rows share the low block of each word; rows 0 and 1 differ in one bit of each block of 12 of the rest.
-    far = rng.integers(0, 2**47, (30, 8), dtype=np.uint64) << np.uint64(16)
-    codes = np.concatenate([base[None], (base ^ np.uint64(sum(1 << 16 + 12 * b for b in range(4))))[None], base ^ far])
+    base = rng.integers(0, 2**63, (40, 16), dtype=np.uint64)
+    # Pairs at 140 differing bits; all rows share a quarter of their bits.
+    flips = np.packbits(np.arange(1024) < 140, bitorder="little").view("<u8")
+    near = np.stack([b ^ np.packbits(rng.permutation(np.unpackbits(flips.view(np.uint8))), bitorder="little").view("<u8") for b in base[:20]])
+    codes = np.concatenate([base, near])
     codes = spark.createDataFrame([(i, c.view(np.int64).tolist()) for i, c in enumerate(codes)], "n long, fp array<long>")
-    ends = lambda: {frozenset(g) for g in _groups(simhash.link_forest(codes, 24, 8, 86).collect())}
+    ends = lambda: {frozenset(g) for g in _groups(simhash.link_forest(codes, 64, 16, 172).collect())}
     want = ends()
-    assert want == {frozenset({0, 1})}
-    monkeypatch.setattr(simhash, "HOT", 10)
+    assert len(want) >= 18 and want <= {frozenset({i, 40 + i}) for i in range(20)}
+    monkeypatch.setattr(simhash, "HOT", 1)
     assert ends() == want
 
 
+def test_bands_meet_at_every_size():
+    for rows in (10, 10**5, 10**7, 10**10):
+        chosen = simhash.bands(rows, 16, 172)
+        width = len(chosen[0][1])
+        assert rows / 2**width <= 32 and 1 - (1 - (1 - 172 / 1024) ** width) ** len(chosen) >= simhash.MEET
+        assert all(len(set(bits)) == width and (bits // 64 != word).all() for word, bits in chosen)
+
+
 def _groups(edges):
     sets = {}
     for a, b in edges:
@@ -410,7 +441,7 @@ def _groups(edges):
     return sets.values()
 
 
-def test_near_copies_go_and_others_stay(spark):
+def test_near_copies_go_and_others_stay(spark, monkeypatch):
     rng = random.Random(8)
     base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(12)]
     rows = [(i, " ".join(w)) for i, w in enumerate(base)]
@@ -418,8 +449,27 @@ def test_near_copies_go_and_others_stay(spark):
         near = list(base[i])
         near[150] = "edited"
         rows.append((100 + i, " ".join(near)))
-    rows += [(7, rows[7][1]), (200, rows[8][1]), (None, "x"), (300, None), (301, "")]
-    df = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, _id string")
+    other = lambda: " ".join(f"o{rng.randrange(5000)}" for _ in range(200))
+    lone, twin = other(), other()
+    # Copies under one id, unlike texts under one id, copies without an id, no text.
+    rows += [(7, rows[7][1]), (200, rows[8][1]), (None, lone), (None, lone), (300, None), (301, ""), (9, twin), (None, rows[10][1])]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, _id string, _row string")
+    want = order([*((i, rows[i][1]) for i in range(12)), (None, lone), (300, None), (9, twin)])
     kept = simhash.drop_near_copies(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [*range(12), 300]
+    assert kept.columns == df.columns and order((r.doc_id, r.text) for r in kept.collect()) == want
+    monkeypatch.setattr(simhash, "SENT", 0)
+    assert order((r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect()) == want
+    assert simhash.drop_near_copies(df.filter("doc_id < 0")).count() == 0
+
+
+def test_stage_finds_pairs_of_similarity_point_eight(spark):
+    rng = random.Random(9)
+    rows, near = [], 0
+    for i in range(150):
+        words = [f"w{rng.randrange(4000)}" for _ in range(250)]
+        changed = list(words)
+        for at in rng.sample(range(250), 5):  # about 24 of 246 shingles go: similarity 0.82
+            changed[at] = "x" + changed[at]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, 300, 2)) and len(kept) - 150 <= 15
