@@ -2,17 +2,20 @@
 
 Fitting: of up to ``SAMPLE`` vectors (least hash of the id) the exact neighbour graph is cut into balanced parts by
 recursive spectral bisection at the median. A small network (one hidden layer) learns each vector's part and those of
-its graph neighbours. Indexing: every row is routed to its most probable part. Searching: a query goes to its most
-probable parts, whose rows are ranked by exact cosine. How many parts are probed is set by an audit: the true
-neighbours of up to ``AUDIT`` rows are found among all rows in blocks, and probes are added until ``TARGET`` of these
-lie in probed parts.
+its graph neighbours. Where parts would hold over ``PART`` rows, each is fitted again on up to SAMPLE of its own rows, in
+a task of its own, and cut into parts by a network of its own: 16 to ``MOST`` parts, or up to MOST squared. Indexing:
+every row is routed to its most probable part. Searching: a query goes to its most probable parts (products of both
+levels), whose rows are ranked by exact cosine. How many parts are probed is set by an audit: the true neighbours of up to
+``AUDIT`` rows that no network was fitted on (all rows, if there are no others) are found among all rows in blocks, and
+probes are added until ``TARGET`` of these lie in probed parts.
 
 Parts are split into blocks of at most about ``BLOCK`` rows, which a query visits each, so a part with most rows is
-many tasks. What goes to every task is the network and at most AUDIT vectors.
+many tasks. What goes to every task is the networks (at most MOST + 1, some 70 kB each) and at most AUDIT vectors.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components take no part; only vectors of
 the commonest dimension do; rows with a null id are candidates for no query; fewer candidates than asked for give fewer
-rows; ties go to the smaller id; an empty table gives an empty result; extra columns are ignored.
+rows; ties go to the smaller id; of rows with equal ids each is a candidate for others, and one asks; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import joined_arrays, read, saved, split_arrays
 from .vectors import units, usable
 
 SAMPLE = 4_096
-PARTS = 16
+PARTS, MOST = 16, 64
+#: Rows of a part from which on it is cut again.
+PART = 65_536
 NEIGHBOURS = 10
 HIDDEN = 64
 STEPS = 250
@@ -92,6 +97,37 @@ class Router:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
+class Tree:
+    """A network over the first parts, and one more within each that is cut again; parts are numbered through."""
+
+    def __init__(self, top: Router, parts: int) -> None:
+        self.top, self.below, self.sizes = top, {}, np.ones(parts, dtype=np.int64)
+
+    def add(self, part: int, router: Router) -> None:
+        self.below[part] = router
+        self.sizes[part] = len(router.b2)
+
+    @property
+    def parts(self) -> int:
+        return int(self.sizes.sum())
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        """Log probabilities of all parts."""
+        top = _log_softmax(self.top.logits(x))
+        return np.concatenate([top[:, [p]] + (_log_softmax(self.below[p].logits(x)) if p in self.below else 0) for p in range(len(self.sizes))], axis=1)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def fit(x: np.ndarray, parts: int) -> Router:
+    """A network over balanced parts of the neighbour graph of ``x``."""
+    graph = neighbour_graph(x)
+    return fit_router(x, graph, balanced_parts(graph, parts), parts)
+
+
 def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, steps: int = STEPS) -> Router:
     """Cross-entropy against the parts of a vector's neighbours and its own, by Adam in mini-batches."""
     rng = np.random.default_rng(5)
@@ -122,7 +158,7 @@ def exact_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k:
     for i in range(len(q)):
         kth = np.partition(sims[i], -k)[-k] if len(ids) > k else -2
         near = np.flatnonzero(sims[i] >= max(kth - 1e-9, -2))
-        score = np.einsum("ij,j->i", x[near], q[i])
+        score = np.clip(np.einsum("ij,j->i", x[near], q[i]), -1, 1)
         order = np.lexsort((ids[near], -score))[:k]
         if len(order):
             yield i, ids[near][order], score[order]
@@ -147,6 +183,7 @@ def _brute(ids: np.ndarray, q: np.ndarray, k: int):
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "part")).alias("_b")).select("query_id", "vec_id", "_b.score", "_b.part")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -168,39 +205,60 @@ def _searched(k: int):
 @dataclass
 class Index:
     rows: DataFrame
-    router: Router
+    router: Tree
     probes: int
     recall: float
     blocks: dict[int, int]
 
 
-def build(vectors: DataFrame, k: int = 5, parts: int = PARTS, sample: int = SAMPLE, target: float = TARGET) -> Index | None:
-    """Index over ``vectors`` (id long, x array); None without rows."""
-    some = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    if not len(some):
-        return None
-    x = units(pa.array(some["x"].tolist()))
-    graph = neighbour_graph(x)
-    parts = max(1, min(parts, len(x) // 32))
-    router = fit_router(x, graph, balanced_parts(graph, parts), parts)
-
+def _routed(vectors: DataFrame, router: Tree) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 part = router.logits(units(batch.column(1))).argmax(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int64)), batch.column(1)], names=["id", "part", "x"])
 
-    kind = dict(vectors.dtypes)["x"]
-    rows = saved(vectors.select("id", "x").mapInArrow(route, f"id long, part long, x {kind}"), "ann-index")
-    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # at most ``parts`` rows
-    probe, px = some["id"].to_numpy()[:AUDIT], x[:AUDIT]
+    return vectors.select("id", "x").mapInArrow(route, f"id long, part long, x {dict(vectors.dtypes)['x']}")
+
+
+def build(vectors: DataFrame, k: int = 5, parts: int | None = None, sample: int = SAMPLE, target: float = TARGET) -> Index | None:
+    """Index over ``vectors`` (id long, x array); None without rows."""
+    order = [F.xxhash64("id"), F.col("id")]
+    some = vectors.orderBy(*order).limit(sample + AUDIT).toPandas()
+    if not len(some):
+        return None
+    n = vectors.count()
+    x = units(pa.array(some["x"].tolist()))
+    wanted = parts or min(MOST, max(PARTS, -(-n // PART)))
+    wanted = max(1, min(wanted, min(len(x), sample) // 32))
+    router = Tree(fit(x[:sample], wanted), wanted)
+    if n > wanted * PART and wanted > 1:
+        again = min(MOST, -(-n // (wanted * PART)))
+
+        def refit(table: pa.Table) -> pa.Table:
+            own = units(table.column("x"))
+            count = min(again, len(own) // 32)
+            made = fit(own, count) if count > 1 else None
+            arrays = joined_arrays(made.w1.ravel(), made.b1, made.w2.ravel(), made.b2) if made else b""
+            return pa.table({"part": table.column("part").slice(0, 1), "net": pa.array([arrays], pa.binary())})
+
+        first = _routed(vectors, router)
+        own = first.withColumn("_r", F.row_number().over(W.partitionBy("part").orderBy(*order))).filter(F.col("_r") <= sample).drop("_r")
+        for row in own.groupBy("part").applyInArrow(refit, "part long, net binary").collect():  # at most MOST networks
+            if row["net"]:
+                w1, b1, w2, b2 = split_arrays(bytes(row["net"]))
+                router.add(row["part"], Router(w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), -1), b2))
+    rows = saved(_routed(vectors, router), "ann-index")
+    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # at most as many rows as parts
+    unseen = slice(sample, None) if len(x) > sample else slice(0, AUDIT)
+    probe, px = some["id"].to_numpy()[unseen], x[unseen]
     true = _ranked(rows.mapInArrow(_brute(probe, px, k), "query_id long, part long, vec_id long, score double"), k).select("query_id", "part").collect()
     place = np.argsort(np.argsort(-router.logits(px), axis=1), axis=1)
     at = {q: i for i, q in enumerate(probe.tolist())}
     ranks = np.array([place[at[r["query_id"]], r["part"]] for r in true])
-    recall = [(ranks < m).mean() if len(ranks) else 1.0 for m in range(1, parts + 1)]
-    probes = next((m for m, r in enumerate(recall, 1) if r >= target), parts)
-    return Index(rows, router, probes, float(recall[probes - 1]), {p: -(-n // BLOCK) for p, n in counts.items()})
+    recall = [(ranks < m).mean() if len(ranks) else 1.0 for m in range(1, router.parts + 1)]
+    probes = next((m for m, r in enumerate(recall, 1) if r >= target), router.parts)
+    return Index(rows, router, probes, float(recall[probes - 1]), {p: -(-c // BLOCK) for p, c in counts.items()})
 
 
 def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -220,6 +278,7 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     visits = queries.select("id", "x").mapInArrow(visit, f"part long, block long, id long, x {kind}")
     number = F.element_at(F.create_map(*[F.lit(v) for p, n in blocks.items() for v in (int(p), int(n))]), F.col("part").cast("int"))
     placed = index.rows.withColumn("block", F.pmod(F.xxhash64("id"), number).cast("long"))
+    # Blocks of a part hold rows of equal id together, of which the best counts.
     hits = placed.groupBy("part", "block").cogroup(visits.groupBy("part", "block")).applyInArrow(_searched(k), "query_id long, part long, vec_id long, score double")
     return _ranked(hits, k).select("query_id", "rank", "vec_id", "score")
 
@@ -232,7 +291,8 @@ def nearest(table: DataFrame, every: int, k: int = 5, key: str = "vec_id", vecto
     index = build(good.filter(F.size("x") == common["d"]), k) if common else None
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, good.filter((F.size("x") == common["d"]) & (F.col("id") % every == 0)), k)
+    asking = good.filter((F.size("x") == common["d"]) & (F.col("id") % every == 0)).groupBy("id").agg(F.min("x").alias("x"))
+    return search(index, asking, k)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

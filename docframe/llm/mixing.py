@@ -7,8 +7,9 @@ blocks, every block a keyed permutation of all its documents; the last block sto
 
 Without a given budget, the smallest is taken that reads every document at least once, so that nothing is dropped.
 
-Where the last block stops is found from token sums of 4,096 hash ranges of each source; only the one range that holds
-the end is put in order. So a source with a third of all rows never meets in one task.
+Where the last block stops is found from token sums of 4,096 hash ranges of each source, then of 4,096 parts of the one
+that holds the end, and so on for ``LEVELS`` levels; only the rows of one last part, a part in 4,096 ** LEVELS, are put in
+order. So a source with a third of all rows never meets in one task.
 
 Defined cases: null source is a source of its own; null and empty texts have no tokens and are read once; a null id
 keeps its row; repeated rows are rows of their own; an empty table gives an empty result; extra columns are kept.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import read, saved, word_count
 
-RANGES = 4_096
+LEVELS = 3
 REPETITION_LIMIT = 2.0
 SEED = 20_240_607
 _SECTIONS = 64
@@ -89,20 +90,30 @@ def mix(docs: DataFrame, chosen: DataFrame, seed: int = SEED) -> DataFrame:
     rows = docs.join(named, docs["source"].eqNullSafe(named["_source"])).drop("_source")
     slot = F.xxhash64(F.lit(seed), F.col("block"), F.col("_mark"))
     whole = rows.filter("full > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).withColumn("slot", slot).drop("full", "rest")
-    last = rows.filter("rest > 0").withColumn("block", F.col("full")).withColumn("slot", slot).withColumn("_range", F.shiftrightunsigned("slot", 52).cast("int"))
-    sums = last.groupBy("source", "_range").agg(F.sum("n_tokens").alias("_sum"), F.max("rest").alias("_rest"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = saved(sums.withColumn("_before", before).filter("_before < _rest").select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_sum", "_before"), "mix-ranges")
-    near = last.join(ranges, last["source"].eqNullSafe(ranges["_s"]) & (last["_range"] == ranges["_r"])).drop("_s", "_r")
-    inside = near.filter("_before + _sum <= rest")
-    order = W.partitionBy("source", "_range").orderBy("slot", "_mark", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = near.filter("_before + _sum > rest").withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(order)).filter("_upto <= rest").drop("_upto")
-    return whole.unionByName(inside.unionByName(edge).drop("full", "rest", "_range", "_sum", "_before"))
+    edge = rows.filter("rest > 0").withColumn("block", F.col("full")).withColumn("slot", slot).withColumn("_before", F.lit(0).cast("long"))
+    parts = [whole]
+    for level in range(LEVELS):
+        part = F.shiftrightunsigned(F.shiftleft("slot", 12 * level), 52).cast("int")
+        edge = edge.withColumn("_range", part)
+        sums = edge.groupBy("source", "_range").agg(F.sum("n_tokens").alias("_sum"), F.max("rest").alias("_rest"), F.max("_before").alias("_base"))
+        earlier = F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ranges = saved(sums.withColumn("_from", F.col("_base") + earlier).filter("_from < _rest").select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_sum", "_from"), "mix-ranges")
+        near = edge.join(ranges, edge["source"].eqNullSafe(ranges["_s"]) & (edge["_range"] == ranges["_r"])).drop("_s", "_r", "_range", "_before")
+        parts.append(near.filter("_from + _sum <= rest").drop("full", "rest", "_sum", "_from"))
+        edge = near.filter("_from + _sum > rest").withColumn("_before", F.col("_from")).drop("_sum", "_from")
+    order = W.partitionBy("source").orderBy("slot", "_mark", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
+    parts.append(edge.withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(order)).filter("_upto <= rest").drop("_upto", "full", "rest", "_before"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of whole ``documents``: (doc_id, source, block, slot, n_tokens, weight), one row for each reading."""
-    docs = saved(read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n_tokens")), "lengths").withColumn("_mark", F.xxhash64("doc_id", "n_tokens"))
+    # The row's number is written with it, so that repeated rows have places of their own in a block.
+    lengths = read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n_tokens"), F.monotonically_increasing_id().alias("_row"))
+    docs = saved(lengths, "lengths").withColumn("_mark", F.xxhash64("doc_id", "n_tokens", "_row")).drop("_row")
     return mix(docs, plan(docs)).select("doc_id", "source", "block", "slot", "n_tokens", "weight")
 
 

@@ -4,8 +4,9 @@ One pattern finds the entities of a text. Each is brought to a canonical form (d
 address, words of a name). The distinct canonical forms of the whole corpus make one table, where each draws a
 surrogate from a keyed digest: digits for digits, letters of the same script and case for letters, octets for octets,
 names of the same gender and script for names; card numbers keep their Luhn validity. Two entities that draw the same
-surrogate, or one that draws an entity which occurs, draw again until none collides, so different entities stay
-different and the same entity is replaced alike everywhere. Surrogates are then poured into each occurrence's format.
+surrogate, or one that draws an entity which occurs, draw again until none collides, names with more syllables each
+other time, so different entities stay different and the same entity is replaced alike everywhere. Surrogates are then
+poured into each occurrence's format. Names are found after a title. The key comes from the session.
 
 Only texts with entities are shuffled, by their digest; the others pass through. Entities are made distinct with
 map-side pre-aggregation, and the joins back are inner equi-joins against one row a key.
@@ -20,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import partitions, read, saved
 
-KEY = "change-me"
+#: The key where none is given; not a secret. ``KEY_SETTING`` names the session setting that holds the real one.
+KEY, KEY_SETTING = "change-me", "spark.docframe.pii.key"
 _SECRET_LEAD = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']? ?[=:]{1,2} ?[\"']?"
 _MEN = r"Mr|Sir|Herr|Señor|Monsieur|Г-н|Господин"
 _WOMEN = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Г-жа|Госпожа"
@@ -89,9 +91,13 @@ def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     hexadecimal = canonical.rlike("^[0-9a-f]+$")
     plain = _each(canonical, lambda c, i: _alike(stream, c, i, hexadecimal))
     top = F.length(canonical) - F.locate(".", F.reverse(canonical)) + 1
-    email = _each(canonical, lambda c, i: F.when(i + 1 >= top, c).otherwise(_alike(stream, c, i, F.lit(False))))
+    # Equal domains get equal surrogates; what tells addresses apart is before the at sign.
+    at = F.locate("@", canonical)
+    domain = _stream(F.lit("domain"), F.substr(canonical, at + 1, F.length(canonical)), F.lit(0), key)
+    email = _each(canonical, lambda c, i: F.when(i + 1 >= top, c).when(i >= at, _alike(domain, c, i - at, F.lit(False))).otherwise(_alike(stream, c, i, F.lit(False))))
     octets = F.split(canonical, r"\.")
-    octet = lambda o, i: F.when(F.length(o) == 1, 1 + _byte(stream, i) % 9).when(F.length(o) == 2, 10 + _byte(stream, i) % 90).otherwise(100 + _byte(stream, i) % 156).cast("string")
+    # Octets keep their lengths; once that has failed often, any do.
+    octet = lambda o, i: F.when(attempt >= 8, _byte(stream, i)).when(F.length(o) == 1, 1 + _byte(stream, i) % 9).when(F.length(o) == 2, 10 + _byte(stream, i) % 90).otherwise(100 + _byte(stream, i) % 156).cast("string")
     ip = F.array_join(F.transform(octets, octet), ".")
     last = F.length(canonical) - 1
     drawn = F.concat(F.substr(canonical, F.lit(1), F.lit(1)), F.substr(plain, F.lit(2), last))
@@ -104,7 +110,8 @@ def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     def name(which: str) -> Column:
         def made(cyrillic: bool) -> Column:
             syllables = CYRILLIC if cyrillic else LATIN
-            return F.initcap(F.concat(*[_pick(syllables, _byte(stream, i)) for i in range(3)], _pick(ENDINGS[which, cyrillic], _byte(stream, 3))))
+            longer = [F.when(attempt >= 2 * i, _pick(syllables, _byte(stream, 3 + i))).otherwise("") for i in range(1, 6)]
+            return F.initcap(F.concat(*[_pick(syllables, _byte(stream, i)) for i in range(3)], *longer, _pick(ENDINGS[which, cyrillic], _byte(stream, 3))))
 
         return F.when(canonical.rlike("[а-яё]"), made(True)).otherwise(made(False))
 
@@ -125,12 +132,14 @@ def kind_of(match: Column) -> Column:
 
 def _parts(kind: Column, match: Column) -> Column:
     """Array of (type, canonical form) that a match is made of: one, or for names the given name and the surname."""
-    words = F.split(F.lower(match), " ")
+    # Where lower case has another length, places would shift: such a match is its own canonical form.
+    low = F.when(F.length(F.lower(match)) == F.length(match), F.lower(match)).otherwise(match)
+    words = F.split(low, " ")
     one = lambda k, c: F.array(F.struct(k.alias("kind"), c.alias("canonical")))
     names = F.when(F.size(words) > 2, F.array(F.struct(kind.alias("kind"), words[1].alias("canonical")), F.struct(F.lit("surname").alias("kind"), words[2].alias("canonical")))).otherwise(one(F.lit("surname"), words[1]))
     digits = F.regexp_replace(match, "[^0-9A-Za-z]", "")
     value = F.regexp_extract(match, rf"(?s)^(?:(?i:{_SECRET_LEAD}))?(.*)$", 1)
-    return F.when(kind.isin("man", "woman"), names).when(kind.isin("card", "phone", "ssn", "iban"), one(kind, digits)).when(kind == "secret", one(kind, value)).otherwise(one(kind, F.lower(match)))
+    return F.when(kind.isin("man", "woman"), names).when(kind.isin("card", "phone", "ssn", "iban"), one(kind, digits)).when(kind == "secret", one(kind, value)).otherwise(one(kind, low))
 
 
 def _poured(kind: Column, match: Column, new: Column) -> Column:
@@ -164,9 +173,11 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFra
     # An email's last label is never drawn; names are made anew whatever they hold.
     own = F.when(F.col("kind") == "email", F.regexp_replace("canonical", r"\.[^.]*$", "")).otherwise(F.col("canonical"))
     fixed = ~F.col("kind").isin("man", "woman", "surname") & ~own.rlike("|".join(["[0-9]", *ALPHABETS]))
-    each = saved(each.withColumn("fixed", fixed), "pii-entities")
+    # A number of partitions of its own: entities are few bytes and much work.
+    each = saved(each.repartition(partitions(entities.sparkSession), "kind", "canonical").withColumn("fixed", fixed), "pii-entities")
     fixed = each.filter("fixed").select("kind", "canonical")
-    now = saved(each.filter("not fixed").select("kind", "canonical").withColumn("attempt", F.lit(0)).withColumn("new", draw(F.col("kind"), F.col("canonical"), F.lit(0), key)), "pii-drawn")
+    spread = each.filter("not fixed").select("kind", "canonical").repartition(partitions(entities.sparkSession), "kind", "canonical")
+    now = saved(spread.withColumn("attempt", F.lit(0)).withColumn("new", draw(F.col("kind"), F.col("canonical"), F.lit(0), key)), "pii-drawn")
     taken = each.select(F.col("kind").alias("_k"), F.lower("canonical").alias("_c"))
     for _ in range(rounds):
         rank = F.row_number().over(W.partitionBy("kind", F.lower("new")).orderBy("canonical"))
@@ -185,8 +196,12 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFra
     return ranked.filter("not _left").select("kind", "canonical", "new").unionByName(by_rank(left, key))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with entities of ``text`` replaced; ``count`` names an optional column with their number."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
+    """``docs`` with entities of ``text`` replaced; ``count`` names an optional column with their number.
+
+    Without a ``key`` that of the session's ``KEY_SETTING`` is taken.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     # The row travels as one column, so that none of its names can clash.
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     own = F.col("_row")[text]

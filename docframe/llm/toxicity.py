@@ -5,7 +5,8 @@ carry ordered grades; binary labels are graded by the amount of toxic evidence i
 
 The classifier is fitted on a bounded sample: the ``SAMPLE`` labelled documents with the least hash of their id. All
 documents are scored. Defined cases: null or empty text has no features and gets the base rate's grade; a null id keeps
-its row; without a single toxic label every document gets grade 0; repeated labels count with the highest grade; an
+its row; without a single toxic label every document gets grade 0; repeated labels count with the highest grade, of repeated
+labelled documents the least text; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
 
     # The sample is at most ``sample`` ids, so it can go to every task.
     texts = docs.select("doc_id", as_bytes("text").alias("t"))
-    chosen = texts.join(F.broadcast(marks), texts["doc_id"] == marks["_id"]).select("_id", "grade", "t").dropDuplicates(["_id"])
+    chosen = texts.join(F.broadcast(marks), texts["doc_id"] == marks["_id"]).groupBy("_id", "grade").agg(F.min("t").alias("t"))
     chosen = saved(chosen.mapInArrow(bags, "id long, grade int, w array<string>, c array<double>"), "labelled")
     n = {r["toxic"]: r["n"] for r in chosen.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)

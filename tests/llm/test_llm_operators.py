@@ -112,10 +112,18 @@ def test_packing_takes_the_tightest_bin_and_cuts_long_documents(spark):
     sizes = rng.integers(1, 900, 800)
     bins, _, cap, held = packing.pack(sizes, (256, 512, 1024), 8)
     assert held.sum() == sizes.sum() and (held <= cap).all() and held.sum() / cap.sum() > 0.97
-    open_bins = {}
-    for at in np.argsort(-sizes, kind="stable"):  # no open bin with less room would have taken it
-        open_bins.setdefault(bins[at], 0)
-        open_bins[bins[at]] += sizes[at]
+    # Replay by brute force: each piece goes to an open bin with the least room that takes it, and opens one only where none does.
+    room, placed = {}, 0
+    for at in np.argsort(-sizes, kind="stable"):
+        size, fitting = sizes[at], [r for r in room.values() if r >= sizes[at]]
+        if fitting:
+            assert room[bins[at]] == min(fitting)
+        else:
+            assert bins[at] not in room
+            ahead = sizes.sum() - placed - size - sum(room.values())
+            room[bins[at]] = min((c for c in (256, 512, 1024) if c >= size), key=lambda c: ((c + 8) / (size + min(c - size, max(0, ahead))), c))
+        room[bins[at]] -= size
+        placed += size
     rows = packing.best_fit(spark.createDataFrame([(1, 20_000)], "doc_id long, n_tokens long")).collect()
     assert sorted((r.piece, r.n_tokens) for r in rows) == [(0, 8192), (1, 8192), (2, 3616)]
 
@@ -177,7 +185,7 @@ def test_links_between_two_tight_clumps_are_found(spark, monkeypatch):
     assert {tuple(r) for r in embedding_dedup.near_vectors(df).collect()} == want
 
 
-def test_neighbours_recall_and_order(spark):
+def test_neighbours_recall_and_order(spark, monkeypatch):
     rows = vectors(n=1500)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
@@ -197,6 +205,14 @@ def test_neighbours_recall_and_order(spark):
     tiny = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.nearest(tiny, 50).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.nearest(tiny.filter("vec_id < 0"), 50).count() == 0
+    double = tiny.union(tiny)
+    assert [(r.rank, r.vec_id) for r in ann.nearest(double, 50).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert max(r.score for r in ann.nearest(df.union(df.withColumn("vec_id", F.col("vec_id") + 100_000)), 50).collect()) <= 1.0
+    # Two levels of parts.
+    monkeypatch.setattr(ann, "PART", 60)
+    monkeypatch.setattr(ann, "MOST", 6)
+    index = ann.build(df.filter("vec_id < 1500").toDF("id", "x"), 5)
+    assert index.router.parts > 12 and index.recall >= 0.9
 
 
 def test_balanced_parts():
@@ -277,6 +293,16 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert pii.pseudonymise(df.filter("doc_id = 99")).count() == 0
 
 
+def test_letters_whose_lower_case_is_longer_and_domains(spark):
+    df = spark.createDataFrame([(1, "\u0130bo@ex.com and ann@ex.com, bob@ex.com")], "doc_id long, text string")
+    text = pii.pseudonymise(df).first().text
+    first, *others = re.findall(r"[^\s,@]+@([\w.]+)", text)
+    assert len(text) == len(df.first().text) and first == others[0] == others[1] != "ex.com"
+    df.sparkSession.conf.set(pii.KEY_SETTING, "another")
+    assert pii.pseudonymise(df).first().text != text
+    df.sparkSession.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_are_distinct_when_there_are_few(spark):
     entities = spark.createDataFrame([("ip", f"{a}.{b}.1.{c}") for a in range(1, 4) for b in range(1, 10) for c in range(1, 10)], "kind string, canonical string")
     rows = pii.surrogates(entities).collect()
