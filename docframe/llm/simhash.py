@@ -294,7 +294,7 @@ def _banded(chosen: list[tuple[int, np.ndarray]]):
                     key = np.zeros(some.num_rows, dtype=np.uint64)
                     for b in bits.tolist():
                         key = key << np.uint64(1) | words[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)
-                    key = mix(key + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    key = mix(key + np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), some.column(0), pa.array(prints[:, word]), some.column(1)], names=["k", "n", "w", "fp"])
 
     return run

@@ -2,7 +2,7 @@
 
 Seeds. Every run of ``SEED`` words is hashed; of each 26 consecutive ones the least hash is an anchor. 26 runs of 10
 words are exactly one window of 35 words, so equal windows hold the same anchor at the same place: where an anchor
-occurs once in the corpus, no window around it can repeat. Anchors are counted over all documents and joined back.
+occurs once in the corpus, no window around it can repeat. Anchors are counted over all documents.
 
 Extension. Around every anchor that occurs again, each occurrence is extended both ways to the windows of 35 words that
 it governs; these are matched by 128-bit hashes. A window that starts at two places is a repeat, and touching windows
@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bundles, opened, read, saved, slices, text_chunks
+from .common import as_bytes, bundles, joined_arrays, opened, read, saved, slices, split_arrays, text_chunks
 from .wordhash import BASES, Words, sliding
 
 WINDOW = 35
@@ -69,6 +70,16 @@ def _window_keys(table: pa.Table, window: int) -> Iterator[tuple[pa.RecordBatch,
         yield batch, words, words.ngrams(window, BASES[1])
 
 
+def _sorted_keys(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted pairs of hashes, the first as steps; and other arrays."""
+    return joined_arrays(np.diff(keys[:, 0], prepend=np.uint64(0)), keys[:, 1], *more)
+
+
+def _keys(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    one, two, *more = split_arrays(data)
+    return np.stack([np.cumsum(one, dtype=np.uint64), two], axis=1), more
+
+
 def _requests(window: int, seed: int, buckets: int):
     def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
         known = np.unique(repeated.column("anchor").to_numpy())
@@ -87,21 +98,23 @@ def _requests(window: int, seed: int, buckets: int):
         starts = np.flatnonzero(new)
         often = np.diff(np.r_[starts, len(both)]) > 1
         both = both[starts]
-        bucket = (both[:, 0] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        both, often, bucket = both[order], often[order], bucket[order]
+        # Buckets by the upper bits are in the order of the keys.
+        bucket = ((both[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
         chunk = texts.column("chunk")[0].as_py() if texts.num_rows else 0
         ends = np.r_[cut[1:], len(bucket)] if len(cut) else cut
-        return pa.table({"bucket": pa.array(bucket[cut], pa.int64()), "chunk": pa.array([chunk] * len(cut), pa.int64()), "keys": pa.array([both[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), "often": pa.array([np.packbits(often[a:b]).tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
+        return pa.table({"bucket": pa.array(bucket[cut], pa.int64()), "chunk": pa.array([chunk] * len(cut), pa.int64()), "keys": pa.array([_sorted_keys(both[a:b], np.packbits(often[a:b])) for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
     return run
 
 
 def _answers(table: pa.Table) -> pa.Table:
     """Of the keys of one bucket those that occur again, back to each piece that sent them."""
-    sent = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in table.column("keys").to_pylist()]
-    often = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("often").to_pylist(), sent, strict=True)]
+    sent, often = [], []
+    for x in table.column("keys"):
+        keys, (marks,) = _keys(x.as_py())
+        sent.append(keys)
+        often.append(np.unpackbits(marks, count=len(keys)).astype(bool))
     keys, many = np.concatenate(sent), np.concatenate(often)
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     ranked = keys[order]
@@ -111,14 +124,14 @@ def _answers(table: pa.Table) -> pa.Table:
     hit = np.zeros(len(keys), dtype=bool)
     hit[order] = np.repeat(again, size)
     ends = np.cumsum([len(k) for k in sent])
-    back = [keys[a:b][hit[a:b]].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+    back = [_sorted_keys(keys[a:b][hit[a:b]]) if hit[a:b].any() else b"" for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
     keep = [i for i, x in enumerate(back) if x]
     return pa.table({"chunk": pa.array([table.column("chunk")[i].as_py() for i in keep], pa.int64()), "again": pa.array([back[i] for i in keep], pa.binary())})
 
 
 def _removal(window: int, id_type: pa.DataType):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        again = np.concatenate([np.zeros((0, 2), dtype=np.uint64), *(np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in answers.column("again").to_pylist())])
+        again = np.concatenate([np.zeros((0, 2), dtype=np.uint64), *(_keys(x.as_py())[0] for x in answers.column("again"))])
         again = again[np.argsort(again[:, 0])]
         # Windows that agree in the first hash alone are looked up one by one.
         twins = again[:-1, 0][again[1:, 0] == again[:-1, 0]]
@@ -160,11 +173,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     piece = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(n))
     texts = docs.select(piece.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("t"))
     seeds = texts.select("chunk", "t").mapInArrow(_anchor_rows(window, seed), "chunk long, anchor long, n long")
-    seeds = saved(seeds.groupBy("chunk", "anchor").agg(F.sum("n").alias("n")), "anchors")
-    twice = seeds.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    known = seeds.select("chunk", "anchor").join(twice, "anchor")
+    seeds = seeds.groupBy("chunk", "anchor").agg(F.sum("n").alias("n"))
+    known = seeds.withColumn("n", F.sum("n").over(W.partitionBy("anchor"))).filter("n > 1").select("chunk", "anchor")
     packed = bundles(texts)
-    asked = packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_requests(window, seed, n), "bucket long, chunk long, keys binary, often binary")
+    asked = packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_requests(window, seed, n), "bucket long, chunk long, keys binary")
     answers = saved(asked.groupBy("bucket").applyInArrow(_answers, "chunk long, again binary"), "repeats")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_removal(window, pa.int64()), "doc_id long, n_words long, removed array<struct<start:long,length:long>>, kept string")
 
