@@ -142,7 +142,7 @@ def bundles(rows: DataFrame, held: int = 16 << 20) -> DataFrame:
             for a, b in zip(cut, np.r_[cut[1:], len(chunk)], strict=True):
                 sink = pa.BufferOutputStream()
                 part = table.slice(a, b - a).select(names).combine_chunks()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as stream:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as stream:
                     stream.write_table(part)
                 streams.append(sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_arrays([pa.array(chunk[cut], pa.int64()), pa.array(streams, pa.binary())], names=["chunk", "bundle"])
