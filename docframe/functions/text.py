@@ -127,3 +127,19 @@ def cell_name(row: Column, column: Column) -> Column:
     three = column - 703
     name = F.when(column <= 26, letter(one)).when(column <= 702, F.concat(letter(F.floor(two / 26)), letter(two % 26))).otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
     return F.concat(name, row.cast("string"))
+
+
+def positive(raw: Column, default: float) -> Column:
+    """A number from text; the default where it is none or not over zero."""
+    number = F.trim(raw).try_cast("double")
+    return F.when(number > 0, number).otherwise(F.lit(default))
+
+
+def path_error(path: Column) -> Column:
+    """An error for keys that start at the root or climb out of it."""
+    return F.when(path.startswith("/") | F.array_contains(F.split(path, "/"), ".."), "path_escapes_root")
+
+
+def random_id(prefix: str) -> Column:
+    """``prefix_`` and a random text; another each time it is worked out, so write it before it is used twice."""
+    return F.concat(F.lit(prefix + "_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))

@@ -59,6 +59,16 @@ def containing(docs: DataFrame, markers: DataFrame, doc: str, text: str, marker:
     return leads.select(doc, "_h").join(wanted.select(marker, "_h"), "_h").select(doc, marker).distinct().join(words.select(doc, "_text"), doc).join(wanted.select(marker, "_phrase"), marker).filter(F.contains(spaced("_text"), spaced("_phrase"))).select(doc, marker)
 
 
+def containing_packed(pages: DataFrame, markers: DataFrame, key: str, page: str, text: str, marker: str, phrase: str) -> DataFrame:
+    """(key, page, marker) where a page's text holds a marker, both without white space; ``key`` is the document of both.
+
+    Markers of a document are few and join its pages on the key, so no page meets another document's markers.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    wanted = markers.select(key, marker, bare(phrase).alias("_m")).filter(F.length("_m") > 0)
+    return pages.select(key, page, bare(text).alias("_t")).join(wanted, key).filter(F.contains("_t", "_m")).select(key, page, marker)
+
+
 def topk_coverage(df: DataFrame, key: str, time: str, score: str, order: str, duration: str, k: int) -> DataFrame:
     """k rows of each key: the best of each of k half-open parts of its duration, filled up by the best of the rest.
 

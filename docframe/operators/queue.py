@@ -103,3 +103,14 @@ def after_cursor(events: DataFrame, cursor: DataFrame) -> DataFrame:
     """Events of each job after its cursor; all of them if the cursor is none of its events."""
     known = events.join(cursor, "job_id").filter(F.col("event_id") == F.col("after")).groupBy("job_id").agg(F.max("sequence").alias("_seen"))
     return events.join(known, "job_id", "left").filter(F.col("sequence") > F.coalesce("_seen", F.lit(0))).drop("_seen")
+
+
+def tombstones(jobs: DataFrame, now: Column) -> DataFrame:
+    """(job_id, status, expired_at) of jobs whose time is up; what is left of them when their files are deleted."""
+    gone = (F.col("status") != "expired") & F.col("expires_at").isNotNull() & (F.col("expires_at") <= now)
+    return jobs.filter(gone).select("job_id", F.lit("expired").alias("status"), F.col("expires_at").alias("expired_at"))
+
+
+def resequenced(events: DataFrame, key: str, old: str, order: list[str]) -> DataFrame:
+    """Events with a dense ``sequence`` a job from 1: by the old number (missing or not a number: 0), then by ``order``."""
+    return events.withColumn("sequence", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce(old, F.lit(0)), *order)))

@@ -55,9 +55,33 @@ def transcript_markdown(segments: Column, text: Column, aligned: Column) -> Colu
     return F.concat(F.regexp_replace(F.concat(F.lit("# Transcript\n\n"), body), r"\s+\z", ""), F.lit("\n"))
 
 
-def call_once(occurrences: DataFrame, key: list[str], digest: str, call, columns: str) -> DataFrame:
-    """Applies ``call`` (mapInPandas function of (key, digest, content)) once for each distinct content of a document
-    and gives its result to every occurrence. Only distinct contents reach the expensive call."""
-    once = occurrences.groupBy(*key, digest).agg(F.min_by("content", "ord").alias("content"))
-    results = once.mapInPandas(call, columns)
-    return occurrences.drop("content").join(results, [*key, digest])
+def video_markdown(transcript: Column, frames: Column) -> Column:
+    """A transcript's Markdown and the list of key frames (array of id, time_seconds, path)."""
+    line = lambda f: F.concat(F.lit("- `"), f["id"], F.lit("` at "), f["time_seconds"].cast("string"), F.lit("s: `"), f["path"], F.lit("`"))
+    listed = F.when(F.size(frames) > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform(frames, line), "\n"))).otherwise("")
+    return F.concat(F.regexp_replace(transcript, r"\s+\z", ""), F.lit("\n\n## Key Frames"), listed, F.lit("\n"))
+
+
+def transcript_warnings(aligned: Column) -> Column:
+    """Warning records of a transcript: one where its segments are not all timed."""
+    record = F.struct(F.lit("transcript_not_time_aligned").alias("code"), F.lit("Local ASR produced whole-text transcript without timestamped segments.").alias("message"))
+    none = F.array().cast("array<struct<code:string,message:string>>")
+    return F.when(aligned, none).otherwise(F.array(record))
+
+
+def transcript(text: Column, segments: Column, engine: Column, method: Column) -> Column:
+    """A runner's result as a transcript: trimmed text (none: empty), segments (none: no segments), the engine's name."""
+    return F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("text"), segments.alias("segments"), F.coalesce(engine, F.lit("local-asr")).alias("engine"), method.alias("time_alignment_method"))
+
+
+def sentence_segments(sentences: Column) -> Column:
+    """Segments of (start ms, end ms, text) sentences: seconds to three places, blank ones left out, numbered as they were."""
+    numbered = F.transform(sentences, lambda s, i: F.struct(F.concat(F.lit("seg-"), (i + 1).cast("string")).alias("id"), F.round(s["start"] / 1000, 3).alias("start_sec"), F.round(s["end"] / 1000, 3).alias("end_sec"), T.strip(s["text"]).alias("text")))
+    return F.filter(numbered, lambda s: s["text"] != "")
+
+
+def shape_warnings(shapes: Column) -> Column:
+    """Warnings of a slide's shapes (array of name, visible, dynamic_field): off the slide, or text that is worked out when shown."""
+    off = F.transform(F.filter(shapes, lambda s: ~s["visible"]), lambda s: F.struct(F.lit("off_canvas_shape").alias("code"), s["name"].alias("shape")))
+    field = F.transform(F.filter(shapes, lambda s: s["dynamic_field"].isNotNull()), lambda s: F.struct(F.lit("dynamic_field").alias("code"), s["name"].alias("shape")))
+    return F.concat(off, field)

@@ -205,12 +205,27 @@ def result_guard(t):
     return t("customer").join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", M.result_code(F.col("s")).alias("result_code"))
 
 
-@plans.add(r"SELECT event_id, json_extract_string(props, '$.' || k) AS value, k FROM events, (SELECT unnest(json_keys((SELECT any_value(props) FROM events WHERE props IS NOT NULL))) AS k) ")
+@plans.add(r"SELECT event_id, json_extract_string(props, '$.' || k) AS value, k FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_fields(t):
     """Fields of a JSON column, one row each."""
-    e = t("events")
-    keys = e.filter("props is not null").agg(F.explode(F.json_object_keys(F.any_value("props"))).alias("k"))
-    return e.crossJoin(F.broadcast(keys)).select("event_id", F.expr("get_json_object(props, concat('$.', k))").alias("value"), "k")
+    e = t("events").select("event_id", "props", F.explode(F.json_object_keys("props")).alias("k"))
+    return e.select("event_id", F.expr("get_json_object(props, concat('$.', k))").alias("value"), "k")
+
+
+@plans.add(r"SELECT c_custkey, CASE WHEN TRY_CAST(s AS DOUBLE) > 0 THEN TRY_CAST(s AS DOUBLE) ELSE 300.0 END AS seconds FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' ' || c_nationkey || ' ' WHEN 1 THEN c_name WHEN 2 THEN '-' || c_nationkey WHEN 3 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS s FROM customer)")
+def positive_setting(t):
+    """Settings as numbers; what is no number over zero gives the default."""
+    i, n = F.col("c_custkey") % 5, F.col("c_nationkey").cast("string")
+    raw = F.when(i == 0, F.concat(F.lit(" "), n, F.lit(" "))).when(i == 1, F.col("c_name")).when(i == 2, F.concat(F.lit("-"), n)).when(i == 4, F.col("c_acctbal").cast("string"))
+    return t("customer").select("c_custkey", T.positive(raw, 300.0).alias("seconds"))
+
+
+@plans.add(r"SELECT page_id, p, CASE WHEN p LIKE '/%' OR list_contains(string_split(p, '/'), '..') THEN 'path_escapes_root' END AS error FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../' || url WHEN 1 THEN '/' || page_id WHEN 2 THEN 'jobs/' || page_id || '/content.md' ELSE 'a..b/' || page_id END AS p FROM pages)")
+def object_paths(t):
+    """Keys that would leave the store's root are refused."""
+    i, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    p = F.when(i == 0, F.concat(F.lit("../"), F.col("url"))).when(i == 1, F.concat(F.lit("/"), n)).when(i == 2, F.concat(F.lit("jobs/"), n, F.lit("/content.md"))).otherwise(F.concat(F.lit("a..b/"), n))
+    return t("pages").select("page_id", p.alias("p")).select("page_id", "p", T.path_error(F.col("p")).alias("error"))
 
 
 @plans.add("SELECT l_orderkey, l_linenumber, CASE WHEN c <= 26 THEN chr(CAST(64 + c AS INTEGER)) ELSE chr(CAST(64 + (c - 1) // 26 AS INTEGER)) || chr(CAST(65 + (c - 1) % 26 AS INTEGER)) END || CAST(l_linenumber AS VARCHAR) AS cell FROM (SELECT *, l_partkey % 702 + 1 AS c FROM lineitem)")

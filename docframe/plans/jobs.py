@@ -132,12 +132,30 @@ def fanin_full_outer(t):
     return asr.join(frames, "job_id", "full_outer").select("job_id", text.alias("transcript"), n.alias("frames"), F.when((n == 0) & T.blank(text), "no_usable_media_result").alias("error"))
 
 
-@plans.add(f"SELECT count(*)::BIGINT AS scanned, count(*) FILTER (WHERE e)::BIGINT AS expired, sum(CASE WHEN e THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::BIGINT AS bytes, string_agg(CASE WHEN e AND job_id % 50 = 0 THEN CAST(job_id AS VARCHAR) END, ',' ORDER BY job_id) AS some_ids FROM (SELECT *, status <> 'paused' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '1998-06-01' AS e FROM {_JOBS})")
+_GONE = "status <> 'paused' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '1998-06-01'"
+
+
+@plans.add(f"""WITH m AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*)::BIGINT AS scanned, count(*) FILTER (WHERE {_GONE})::BIGINT AS expired, sum(CASE WHEN {_GONE} THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::BIGINT AS bytes, coalesce(string_agg(CASE WHEN {_GONE} THEN CAST(job_id AS VARCHAR) END, ',' ORDER BY job_id), '') AS ids FROM {_JOBS} GROUP BY 1)
+SELECT * FROM m UNION ALL SELECT 'all', sum(scanned)::BIGINT, sum(expired)::BIGINT, sum(bytes)::BIGINT, '' FROM m""")
 def cleanup_summary(t):
-    """A04, K14, T14, P09."""
+    """All expired ids, listed by month, and the sums of all months."""
     gone = (F.col("status") != "paused") & (F.col("created_at") + F.expr("INTERVAL '7' DAY") <= F.lit("1998-06-01").cast("timestamp"))
-    some = F.array_sort(F.collect_list(F.when(F.col("e") & (F.col("job_id") % 50 == 0), F.col("job_id"))))
-    return _jobs(t).withColumn("e", gone).agg(F.count("*").alias("scanned"), F.count_if("e").alias("expired"), F.sum(F.when(F.col("e"), F.round("o_totalprice").cast("bigint")).otherwise(0)).alias("bytes"), F.array_join(some.cast("array<string>"), ",").alias("some_ids"))
+    ids = F.array_join(F.array_sort(F.collect_list(F.when(F.col("e"), F.col("job_id")))).cast("array<string>"), ",")
+    months = _jobs(t).withColumn("e", gone).groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("scanned"), F.count_if("e").alias("expired"), F.sum(F.when(F.col("e"), F.round("o_totalprice").cast("bigint")).otherwise(0)).alias("bytes"), ids.alias("ids"))
+    return months.union(months.agg(F.lit("all"), F.sum("scanned"), F.sum("expired"), F.sum("bytes"), F.lit("")))
+
+
+@plans.add(f"SELECT job_id, 'expired' AS status, strftime(created_at + INTERVAL 7 DAY, '%Y-%m-%dT%H:%M:%S.%fZ') AS expired_at FROM {_JOBS} WHERE {_GONE}")
+def expired_tombstones(t):
+    """What stays of an expired job once its files go."""
+    return queue.tombstones(_jobs(t).filter("status <> 'paused'").withColumn("expires_at", F.col("created_at") + F.expr("INTERVAL '7' DAY")), F.lit("1998-06-01").cast("timestamp")).select("job_id", "status", T.iso_z(F.col("expired_at")).alias("expired_at"))
+
+
+@plans.add("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(CAST(floor(value) AS BIGINT) % 7, 0), ts, event_id) AS sequence FROM events")
+def legacy_sequences(t):
+    """Imported events numbered anew, by their old number and then as they were made."""
+    old = F.coalesce(F.floor("value") % 7, F.lit(0))
+    return queue.resequenced(t("events").withColumn("old", old), "user_id", "old", ["ts", "event_id"]).select("user_id", "event_id", F.col("sequence").cast("bigint").alias("sequence"))
 
 
 @plans.add("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
@@ -178,11 +196,11 @@ def latest_job_document(t):
     return queue.latest(t("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@plans.add("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT s_suppkey, min(s_name) FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) GROUP BY s_suppkey")
+@plans.add("SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, min(c_name) FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY c_custkey")
 def insert_or_ignore(t):
     """U05, K12, S21."""
-    there = t("customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return queue.insert_or_ignore(there, t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"])
+    there = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return queue.insert_or_ignore(there, t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["id"])
 
 
 @plans.add("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -198,13 +216,13 @@ def artifact_lookup(t):
     return _jobs(t).filter("status = 'completed'").join(published, "job_id", "left_semi").select("job_id", "status", "o_custkey")
 
 
-@plans.add("SELECT 'nation' AS child, count(*)::BIGINT AS orphans FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT 'lineitem', count(*)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 100 > 0) UNION ALL SELECT 'labels', count(*)::BIGINT FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@plans.add("SELECT 'nation' AS child, count(*)::BIGINT AS orphans FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT 'lineitem', count(*)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'documents', count(*)::BIGINT FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def fk_orphans(t):
     """Rows whose parent is missing."""
     count = lambda df, name: df.agg(F.lit(name).alias("child"), F.count("*").alias("orphans"))
     nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_anti")
-    lines = t("lineitem").join(t("orders").filter("o_orderkey % 100 > 0"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-    return count(nations, "nation").union(count(lines, "lineitem")).union(count(t("labels").join(t("documents"), "doc_id", "left_anti"), "labels"))
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    return count(nations, "nation").union(count(lines, "lineitem")).union(count(t("documents").filter("doc_id is not null").join(t("labels"), "doc_id", "left_anti"), "documents"))
 
 
 @plans.add(f"SELECT job_id, status, created_at, n FROM (SELECT job_id, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, row_number() OVER (ORDER BY created_at, job_id) AS n FROM {_JOBS}) WHERE n <= 20")
@@ -254,10 +272,20 @@ def marker_cardinality(t):
     return marker_contains(t).groupBy("item_id").agg(F.count("*").alias("n"), (F.count("*") == 1).alias("unique_match"))
 
 
-@plans.add("SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'unexpected' ELSE 'missing' END AS side FROM (SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_custkey < 20) a FULL OUTER JOIN (SELECT DISTINCT s_nationkey AS id FROM supplier) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL")
+@plans.add("SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'unexpected' ELSE 'missing' END AS side FROM (SELECT DISTINCT c_nationkey AS id FROM customer) a FULL OUTER JOIN (SELECT DISTINCT s_nationkey AS id FROM supplier) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL")
 def set_equality(t):
     """Identities on one side only."""
-    a = t("customer").filter("c_custkey < 20").select(F.col("c_nationkey").alias("id")).distinct()
+    a = t("customer").select(F.col("c_nationkey").alias("id")).distinct()
     b = t("supplier").select(F.col("s_nationkey").alias("id")).distinct()
     found = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "id", "full_outer").filter("a is null or b is null")
     return found.select("id", F.when(F.col("a").isNull(), "unexpected").otherwise("missing").alias("side"))
+
+
+@plans.add("SELECT p.conv_id, p.turn AS page, m.turn AS marker FROM (SELECT conv_id, turn, regexp_replace('MARK ' || (turn + 1) || ' x ' || text || ' F2D-' || turn || '-' || conv_id || ' end', '\\s+', '', 'g') AS t FROM conversations) p JOIN (SELECT conv_id, turn, 'F2D-' || turn || '-' || conv_id AS m FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn + 1000, 'MARK' || turn || 'x' FROM conversations) m ON p.conv_id = m.conv_id AND contains(p.t, m.m)".replace("\\\\", "\\"))
+def page_markers(t):
+    """Pages that hold a marker of one word once white space is gone."""
+    c, turn = t("conversations"), F.col("turn").cast("string")
+    pages = c.select("conv_id", F.col("turn").alias("page"), F.concat(F.lit("MARK "), (F.col("turn") + 1).cast("string"), F.lit(" x "), F.col("text"), F.lit(" F2D-"), turn, F.lit("-"), F.col("conv_id").cast("string"), F.lit(" end")).alias("text"))
+    one = c.filter("turn % 2 = 0").select("conv_id", F.col("turn").alias("marker"), F.concat(F.lit(" F2D-"), turn, F.lit("-"), F.col("conv_id").cast("string")).alias("phrase"))
+    two = c.select("conv_id", (F.col("turn") + 1000).alias("marker"), F.concat(F.lit("MARK"), turn, F.lit(" x")).alias("phrase"))
+    return joins.containing_packed(pages, one.union(two), "conv_id", "page", "text", "marker", "phrase")

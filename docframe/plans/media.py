@@ -14,7 +14,7 @@ from docframe.functions import text as T
 from docframe.operators import folds, joins
 from docframe.operators import visuals as V
 
-from .base import Plans, choice, sql_choice
+from .base import Plans
 
 plans = Plans()
 
@@ -67,12 +67,12 @@ def select_perceptual(t):
     return folds.select_perceptual(_scored(t), "user_id", "time", "event_id", "reason", "ahash", "difference", "usable").select("user_id", "event_id", "time")
 
 
-@plans.add(f"""WITH d AS (SELECT *, max(time) OVER (PARTITION BY user_id) AS duration FROM (SELECT *, round({_SCORE}, 6) AS score FROM {_SCORED}) WHERE user_id > 0), b AS (SELECT *, CASE WHEN CAST(floor(time * 5 / duration) AS INTEGER) < 5 THEN CAST(floor(time * 5 / duration) AS INTEGER) END AS part FROM d WHERE duration > 0),
+@plans.add(f"""WITH d AS (SELECT *, max(time) OVER (PARTITION BY user_id) AS duration FROM (SELECT *, round({_SCORE}, 6) AS score FROM {_SCORED})), b AS (SELECT *, CASE WHEN CAST(floor(time * 5 / duration) AS INTEGER) < 5 THEN CAST(floor(time * 5 / duration) AS INTEGER) END AS part FROM d WHERE duration > 0),
  r AS (SELECT *, part IS NOT NULL AND row_number() OVER (PARTITION BY user_id, part ORDER BY score DESC, time, event_id) = 1 AS won FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY won DESC, score DESC, time, event_id) AS place FROM r) SELECT user_id, event_id, time FROM p WHERE place <= 5""")
 def topk_coverage(t):
     """O06, O07, O09, J11, A12, Q2."""
     score = F.round(H.selection_score(F.col("brightness"), F.col("entropy"), F.col("sharpness"), F.col("difference"), F.col("reason")), 6)
-    d = _scored(t).filter("user_id > 0").withColumn("score", score)
+    d = _scored(t).withColumn("score", score)
     d = d.join(d.groupBy("user_id").agg(F.max("time").alias("duration")), "user_id").filter("duration > 0")
     return joins.topk_coverage(d, "user_id", "time", "score", "event_id", "duration", 5).select("user_id", "event_id", "time")
 
@@ -91,14 +91,17 @@ def ahash(t):
     return t("embeddings").select("vec_id", H.average_hash(pixels).alias("ahash"))
 
 
-@plans.add("SELECT vec_id, round(list_avg(embedding), 5) AS mean, round(list_var_pop(embedding), 5) AS variance, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS positive FROM embeddings")
+_PIXELS = "list_transform(embedding, lambda x: least(greatest(CAST(round(128 + 50 * CAST(x AS DOUBLE)) AS INTEGER), 0), 255))"
+_AROUND = " + ".join(f"px[i + 1 + {d}]" for d in (-9, -8, -7, -1, 0, 1, 7, 8, 9))
+
+
+@plans.add(f"""SELECT vec_id, round(list_avg(px) * 100 / 255, 6) AS brightness, round(list_sum(list_transform(list_distinct(px), lambda v: -(len(list_filter(px, lambda x: x = v)) / len(px)) * log2(len(list_filter(px, lambda x: x = v)) / len(px)))), 6) AS entropy,
+ CAST(round(len(px) * len(px) * list_var_pop(list_transform(range(0, len(px)), lambda i: CASE WHEN i < 8 OR i >= len(px) - 8 OR i % 8 IN (0, 7) THEN px[i + 1] ELSE least(greatest(9 * px[i + 1] - ({_AROUND}), 0), 255) END))) AS BIGINT) AS scaled_sharpness FROM (SELECT vec_id, {_PIXELS} AS px FROM embeddings)""")
 def pixel_stats(t):
-    """Mean and variance of an image's pixels."""
-    p = F.transform("embedding", lambda x: x.cast("double"))
-    n = F.size(p)
-    mean = F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(p, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
-    return t("embeddings").select("vec_id", F.round(mean, 5).alias("mean"), F.round(var, 5).alias("variance"), F.size(F.filter(p, lambda x: x > 0)).cast("bigint").alias("positive"))
+    """Brightness, entropy and edge variance (times the pixels squared, a whole number) of vectors as pictures eight pixels wide."""
+    px = F.transform("embedding", lambda x: F.least(F.greatest(F.round(x.cast("double") * 50 + 128).cast("int"), F.lit(0)), F.lit(255)))
+    p = F.col("px")
+    return t("embeddings").select("vec_id", px.alias("px")).select("vec_id", F.round(H.brightness(p), 6).alias("brightness"), F.round(H.entropy(p), 6).alias("entropy"), F.round(H.sharpness(p, 8) * F.size(p) * F.size(p)).cast("bigint").alias("scaled_sharpness"))
 
 
 def _tokens(t) -> DataFrame:
@@ -129,13 +132,14 @@ def line_grouping(t):
     return folds.group_lines(words, ["user_id"], "top", "x0", "event_type")
 
 
-MD = ["# T\n## Warnings\n- one\n- two\n- one\n\ntext", "### Visual Warnings\nNone.\n- no", "## Warnings\n* a\nplain\n- b", "nothing", "## warnings\n\n- x\n## Next\n- y\n### VISUAL WARNINGS\n- z"]
-
-
-@plans.add(f"SELECT doc_id, {sql_choice(['one two', None, 'a', None, 'x z'], 'doc_id')} AS message FROM documents")
+@plans.add("SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN lang || ' ' || source || CASE WHEN doc_id % 4 = 2 THEN ' w' || doc_id ELSE '' END END AS message FROM documents")
 def markdown_warnings(t):
-    """The expected messages are worked out by hand for five texts."""
-    return t("documents").select("doc_id", folds.markdown_warnings(choice(MD, F.col("doc_id"))).alias("message"))
+    """Sections that end at a heading, at plain text or at "None.", repeats and blank lines."""
+    i = F.col("doc_id") % 4
+    head = F.when(i == 1, "### VISUAL Warnings\n").when(i == 3, "## Notes\n").otherwise("# T\n## Warnings\n\n")
+    tail = F.when(i == 0, "## Next\n- no").when(i == 1, "None.\n- no").when(i == 2, F.concat(F.lit("plain\n- no\n## warnings\n- w"), F.col("doc_id").cast("string"), F.lit("\n- "), F.col("lang"))).otherwise("end")
+    text = F.concat(head, F.lit("- "), F.col("lang"), F.lit("\n\n* "), F.col("source"), F.lit("\n-  "), F.col("lang"), F.lit("\n"), tail)
+    return t("documents").select("doc_id", folds.markdown_warnings(text).alias("message"))
 
 
 @plans.add("SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) AS text, array_to_string(list_distinct_ordered, ',') AS roles FROM (SELECT conv_id, turn, role, text, '' AS z FROM conversations) JOIN (SELECT conv_id AS c, list(role ORDER BY f) AS list_distinct_ordered FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) GROUP BY conv_id) ON c = conv_id GROUP BY conv_id, list_distinct_ordered")
@@ -186,10 +190,10 @@ def page_sidecar(t):
     return pages.join(texts, ["conv_id", "page"], "left").select("conv_id", "page", F.when(F.col("found").isNotNull(), "completed").otherwise("not_used").alias("status"), F.coalesce("found", F.lit("")).alias("text"))
 
 
-@plans.add("SELECT doc_id, CAST(least(len(a), len(b)) AS BIGINT) AS n, list_transform(list_zip(a[:least(len(a), len(b))], b[:least(len(a), len(b))]), lambda p: p[1] || '=' || p[2])[-1] AS last_pair FROM (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS a, list_transform(range(0, doc_id % 9 + 1), lambda x: CAST(x AS VARCHAR)) AS b FROM documents)")
+@plans.add("SELECT doc_id, CAST(least(len(a), len(b)) AS BIGINT) AS n, list_transform(list_zip(a[:least(len(a), len(b))], b[:least(len(a), len(b))]), lambda p: p[1] || '=' || p[2])[-1] AS last_pair FROM (SELECT doc_id, string_split(text, ' ') AS a, list_transform(range(0, doc_id % 9 + 1), lambda x: CAST(x AS VARCHAR)) AS b FROM documents)")
 def zip_truncate(t):
     """Pairs up to the shorter of two lists."""
-    a, b = F.split(F.substring("text", 1, 200), " "), F.transform(F.sequence(F.lit(0), F.col("doc_id") % 9), lambda x: x.cast("string"))
+    a, b = F.split("text", " "), F.transform(F.sequence(F.lit(0), F.col("doc_id") % 9), lambda x: x.cast("string"))
     d = t("documents").select("doc_id", a.alias("a"), b.alias("b")).withColumn("n", F.least(F.size("a"), F.size("b")))
     pairs = F.arrays_zip(F.slice("a", F.lit(1), F.col("n")).alias("a"), F.slice("b", F.lit(1), F.col("n")).alias("b"))
     return d.select("doc_id", F.col("n").cast("bigint").alias("n"), F.element_at(F.transform(pairs, lambda p: F.concat(p["a"], F.lit("="), p["b"])), -1).alias("last_pair"))
@@ -203,32 +207,42 @@ def off_canvas(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", seen.alias("visible"), V.box_in_group(x, F.lit(100.0), F.lit(0.5)).alias("left_on_slide"))
 
 
-SHOW = ["1", "0", "False", None, "true"]
+_SHOWN = "(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'False' WHEN 4 THEN lang END AS shown, contains(text, '7') AS field FROM documents)"
 
 
-@plans.add(f"SELECT doc_id, 'pptx-slide-' || (256 + doc_id) AS identity, coalesce(lower({sql_choice(SHOW, 'doc_id')}) IN ('0', 'false'), false) AS hidden, CASE WHEN coalesce(lower({sql_choice(SHOW, 'doc_id')}) IN ('0', 'false'), false) THEN NULL ELSE 1 END::INTEGER AS rendered, CASE WHEN doc_id % 2 = 0 THEN 'evaluated_value' ELSE 'page_image' END AS authority FROM documents")
+@plans.add(f"SELECT doc_id, 'pptx-slide-' || (256 + doc_id) AS identity, hidden, CASE WHEN NOT hidden THEN 1 + row_number() OVER (PARTITION BY doc_id // 10, hidden ORDER BY doc_id) - 1 END AS rendered, CASE WHEN hidden THEN 'native_text' WHEN field THEN 'page_image' ELSE 'native_text' END AS authority FROM (SELECT *, coalesce(lower(shown) IN ('0', 'false'), false) AS hidden FROM {_SHOWN})")
 def hidden_slides(t):
-    """P15, M11, S24."""
-    hidden = F.coalesce(F.lower(choice(SHOW, F.col("doc_id"))).isin("0", "false"), F.lit(False))
-    return t("documents").select("doc_id", F.concat(F.lit("pptx-slide-"), (F.col("doc_id") + 256).cast("string")).alias("identity"), hidden.alias("hidden"), F.when(~hidden, 1).alias("rendered"), F.when(F.col("doc_id") % 2 == 0, "evaluated_value").otherwise("page_image").alias("authority"))
+    """Decks of ten slides; shown ones are numbered, and one with a field is believed as rendered."""
+    i = F.col("doc_id") % 5
+    show = F.when(i == 0, "1").when(i == 1, "0").when(i == 2, "False").when(i == 4, F.col("lang"))
+    hidden = F.coalesce(F.lower(show).isin("0", "false"), F.lit(False))
+    d = t("documents").select("doc_id", hidden.alias("hidden"), F.contains("text", F.lit("7")).alias("field"))
+    place = F.row_number().over(W.partitionBy(F.floor(F.col("doc_id") / 10), "hidden").orderBy("doc_id")).cast("bigint")
+    return d.select("doc_id", F.concat(F.lit("pptx-slide-"), (F.col("doc_id") + 256).cast("string")).alias("identity"), "hidden", F.when(~F.col("hidden"), place).alias("rendered"), F.when(~F.col("hidden") & F.col("field"), "page_image").otherwise("native_text").alias("authority"))
 
 
-ARGS = ['{"scale": 2, "angle": " 90 ", "secret": "x"}', '{"image_index": true, "bbox_str": "1,2"}', '{"direction": {"a": 1}, "degree": 1.5}', "{}"]
-
-
-@plans.add(f"SELECT doc_id, {sql_choice(['scale=2; angle=90', 'image_index=true; bbox_str=1,2', 'degree=1.5', ''], 'doc_id')} AS arguments FROM documents")
+@plans.add("SELECT doc_id, array_to_string(list_filter(['bbox_str=' || source, CASE WHEN doc_id % 2 = 0 THEN 'scale=' || n_chars END, 'angle=' || doc_id, CASE WHEN doc_id % 3 > 0 THEN 'direction=true' END], lambda x: x IS NOT NULL), '; ') AS arguments FROM documents")
 def args_allowlist(t):
-    """The expected arguments are worked out by hand for four objects."""
-    return t("documents").select("doc_id", V.shown_arguments(choice(ARGS, F.col("doc_id"))).alias("arguments"))
+    """Allowed scalars of an object, in the list's order; others, objects and lists go."""
+    n, i = F.col("n_chars").cast("string"), F.col("doc_id")
+    scale = F.when(i % 2 == 0, n).otherwise(F.concat(F.lit("["), n, F.lit("]")))
+    direction = F.when(i % 3 > 0, "true").otherwise('{"a": 1}')
+    text = F.concat(F.lit('{"secret": "x", "angle": " '), i.cast("string"), F.lit(' ", "direction": '), direction, F.lit(', "scale": '), scale, F.lit(', "bbox_str": "'), F.col("source"), F.lit('"}'))
+    return t("documents").select("doc_id", V.shown_arguments(text).alias("arguments"))
 
 
-RESULTS = ['{"description":"d","visible_text":["a"],"layout":"l","warnings":[]}', '{"description":"d","visible_text":["a"],"layout":"l"}', '{"description":1,"visible_text":[],"layout":"l","warnings":[]}', "not json", '{"description":"d","visible_text":["a",2],"layout":"l","warnings":[]}', '{"description":"d","visible_text":[],"layout":"l","warnings":[],"x":1}', None, '{"description":"","visible_text":[],"layout":"","warnings":["w","w"]}']
+_PAYLOAD = """'{"description":' || CASE WHEN doc_id % 7 = 1 THEN CAST(doc_id AS VARCHAR) ELSE '"' || lang || '"' END || ',"visible_text":[' || CASE WHEN doc_id % 7 = 2 THEN CAST(n_chars AS VARCHAR) WHEN doc_id % 7 = 3 THEN '' ELSE '"' || source || '"' END || '],"layout":"l"' || CASE WHEN doc_id % 7 = 4 THEN '' ELSE ',"warnings":[]' END || CASE WHEN doc_id % 7 = 5 THEN ',"more":1}' WHEN doc_id % 7 = 6 THEN '' ELSE '}' END"""
 
 
-@plans.add(f"SELECT doc_id, {sql_choice([True, False, False, False, False, False, False, True], 'doc_id')} AS valid FROM documents".replace("True", "true").replace("False", "false"))
+@plans.add(f"""SELECT doc_id, coalesce(json_valid(p) AND list_sort(json_keys(j)) = ['description', 'layout', 'visible_text', 'warnings'] AND json_type(j, '$.description') = 'VARCHAR' AND json_type(j, '$.layout') = 'VARCHAR' AND json_type(j, '$.visible_text') = 'ARRAY' AND json_type(j, '$.warnings') = 'ARRAY'
+ AND len(list_filter(CAST(json_extract(j, '$.visible_text[*]') AS JSON[]), lambda x: json_type(x) <> 'VARCHAR')) = 0 AND len(list_filter(CAST(json_extract(j, '$.warnings[*]') AS JSON[]), lambda x: json_type(x) <> 'VARCHAR')) = 0, false) AS valid FROM (SELECT doc_id, p, TRY_CAST(p AS JSON) AS j FROM (SELECT doc_id, {_PAYLOAD} AS p FROM documents))""")
 def visual_schema_check(t):
-    """Eight payloads whose validity is known."""
-    return t("documents").select("doc_id", V.valid_result(choice(RESULTS, F.col("doc_id"))).alias("valid"))
+    """Payloads with a wrong type, a wrong element, a missing or an additional key, or broken off, and whole ones."""
+    i, q = F.col("doc_id") % 7, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    described = F.when(i == 1, F.col("doc_id").cast("string")).otherwise(q(F.col("lang")))
+    seen = F.when(i == 2, F.col("n_chars").cast("string")).when(i == 3, "").otherwise(q(F.col("source")))
+    payload = F.concat(F.lit('{"description":'), described, F.lit(',"visible_text":['), seen, F.lit('],"layout":"l"'), F.when(i == 4, "").otherwise(',"warnings":[]'), F.when(i == 5, ',"more":1}').when(i == 6, "").otherwise("}"))
+    return t("documents").select("doc_id", V.valid_result(payload).alias("valid"))
 
 
 @plans.add("SELECT doc_id, '![visual-item-' || substr(h, 1, 16) || '](images/visual/' || h || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END || ')' || n || '### Visual Description' || n || CASE WHEN doc_id % 3 = 0 THEN 'Not described.' ELSE lang END || n || '### Visible Text' || n || '- ' || source || n || '### Layout' || n || 'grid' || n || '### Visual Warnings' || n || CASE WHEN doc_id % 5 = 0 THEN 'None.' ELSE '- w' END AS markdown FROM (SELECT doc_id, lang, source, sha256(text) AS h, chr(10) || chr(10) AS n FROM documents)")
@@ -277,15 +291,16 @@ def union_candidates(t):
     return both.select("user_id", "event_id", "reason", F.row_number().over(W.partitionBy("user_id").orderBy("side", "event_id")).cast("bigint").alias("n"))
 
 
-@plans.add("SELECT page_id, page_id % 4 > 0 AS native, CASE WHEN page_id % 4 > 0 THEN 'native_text' ELSE 'page_render' END AS item, '## Page ' || (page_id + 1) || chr(10) || chr(10) || '![page-' || (page_id + 1) || '-image](images/pages/page_' || printf('%03d', page_id + 1) || '.png)' AS head FROM pages")
+_NATIVE = r"regexp_matches(html, '<p[^>]*>[^<]*[A-Za-z]')"
+
+
+@plans.add(f"SELECT page_id, {_NATIVE} AS native, CASE WHEN {_NATIVE} THEN 'native_text' ELSE 'page_render' END AS item, {_NATIVE} AND contains(html, '<img') AS regions, '## Page ' || (page_id + 1) || chr(10) || chr(10) || '![page-' || (page_id + 1) || '-image](images/pages/page_' || printf('%03d', page_id + 1) || '.png)' AS head FROM pages")
 def native_first(t):
-    """Only pages without native text are rendered for a model."""
-    n = F.col("page_id") + 1
-    pages = t("pages").select("page_id")
-    native = pages.filter("page_id % 4 > 0")
-    rendered = pages.join(native, "page_id", "left_anti").withColumn("native", F.lit(False)).withColumn("item", F.lit("page_render"))
-    both = native.withColumn("native", F.lit(True)).withColumn("item", F.lit("native_text")).unionByName(rendered)
-    return both.select("page_id", "native", "item", F.concat(F.lit("## Page "), n.cast("string"), F.lit("\n\n![page-"), n.cast("string"), F.lit("-image](images/pages/page_"), T.padded(n), F.lit(".png)")).alias("head"))
+    """Only pages without native text are rendered for a model, and pictures of others sent as regions."""
+    n, native = F.col("page_id") + 1, F.col("native")
+    pages = t("pages").select("page_id", F.rlike("html", F.lit("<p[^>]*>[^<]*[A-Za-z]")).alias("native"), F.contains("html", F.lit("<img")).alias("pictures"))
+    head = F.concat(F.lit("## Page "), n.cast("string"), F.lit("\n\n![page-"), n.cast("string"), F.lit("-image](images/pages/page_"), T.padded(n), F.lit(".png)"))
+    return pages.select("page_id", "native", F.when(native, "native_text").otherwise("page_render").alias("item"), (native & F.col("pictures")).alias("regions"), head.alias("head"))
 
 
 @plans.add("SELECT e.user_id, e.event_id, count(f.event_id)::BIGINT AS frames FROM (SELECT *, epoch_us(ts) AS a, epoch_us(ts) + 600000000 AS b FROM events WHERE event_type = 'view') e LEFT JOIN (SELECT user_id, event_id, epoch_us(ts) AS u FROM events WHERE event_type = 'click') f ON e.user_id = f.user_id AND f.u >= e.a AND f.u < e.b GROUP BY e.user_id, e.event_id")
@@ -318,3 +333,58 @@ def flagship_manifest(t):
 def hourly_events(t):
     """An extension: tumbling windows."""
     return t("events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
+
+
+_MOST = 12
+_SELECTED = f"""(WITH s AS ({plans.sql["select_perceptual"]}), d AS (SELECT f.user_id, f.event_id, f.time, round({_SCORE}, 6) AS score, u.duration FROM {_SCORED} f JOIN s ON f.user_id = s.user_id AND f.event_id = s.event_id JOIN (SELECT user_id, max(time) AS duration FROM {_FRAMES} GROUP BY user_id) u ON u.user_id = f.user_id WHERE u.duration > 0),
+ b AS (SELECT *, CASE WHEN CAST(floor(time * {_MOST} / duration) AS INTEGER) < {_MOST} THEN CAST(floor(time * {_MOST} / duration) AS INTEGER) END AS part FROM d), r AS (SELECT *, part IS NOT NULL AND row_number() OVER (PARTITION BY user_id, part ORDER BY score DESC, time, event_id) = 1 AS won FROM b),
+ p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY won DESC, score DESC, time, event_id) AS place FROM r) SELECT user_id, event_id, time, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS n FROM p WHERE place <= {_MOST})"""
+
+
+def _selected(t) -> DataFrame:
+    score = F.round(H.selection_score(F.col("brightness"), F.col("entropy"), F.col("sharpness"), F.col("difference"), F.col("reason")), 6)
+    kept = folds.select_perceptual(_scored(t), "user_id", "time", "event_id", "reason", "ahash", "difference", "usable").withColumn("score", score)
+    length = _frames(t).groupBy("user_id").agg(F.max("time").alias("duration")).filter("duration > 0")
+    top = joins.topk_coverage(kept.join(length, "user_id"), "user_id", "time", "score", "event_id", "duration", _MOST)
+    return top.select("user_id", "event_id", "time", F.row_number().over(W.partitionBy("user_id").orderBy("time", "event_id")).cast("bigint").alias("n"))
+
+
+@plans.add(f"SELECT user_id, 'video-frame-' || printf('%03d', n) AS media_id, event_id, time, 'frames/video-frame-' || printf('%03d', n) || '.png' AS path FROM {_SELECTED}")
+def frame_selection(t):
+    """Candidates merged, scored, filtered, made novel and capped, with the ids and paths they are stored by."""
+    name = F.concat(F.lit("video-frame-"), T.padded(F.col("n")))
+    return _selected(t).select("user_id", name.alias("media_id"), "event_id", "time", F.concat(F.lit("frames/"), name, F.lit(".png")).alias("path"))
+
+
+@plans.add(f"""SELECT v.user_id, '# Transcript' || chr(10) || chr(10) || v.spoken || chr(10) || chr(10) || '## Key Frames' || CASE WHEN f.list IS NULL THEN '' ELSE chr(10) || chr(10) || f.list END || chr(10) AS markdown, coalesce(f.frames, 0)::BIGINT AS frames, 'transcript_not_time_aligned' AS warning, 'completed' AS status FROM (SELECT user_id, count(*) || ' events' AS spoken FROM events WHERE user_id IS NOT NULL GROUP BY user_id) v
+ LEFT JOIN (SELECT user_id, count(*) AS frames, string_agg('- `video-frame-' || printf('%03d', n) || '` at ' || time || 's: `frames/video-frame-' || printf('%03d', n) || '.png`', chr(10) ORDER BY n) AS list FROM {_SELECTED} GROUP BY user_id) f ON f.user_id = v.user_id""")
+def video_package(t):
+    """Transcript and key frames of a video as one text, its warnings and its status."""
+    spoken = t("events").filter("user_id is not null").groupBy("user_id").agg(F.concat(F.count("*").cast("string"), F.lit(" events")).alias("text"))
+    frames = frame_selection(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("media_id").alias("id"), F.col("time").alias("time_seconds"), "path"))).alias("frames"))
+    empty = F.array().cast("array<struct<id:string,time_seconds:double,path:string>>")
+    both = spoken.join(frames, "user_id", "left").withColumn("frames", F.coalesce("frames", empty))
+    segments = F.array().cast("array<struct<start_sec:double,end_sec:double,text:string>>")
+    text = V.transcript_markdown(segments, F.col("text"), F.lit(False))
+    return both.select("user_id", V.video_markdown(text, F.col("frames")).alias("markdown"), F.size("frames").cast("bigint").alias("frames"), V.transcript_warnings(F.lit(False))[0]["code"].alias("warning"), F.lit("completed").alias("status"))
+
+
+@plans.add(r"SELECT conv_id, id, start_sec, end_sec, text FROM (SELECT conv_id, 'seg-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, round((turn * 1234.5) / 1000, 3) AS start_sec, round((turn * 1234.5 + 900) / 1000, 3) AS end_sec, CASE WHEN turn % 4 = 1 THEN '' ELSE role || turn END AS text FROM conversations) WHERE text <> ''")
+def sentence_segments(t):
+    """Segments of timed sentences, which keep the numbers they had with blank ones among them."""
+    spoken = F.when(F.col("turn") % 4 == 1, " \t").otherwise(F.concat(F.lit(" "), F.col("role"), F.col("turn").cast("string"), F.lit("\n")))
+    row = F.struct("turn", (F.col("turn") * F.lit(1234.5)).alias("start"), (F.col("turn") * F.lit(1234.5) + 900).alias("end"), spoken.alias("text"))
+    g = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    heard = V.transcript(F.lit(None).cast("string"), V.sentence_segments(F.col("s")), F.lit(None).cast("string"), F.lit("sentence_info"))
+    return g.select("conv_id", F.explode(heard["segments"]).alias("x")).select("conv_id", "x.*")
+
+
+@plans.add("SELECT l_orderkey, string_agg(CASE WHEN NOT v THEN 'off_canvas_shape:' || l_linenumber END, ',' ORDER BY l_linenumber, l_partkey) AS off, count(*) FILTER (WHERE l_linenumber % 3 = 0)::BIGINT AS fields FROM (SELECT *, l_partkey % 20000 - 9000 + l_quantity * 100 > 0 AND l_partkey % 20000 - 9000 < 9144 AS v FROM lineitem) GROUP BY l_orderkey HAVING count(*) FILTER (WHERE NOT v OR l_linenumber % 3 = 0) > 0")
+def shape_warnings(t):
+    """A slide's warnings about shapes off its canvas and text that is worked out when shown."""
+    x = (F.col("l_partkey") % 20000 - 9000).cast("double")
+    seen = V.intersects(x, F.lit(0.0), F.col("l_quantity") * 100, F.lit(1.0), F.lit(9144), F.lit(6858))
+    shape = F.struct("l_linenumber", "l_partkey", F.col("l_linenumber").cast("string").alias("name"), seen.alias("visible"), F.when(F.col("l_linenumber") % 3 == 0, "slidenum").alias("dynamic_field"))
+    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(shape)).alias("shapes")).withColumn("w", V.shape_warnings(F.col("shapes"))).filter(F.size("w") > 0)
+    off = F.transform(F.filter("w", lambda w: w["code"] == "off_canvas_shape"), lambda w: F.concat(w["code"], F.lit(":"), w["shape"]))
+    return g.select("l_orderkey", F.when(F.size(off) > 0, F.array_join(off, ",")).alias("off"), F.size(F.filter("w", lambda w: w["code"] == "dynamic_field")).cast("bigint").alias("fields"))

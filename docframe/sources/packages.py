@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the earliest time a zip entry can have; equal contents then give equal archives.
@@ -42,3 +43,49 @@ def publish(packages: DataFrame, path: str, attempt: str) -> str:
     target = f"{path}/_attempt={attempt}"
     packages.write.mode("overwrite").parquet(target)
     return target
+
+
+def json_text(value: object) -> bytes:
+    """JSON as files hold it: UTF-8, indented by two."""
+    return json.dumps(value, ensure_ascii=False, indent=2, default=str).encode()
+
+
+def result_files(jobs: DataFrame) -> DataFrame:
+    """(job_id, path, content) of content.md, manifest.json, artifacts.json and visual results.
+
+    ``jobs`` holds (job_id, markdown, manifest string or null, artifacts string or null, visuals map<digest, JSON> or null);
+    manifest and artifacts are JSON texts, as of ``to_json``.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False):
+                rows.append((row.job_id, "content.md", (row.markdown or "").encode()))
+                for name, value in (("manifest.json", row.manifest), ("artifacts.json", row.artifacts)):
+                    if value is not None:
+                        rows.append((row.job_id, name, json_text(json.loads(value))))
+                rows += [(row.job_id, f"visual/{digest}.json", json_text(json.loads(v))) for digest, v in sorted(dict(row.visuals or {}).items())]
+            yield pd.DataFrame(rows, columns=["job_id", "path", "content"])
+
+    kind = dict(jobs.dtypes)["job_id"]
+    return jobs.select("job_id", "markdown", "manifest", "artifacts", "visuals").mapInPandas(run, f"job_id {kind}, path string, content binary")
+
+
+def stage(files: DataFrame, root: str, attempt: str) -> str:
+    """Writes (job_id, path, content) under an attempt's prefix and then, as the last step, the descriptor that lists them."""
+    target = f"{root}/_attempt={attempt}"
+    files.write.mode("overwrite").parquet(f"{target}/files")
+    written = files.sparkSession.read.parquet(f"{target}/files")
+    written.select("job_id", "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes")).write.mode("overwrite").parquet(f"{target}/descriptor")
+    return target
+
+
+def load_staged(spark: SparkSession, target: str) -> DataFrame:
+    """(job_id, path, content, error) of a staged package by its descriptor: files that are missing or differ have an error."""
+    listed = spark.read.parquet(f"{target}/descriptor").withColumnsRenamed({"job_id": "_j", "path": "_p"})
+    files = spark.read.parquet(f"{target}/files")
+    both = listed.join(files, (F.col("_j") == F.col("job_id")) & (F.col("_p") == F.col("path")), "left")
+    same = F.sha2("content", 256) == F.col("sha256")
+    error = F.when(F.col("content").isNull(), "package_file_missing").when(~same, "package_file_changed")
+    return both.select(F.col("_j").alias("job_id"), F.col("_p").alias("path"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))

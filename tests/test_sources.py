@@ -71,3 +71,21 @@ def test_binary_files_and_packages(spark, tmp_path):
     where = packages.publish(packages.build_packages(df), str(tmp_path / "out"), "1")
     packages.publish(packages.build_packages(df), str(tmp_path / "out"), "1")
     assert spark.read.parquet(where).count() == 1
+
+
+def test_staged_packages_load_by_their_descriptor(spark, tmp_path):
+    from docframe.sources import packages
+
+    rows = [("j1", "# Tä\n", '{"b": 1, "a": ["é"]}', None, {"h1": '{"x": 2}'}), ("j2", None, None, "{}", None)]
+    jobs = spark.createDataFrame(rows, "job_id string, markdown string, manifest string, artifacts string, visuals map<string,string>")
+    files = packages.result_files(jobs)
+    got = {(r.job_id, r.path): bytes(r.content).decode() for r in files.collect()}
+    assert got == {("j1", "content.md"): "# Tä\n", ("j1", "manifest.json"): '{\n  "b": 1,\n  "a": [\n    "é"\n  ]\n}', ("j1", "visual/h1.json"): '{\n  "x": 2\n}', ("j2", "content.md"): "", ("j2", "artifacts.json"): "{}"}
+    target = packages.stage(files, str(tmp_path), "a1")
+    assert {(r.job_id, r.path): bytes(r.content).decode() for r in packages.load_staged(spark, target).collect()} == got
+    changed = spark.read.parquet(f"{target}/files").filter("path <> 'content.md'").toPandas()
+    changed.loc[changed.path == "manifest.json", "content"] = b"{}"
+    spark.createDataFrame(changed, files.schema).write.mode("overwrite").parquet(f"{target}/files")
+    errors = {(r.job_id, r.path): r.error for r in packages.load_staged(spark, target).collect()}
+    assert errors["j1", "content.md"] == "package_file_missing" and errors["j1", "manifest.json"] == "package_file_changed" and errors["j1", "visual/h1.json"] is None
+    assert packages.result_files(jobs.filter("job_id = 'x'")).count() == 0

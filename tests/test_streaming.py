@@ -44,3 +44,15 @@ def test_leases_are_fenced_and_run_out(spark, tmp_path):
     assert notes[1] == ["claimed", "ignored", "ignored", "renewed", "reclaimed", "ignored", "completed", "ignored"]
     assert notes[2] == ["claimed", "reclaimed", "reclaimed", "work_item_attempts_exhausted"]
     assert notes[3] == ["claimed", "retry", "claimed"]
+
+
+def test_leases_run_out_by_themselves(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    actions = [(1, at(0), "claim", "a", 5), (2, at(0), "claim", "a", 5), (2, at(6), "claim", "b", 5), (2, at(12), "claim", "c", 5), (3, at(60), "claim", "a", 90), (4, at(0), "claim", "a", 9), (4, at(1), "complete", "a", 0)]
+    spark.createDataFrame(actions, progress.LEASE).coalesce(1).write.parquet(str(tmp_path / "a"))
+    got = drain(progress.lease_states(spark.readStream.schema(progress.LEASE).parquet(str(tmp_path / "a"))), "leases_timed").collect()
+    notes = {k: [r.note for r in got if r.work_item_id == k] for k in (1, 2, 3, 4)}
+    assert notes[1] == ["claimed", "lease_expired"] and notes[2] == ["claimed", "reclaimed", "reclaimed", "work_item_attempts_exhausted"]
+    assert notes[3] == ["claimed"] and notes[4] == ["claimed", "completed"]
+    last = {r.work_item_id: r.status for r in got}
+    assert last == {1: "pending", 2: "failed", 3: "leased", 4: "completed"}
