@@ -45,7 +45,7 @@ STEP = 1 << 21
 #: Rows of keys that a task of the join compares at once.
 HELD = 262_144
 #: Chance that a pair at the limit of a wide search meets in a band.
-MEET = 0.985
+MEET = 0.97
 _ONES = np.uint64(0x0101010101010101)
 
 
@@ -266,9 +266,9 @@ def _blocks(codes: DataFrame) -> DataFrame:
 
 
 def bands(rows: int, words: int, wide: int) -> list[tuple[int, np.ndarray]]:
-    """(word of the index, bits of the key) of each band: about 32 rows a key, and a pair at ``wide`` bits meets with MEET."""
+    """(word of the index, bits of the key) of each band: at most about 1,024 rows a key, and a pair at ``wide`` bits meets with MEET."""
     apart = wide / (64 * words)
-    width = max(13, int(np.ceil(np.log2(max(rows, 1) / 32))))
+    width = max(13, int(np.ceil(np.log2(max(rows, 1) / 1024))))
     many = int(np.ceil(np.log(1 - MEET) / np.log1p(-((1 - apart) ** width))))
     rng, out, free = np.random.default_rng(17), [], np.zeros(0, dtype=np.int64)
     for i in range(many):

@@ -451,7 +451,7 @@ def test_bands_meet_at_every_size():
     for rows in (10, 10**5, 10**7, 10**10):
         chosen = simhash.bands(rows, 16, 172)
         width = len(chosen[0][1])
-        assert rows / 2**width <= 32 and 1 - (1 - (1 - 172 / 1024) ** width) ** len(chosen) >= simhash.MEET
+        assert rows / 2**width <= 1024 and 1 - (1 - (1 - 172 / 1024) ** width) ** len(chosen) >= simhash.MEET
         assert all(len(set(bits)) == width and (bits // 64 != word).all() for word, bits in chosen)
 
 
