@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for token ids below 65,536.
 
-Ids are coded in blocks of ``BLOCK``; every block starts from an empty model and has its own checksum, so it can be read
-alone. All blocks of a call advance together, one id a step, as lanes of NumPy arrays.
+Ids are coded in blocks of ``BLOCK``; every block starts from the same model and has its own checksum, so it can be read
+alone. The blocks of a call advance together, ``LANES`` at a time, one id a step, as lanes of NumPy arrays.
 
-Three orders predict the next id. Order 2 and order 1 look up the id that last followed the last two ids, or the last
-one, with a confidence that grows with each hit; how often each confidence is right is learned within the block. Order 0
-counts the ids' upper bytes. The predictions are mixed into one distribution over all ids,
+Three orders predict the next id. Order 0 is the file's own table of all its ids, carried in the header. Order 2 and order 1
+look up the id that last followed the last two ids, or the last one, with a confidence that grows with each hit; how
+often each confidence is right is learned within the block, and with it how much each order weighs. The predictions are
+mixed into one distribution over all ids,
 
     cum(id) = w0 * C0(id) + w1 * [pred1 < id] + w2 * [pred2 < id]
 
@@ -20,229 +21,226 @@ import zlib
 import numpy as np
 
 BLOCK = 2_048
-SLOTS = 512
+LANES = 4_096
+SLOTS = 256
 LEVELS = 4
-REBUILD = 128
-_F = 12  # log2 of the sum of order-0 frequencies
-_Z = 1 << (_F + 8)  # all ids of order 0
+_Z = 1 << 20  # all ids of order 0
 _T = 24  # log2 of the whole distribution
+_FIRST = (0.02, 0.1, 0.25, 0.5)  # how often a confidence is right, before anything is learned
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48, _24 = np.uint64(16), np.uint64(48), np.uint64(24)
 _U = np.uint64
-MAGIC = b"DFIDS1\0\0"
+MAGIC = b"DFIDS2\0\0"
+
+
+def frequencies(ids: np.ndarray) -> np.ndarray:
+    """Order-0 frequency of each id up to the largest: at least one where it occurs, summing to 2**20."""
+    if not len(ids):
+        return np.array([_Z], dtype=np.int32)
+    count = np.bincount(ids).astype(np.int64)
+    freq = (count > 0) + count * (_Z - np.count_nonzero(count)) // len(ids)
+    freq[freq.argmax()] += _Z - freq.sum()
+    return freq.astype(np.int32)
+
+
+class _Table:
+    """Order 0 as starts and widths of ids, and the id at each place."""
+
+    def __init__(self, freq: np.ndarray) -> None:
+        self.width = np.zeros(1 << 16, dtype=np.int32)
+        self.width[: len(freq)] = freq
+        self.start = np.cumsum(self.width, dtype=np.int32) - self.width
+        self.ids = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
 
 
 class _Model:
     """Prediction state of ``lanes`` blocks. A slot holds the predicted id and, above it, the confidence."""
 
-    def __init__(self, lanes: int, highs: int) -> None:
-        self.lanes, self.highs = lanes, highs
-        self.row = np.arange(lanes, dtype=np.int32)
+    def __init__(self, lanes: int, table: _Table) -> None:
+        self.table = table
+        row = np.arange(lanes, dtype=np.int32)
         self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.right = [np.full(lanes * LEVELS, 0.25, dtype=np.float32) for _ in range(2)]
-        self.count = np.zeros(lanes * highs, dtype=np.int32)
+        self.right = [np.tile(np.array(_FIRST, dtype=np.float32), lanes) for _ in range(2)]
         self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-        self.row_slots, self.row_levels, self.row_highs, self.base = self.row * SLOTS, self.row * LEVELS, self.row * highs, self.row * (highs + 1)
-        self.step = 0
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        """Order-0 frequencies from the counts so far: at least one each, summing to 2**12."""
-        count = self.count.reshape(self.lanes, self.highs)
-        n = count.sum(1, keepdims=True, dtype=np.int32)
-        spare = (1 << _F) - self.highs
-        freq = 1 + (count * 32 + 1) * spare // (n * 32 + self.highs)
-        freq[np.arange(self.lanes), freq.argmax(1)] += (1 << _F) - freq.sum(1, dtype=np.int32)
-        cum = np.zeros((self.lanes, self.highs + 1), dtype=np.int32)
-        np.cumsum(freq, axis=1, out=cum[:, 1:])
-        self.flat = cum.ravel()
+        self.row_slots, self.row_levels = row * SLOTS, row * LEVELS
 
     def predict(self, active: int) -> None:
-        """Sets predictions (c1, c2) and weights (k, w1, w2) of the first ``active`` lanes."""
-        last = self.last[:active]
-        one = last * 181
-        self.slot = (self.row_slots[:active] + (one >> 4 & (SLOTS - 1)), self.row_slots[:active] + ((one ^ self.before[:active] * 911) >> 3 & (SLOTS - 1)))
-        self.held = [self.slots[o][self.slot[o]] for o in (0, 1)]
+        """Sets predictions (guess) and weights (k, w1, w2) of the first ``active`` lanes."""
+        one = self.last[:active] * 181
+        two = one ^ self.before[:active] * 911
+        rows, levels = self.row_slots[:active], self.row_levels[:active]
+        self.slot = (rows + (one >> 4 & (SLOTS - 1)), rows + (two >> 3 & (SLOTS - 1)))
+        self.held = [self.slots[o].take(self.slot[o]) for o in (0, 1)]
         self.guess = [h & 65535 for h in self.held]
-        self.level = [self.row_levels[:active] + (h >> 16) for h in self.held]
-        self.chance = [self.right[o][self.level[o]] for o in (0, 1)]
+        self.sure = [h >> 16 for h in self.held]
+        self.level = [levels + s for s in self.sure]
+        self.chance = [self.right[o].take(self.level[o]) for o in (0, 1)]
         p2 = self.chance[1]
         p1 = (1 - p2) * self.chance[0]
-        self.k = np.maximum((16.5 - 16 * (p1 + p2)).astype(np.int32), 1)
-        share = (16 - self.k) * _Z
-        self.w2 = (share * (p2 / (p1 + p2))).astype(np.int32)
+        both = p1 + p2
+        self.k = np.maximum((16.5 - 16 * both).astype(np.int32), 1)
+        share = (16 - self.k) << 20
+        self.w2 = (share * (p2 / both)).astype(np.int32)
         self.w1 = share - self.w2
 
-    def interval(self, ids: np.ndarray, active: int) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids in the mixed distribution."""
-        at = self.base[:active] + (ids >> 8)
-        low_cum = self.flat[at]
-        width = self.flat[at + 1] - low_cum
         c1, c2 = self.guess
-        start = self.k * ((low_cum << 8) + (ids & 255) * width) + self.w1 * (c1 < ids) + self.w2 * (c2 < ids)
-        return start, self.k * width + self.w1 * (c1 == ids) + self.w2 * (c2 == ids)
+        self.hit = (c1 == ids, c2 == ids)
+        start = self.k * self.table.start.take(ids) + self.w1 * (c1 < ids) + self.w2 * (c2 < ids)
+        return start, self.k * self.table.width.take(ids) + self.w1 * self.hit[0] + self.w2 * self.hit[1]
 
-    def find(self, value: np.ndarray, active: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, width) of the interval that holds ``value``: the places of both predictions cut order 0 in three."""
-        base, k = self.base[:active], self.k
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id whose interval holds ``value``: a prediction's, or order 0's once the predictions before are taken out."""
+        table, k, w1, w2 = self.table, self.k, self.w1, self.w2
         c1, c2 = self.guess
-        a, b = np.minimum(c1, c2), np.maximum(c1, c2)
-        both = self.w1 + self.w2
-        one = np.where(c1 < c2, self.w1, self.w2)
-        one = np.where(a == b, both, one)
-        at = base + (a >> 8)
-        low = self.flat[at]
-        step_a = self.flat[at + 1] - low
-        start_a = k * ((low << 8) + (a & 255) * step_a)
-        width_a = k * step_a + one
-        at = base + (b >> 8)
-        low = self.flat[at]
-        step_b = self.flat[at + 1] - low
-        start_b = k * ((low << 8) + (b & 255) * step_b) + one
-        width_b = k * step_b + (both - one)
-        start_b, width_b = np.where(a == b, start_a, start_b), np.where(a == b, width_a, width_b)
-        shift = one * (value >= start_a + width_a)
-        shift = np.where(value >= start_b + width_b, both, shift)
-        inner = (value - shift) // k
-        np.clip(inner, 0, _Z - 1, out=inner)
-        target = inner >> 8
-        at = np.zeros(active, dtype=np.int32)
-        step = 1 << (self.highs - 1).bit_length() - 1
-        while step:
-            to = np.minimum(at + step, self.highs - 1)
-            at = np.where(self.flat[base + to] <= target, to, at)
-            step >>= 1
-        low = self.flat[base + at]
-        width = self.flat[base + at + 1] - low
-        rest = (inner - (low << 8)) // width
-        ids, start, width = (at << 8) + rest, k * ((low << 8) + rest * width) + shift, k * width
-        for chosen, begin, wide in ((a, start_a, width_a), (b, start_b, width_b)):
-            inside = (value >= begin) & (value < begin + wide)
-            ids, start, width = np.where(inside, chosen, ids), np.where(inside, begin, start), np.where(inside, wide, width)
-        return ids, start, width
+        same = c1 == c2
+        begin1 = k * table.start.take(c1) + w2 * (c2 < c1)
+        begin2 = k * table.start.take(c2) + w1 * (c1 < c2)
+        end1 = begin1 + k * table.width.take(c1) + w1 + w2 * same
+        end2 = begin2 + k * table.width.take(c2) + w2 + w1 * same
+        past1, past2 = value >= end1, value >= end2
+        ids = table.ids.take((value - w1 * past1 - w2 * past2) // k, mode="clip").astype(np.int32)
+        np.copyto(ids, c1, where=(value >= begin1) & ~past1)
+        np.copyto(ids, c2, where=(value >= begin2) & ~past2)
+        return ids
 
     def update(self, ids: np.ndarray, active: int) -> None:
         for order in (0, 1):
-            hit = self.guess[order] == ids
-            self.right[order][self.level[order]] = self.chance[order] + (hit * np.float32(0.96) + np.float32(0.005) - self.chance[order]) * np.float32(0.04)
-            conf = self.held[order] >> 16
-            kept = self.guess[order] | np.where(hit, np.minimum(conf + 1, LEVELS - 1), conf - 1) << 16
-            self.slots[order][self.slot[order]] = np.where(hit | (conf > 1), kept, ids)
-        self.count[self.row_highs[:active] + (ids >> 8)] += 1
+            hit, sure, chance = self.hit[order], self.sure[order], self.chance[order]
+            self.right[order][self.level[order]] = chance + (hit * np.float32(0.96) + np.float32(0.005) - chance) * np.float32(0.04)
+            grown = np.minimum(sure + 1, LEVELS - 1)
+            kept = self.guess[order] | np.where(hit, grown, sure - 1) << 16
+            self.slots[order][self.slot[order]] = np.where(hit | (sure > 1), kept, ids)
         self.before[:active] = self.last[:active]
         self.last[:active] = ids
-        self.step += 1
-        if self.step % REBUILD == 0 or self.step in (16, 32, 64):
-            self.rebuild()
 
 
 def _renorm(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Lanes whose upper 16 bits are settled, or whose range is cut so that they are."""
     settled = (low ^ (low + span)) < _TOP
-    short = ~settled & (span < _BOT)
+    short = span < _BOT
     if short.any():
+        short &= ~settled
         at = np.flatnonzero(short)
         span[at] = (~low[at] + _U(1)) & (_BOT - _U(1))
         settled |= short
     return np.flatnonzero(settled)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK, highs: int = 256) -> list[bytes]:
-    """Payload of each block of ``ids`` (uint16), whose upper bytes are all below ``highs``."""
-    if not len(ids):
-        return []
-    lanes = -(-len(ids) // block)
-    grid = np.zeros(lanes * block, dtype=np.uint16)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    tail = len(ids) - (lanes - 1) * block
-    model = _Model(lanes, highs)
+def _encode(grid: np.ndarray, lengths: np.ndarray, table: _Table) -> list[bytes]:
+    """Payloads of the lanes of ``grid`` (steps, lanes); longer blocks come first."""
+    lanes = grid.shape[1]
+    model = _Model(lanes, table)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0))
-    out, put = np.zeros((lanes, block * 2 + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    for step in range(min(block, len(ids))):
-        active = lanes if step < tail else lanes - 1
+    room = grid.shape[0] * 2 + 8
+    out = np.zeros(lanes * room, dtype="<u2")
+    put = np.arange(lanes, dtype=np.int64) * room
+    for step in range(grid.shape[0]):
+        active = lanes if step < lengths[-1] else int(np.searchsorted(-lengths, -step, side="left"))
         now = grid[step, :active].astype(np.int32)
         model.predict(active)
-        start, width = model.interval(now, active)
+        start, width = model.interval(now)
         lo, sp = low[:active], span[:active]
         unit = sp >> _24
         lo += unit * start.astype(np.uint64)
-        sp[:] = unit * width.astype(np.uint64)
+        np.multiply(unit, width.astype(np.uint64), out=sp)
         at = _renorm(lo, sp)
         while len(at):
-            out[at, put[at]] = (lo[at] >> _48).astype(np.uint16)
-            put[at] += 1
-            lo[at] <<= _16
-            sp[at] <<= _16
-            a, b = lo[at], sp[at]
+            a, b, to = lo[at], sp[at], put[at]
+            out[to] = a >> _48
+            put[at] = to + 1
+            a <<= _16
+            b <<= _16
             more = _renorm(a, b)
             lo[at], sp[at] = a, b
             at = at[more]
         model.update(now, active)
     for i in range(4):
-        out[np.arange(lanes), put + i] = (low >> _U(48 - 16 * i)).astype(np.uint16)
-    return [out[i, : put[i] + 4].tobytes() for i in range(lanes)]
+        out[put + i] = low >> _U(48 - 16 * i)
+    return [out[i * room : put[i] + 4].tobytes() for i in range(lanes)]
 
 
-def decode(payloads: list[bytes], lengths: list[int], highs: int = 256) -> list[np.ndarray]:
-    """Ids of blocks; any blocks of a file, in any order. Shorter blocks end earlier."""
-    order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
-    lanes = len(order)
-    if not lanes:
-        return []
-    sizes = np.array([lengths[i] for i in order])
-    data = [np.frombuffer(payloads[i], dtype="<u2") for i in order]
-    begin = np.r_[0, np.cumsum([len(d) for d in data])[:-1]]
+def encode(ids: np.ndarray, block: int = BLOCK, freq: np.ndarray | None = None) -> list[bytes]:
+    """Payload of each block of ``ids`` (uint16), under the order-0 frequencies of their file (their own if not given)."""
+    table = _Table(frequencies(ids) if freq is None else freq)
+    out: list[bytes] = []
+    for first in range(0, len(ids), block * LANES):
+        some = ids[first : first + block * LANES]
+        lanes, steps = -(-len(some) // block), min(block, len(some))
+        grid = np.zeros(lanes * steps, dtype=np.uint16)
+        grid[: len(some)] = some
+        lengths = np.full(lanes, steps)
+        lengths[-1] = len(some) - (lanes - 1) * steps
+        out += _encode(np.ascontiguousarray(grid.reshape(lanes, steps).T), lengths, table)
+    return out
+
+
+def _decode(payloads: list[bytes], sizes: np.ndarray, table: _Table) -> np.ndarray:
+    """Ids (lanes, steps) of payloads; longer blocks come first."""
+    lanes = len(payloads)
+    data = [np.frombuffer(p, dtype="<u2") for p in payloads]
+    at_word = np.r_[0, np.cumsum([len(d) for d in data])[:-1]]
     words = np.concatenate([*data, np.zeros(8, dtype="<u2")])
-    model = _Model(lanes, highs)
+    model = _Model(lanes, table)
     low, span, code = np.zeros(lanes, dtype=np.uint64), np.full(lanes, ~np.uint64(0)), np.zeros(lanes, dtype=np.uint64)
-    at_word = begin.copy()
     for _ in range(4):
-        code = code << _16 | words[at_word].astype(np.uint64)
+        code = code << _16 | words.take(at_word, mode="clip")
         at_word += 1
-    out = np.zeros((int(sizes.max()), lanes), dtype=np.uint16)
-    last_word = len(words) - 1
-    for step in range(int(sizes.max())):
-        active = int(np.searchsorted(-sizes, -step, side="left"))
+    out = np.zeros((int(sizes[0]), lanes), dtype=np.uint16)
+    limit = _U((1 << _T) - 1)
+    for step in range(int(sizes[0])):
+        active = lanes if step < sizes[-1] else int(np.searchsorted(-sizes, -step, side="left"))
         model.predict(active)
         lo, sp, co = low[:active], span[:active], code[:active]
         unit = sp >> _24
-        value = np.minimum((co - lo) // unit, _U((1 << _T) - 1)).astype(np.int32)
-        now, start, width = model.find(value, active)
+        now = model.find(np.minimum((co - lo) // unit, limit).astype(np.int32))
+        start, width = model.interval(now)
         lo += unit * start.astype(np.uint64)
-        sp[:] = unit * width.astype(np.uint64)
+        np.multiply(unit, width.astype(np.uint64), out=sp)
         at = _renorm(lo, sp)
         while len(at):
-            co[at] = co[at] << _16 | words[np.minimum(at_word[at], last_word)].astype(np.uint64)
-            at_word[at] += 1
-            lo[at] <<= _16
-            sp[at] <<= _16
-            a, b = lo[at], sp[at]
+            a, b, to = lo[at], sp[at], at_word[at]
+            co[at] = co[at] << _16 | words.take(to, mode="clip")
+            at_word[at] = to + 1
+            a <<= _16
+            b <<= _16
             more = _renorm(a, b)
             lo[at], sp[at] = a, b
             at = at[more]
         model.update(now, active)
         out[step, :active] = now
-    back = np.ascontiguousarray(out.T)
-    ids: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
-    for lane, i in enumerate(order):
-        ids[i] = back[lane, : lengths[i]]
+    return np.ascontiguousarray(out.T)
+
+
+def decode(payloads: list[bytes], lengths: list[int], freq: np.ndarray) -> list[np.ndarray]:
+    """Ids of blocks; any blocks of a file, in any order, under the file's order-0 frequencies."""
+    table = _Table(freq)
+    order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
+    ids: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(order)
+    for first in range(0, len(order), LANES):
+        some = order[first : first + LANES]
+        back = _decode([payloads[i] for i in some], np.array([lengths[i] for i in some]), table)
+        for lane, i in enumerate(some):
+            ids[i] = back[lane, : lengths[i]]
     return ids
 
 
 def write_file(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> bytes:
-    """A file image: header, documents (id, whether null is marked by the caller, size), block table, blocks.
+    """A file image: header, documents (id, whether null is marked by the caller, size), order-0 table, block table, blocks.
 
     Every part has a CRC-32; a block has one over its bytes and one over its ids as little-endian unsigned 32-bit integers.
     """
-    highs = max(2, (int(ids.max()) >> 8) + 1) if len(ids) else 2
-    payloads = encode(ids, block, highs)
+    freq = frequencies(ids)
+    payloads = encode(ids, block, freq)
     index = zlib.compress(doc_ids.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), 1)
+    order0 = zlib.compress(freq.astype("<u4").tobytes(), 1)
     lengths = [min(block, len(ids) - i * block) for i in range(len(payloads))]
     checks = [zlib.crc32(ids[i * block : i * block + n].astype("<u4").tobytes()) for i, n in enumerate(lengths)]
     table = b"".join(struct.pack("<IIII", n, len(p), c, zlib.crc32(p)) for n, p, c in zip(lengths, payloads, checks, strict=True))
-    head = MAGIC + struct.pack("<QQQIII", len(ids), len(doc_ids), len(index), len(payloads), block, highs)
-    return head + struct.pack("<III", zlib.crc32(head), zlib.crc32(index), zlib.crc32(table)) + index + table + b"".join(payloads)
+    head = MAGIC + struct.pack("<QQQQII", len(ids), len(doc_ids), len(index), len(order0), len(payloads), block)
+    sums = struct.pack("<IIII", zlib.crc32(head), zlib.crc32(index), zlib.crc32(order0), zlib.crc32(table))
+    return head + sums + index + order0 + table + b"".join(payloads)
 
 
 class BadFile(ValueError):
@@ -251,25 +249,26 @@ class BadFile(ValueError):
 
 def read_file(data: bytes, blocks: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, document ids, sizes) of a file image; or the ids of some blocks only."""
-    size = len(MAGIC) + 36
+    size = len(MAGIC) + 40
     head = data[:size]
-    if len(data) < size + 12 or head[: len(MAGIC)] != MAGIC:
+    if len(data) < size + 16 or head[: len(MAGIC)] != MAGIC:
         raise BadFile("not a token-id file")
-    n_ids, n_docs, n_index, n_blocks, _, highs = struct.unpack("<QQQIII", head[len(MAGIC) :])
-    check_head, check_index, check_table = struct.unpack("<III", data[size : size + 12])
-    at = size + 12
-    index, table = data[at : at + n_index], data[at + n_index : at + n_index + 16 * n_blocks]
-    if zlib.crc32(head) != check_head or zlib.crc32(index) != check_index or zlib.crc32(table) != check_table:
-        raise BadFile("header, index or block table is damaged")
+    n_ids, n_docs, n_index, n_order0, n_blocks, _ = struct.unpack("<QQQQII", head[len(MAGIC) :])
+    sums = struct.unpack("<IIII", data[size : size + 16])
+    edges = np.cumsum([size + 16, n_index, n_order0, 16 * n_blocks]).tolist()
+    index, order0, table = (data[a:b] for a, b in zip(edges, edges[1:], strict=False))
+    if tuple(map(zlib.crc32, (head, index, order0, table))) != sums:
+        raise BadFile("header, index, order-0 table or block table is damaged")
     lengths, widths, checks, packed = (list(x) for x in zip(*struct.iter_unpack("<IIII", table), strict=True)) if n_blocks else ([], [], [], [])
-    begin = np.r_[0, np.cumsum(widths)].astype(np.int64) + at + n_index + 16 * n_blocks
+    begin = np.r_[0, np.cumsum(widths)].astype(np.int64) + edges[-1]
     if begin[-1] != len(data):
         raise BadFile("the file is cut off")
     chosen = list(range(n_blocks)) if blocks is None else blocks
     for i in chosen:
         if zlib.crc32(data[begin[i] : begin[i + 1]]) != packed[i]:
             raise BadFile(f"block {i} is damaged")
-    parts = decode([data[begin[i] : begin[i + 1]] for i in chosen], [lengths[i] for i in chosen], highs)
+    freq = np.frombuffer(zlib.decompress(order0), dtype="<u4").astype(np.int32)
+    parts = decode([data[begin[i] : begin[i + 1]] for i in chosen], [lengths[i] for i in chosen], freq)
     for i, part in zip(chosen, parts, strict=True):
         if zlib.crc32(part.astype("<u4").tobytes()) != checks[i]:
             raise BadFile(f"block {i} is damaged")

@@ -15,12 +15,14 @@ rows follow each other; an empty table gives no file and an empty result; extra
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,40 +45,86 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII punctuation other than an apostrophe: after a letter, the tokenizer always cuts before it.
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_MARKS = _PUNCTUATION.encode()
+
+
+def _byte_letters() -> str:
+    """The printable character that stands for each byte in byte-level vocabularies: its own, or the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
 class Encoder:
-    """Ids of texts as little-endian 16-bit bytes, by way of remembered words."""
+    """Ids of texts as little-endian 16-bit bytes, by way of remembered words.
+
+    A word of letters that the tokenizer's normalizer leaves alone and its pre-tokenizer keeps together goes to the
+    tokenizer's model at once; any other goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memo: dict[bytes, bytes] = {}
-        self.letters = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-        self.marks = {bytes([c]): self._ids([chr(c)])[0] for c in b".,;:!?"}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word without what its ids don't depend on: ASCII case, and a mark after a letter, which is a token of its own."""
-        if b"<|" in word:
-            return word, b""
-        core = word.lower()
-        mark = self.marks.get(core[-1:])
-        return (core[:-1], mark) if mark is not None and len(core) > 1 and core[-2] in self.letters else (core, b"")
+        self.seen: set[str] = set()
+        self.fine: set[str] = set()
+        self.byte_letters = _byte_letters()
+
+    def _is_fine(self, text: str) -> bool:
+        """Whether ``text`` is letters that stay as they are and together."""
+        if not self.fine.issuperset(text):
+            for c in set(text) - self.seen:
+                self.seen.add(c)
+                if self.tokenizer.normalizer.normalize_str(c) == c and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1:
+                    self.fine.add(c)
+            if not self.fine.issuperset(text):
+                return False
+        return text.isascii() or unicodedata.is_normalized("NFC", text)
+
+    def _modelled(self, text: str) -> bytes:
+        return array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _learn(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        head = text.rstrip(_PUNCTUATION)
+        if not head or not self._is_fine(head):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._modelled(head.encode().decode("latin-1").translate(self.byte_letters)) + self._modelled(text[len(head) :])
+
+    def word(self, word: bytes) -> bytes:
+        """Ids of a word in lower case; marks after a letter are words of their own."""
+        ids = self.memo.get(word)
+        if ids is None:
+            head = word.rstrip(_MARKS)
+            if len(head) < len(word) and head[-1:].islower() and b"<|" not in word:
+                return self.word(head) + self.word(word[len(head) :])
+            ids = self.memo[word] = self._modelled(word.decode()) if word.isalpha() else self._learn(word)
+        return ids
+
+    def _lower(self, text: bytes) -> bytes:
+        """ASCII in lower case, but for words that may hold a special token."""
+        return text.lower() if b"<|" not in text else b" ".join([w if b"<|" in w else w.lower() for w in text.split()])
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        parts = {w: self._parts(w) for w in set().union(*split)}
-        cores = {c for c, _ in parts.values()}
-        fresh = list(cores - self.memo.keys())
-        if len(self.memo) + len(fresh) > MEMO:
+        if len(self.memo) > MEMO:
             self.memo.clear()
-            fresh = list(cores)
-        self.memo.update(zip(fresh, self._ids([c.decode("utf-8", "replace") for c in fresh]), strict=True))
-        get = {w: self.memo[c] + m for w, (c, m) in parts.items()}.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        strings = pa.array([self._lower(t) for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
+        split = pc.ascii_split_whitespace(strings)
+        coded = split.flatten().dictionary_encode()
+        known = [*map(self.word, coded.dictionary.cast(pa.large_binary()).to_pylist())]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        each = coded.indices.to_numpy()
+        sizes = size.take(each)
+        ends = np.r_[0, np.cumsum(sizes)]
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size).take(each) - ends[:-1], sizes)
+        ids = np.frombuffer(b"".join(known), dtype="<u2").take(at).tobytes()
+        edges = (ends[split.offsets.to_numpy()] * 2).tolist()
+        return [ids[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}
