@@ -4,8 +4,8 @@ Ids are coded in blocks of ``BLOCK``; every block starts from the same model and
 alone. The blocks of a call advance together, ``LANES`` at a time, one id a step, as lanes of NumPy arrays.
 
 Three orders predict the next id. Order 0 is the file's own table of all its ids, carried in the header. Order 2 and order 1
-look up the id that last followed the last two ids, or the last one, with a confidence that grows with each hit; how
-often each confidence is right is learned within the block, and with it how much each order weighs. The predictions are
+look up the id that last followed the last two ids, or the last one, with a confidence that grows with each hit; how much
+each order weighs at every pair of confidences is learned within the block, from how often it was right. The predictions are
 mixed into one distribution over all ids,
 
     cum(id) = w0 * C0(id) + w1 * [pred1 < id] + w2 * [pred2 < id]
@@ -24,8 +24,12 @@ BLOCK = 2_048
 LANES = 4_096
 SLOTS = 256
 LEVELS = 4
-_Z = 1 << 20  # all ids of order 0
+_S = 18
+_Z = 1 << _S  # all ids of order 0, which weighs a whole number of these
 _T = 24  # log2 of the whole distribution
+_PARTS = 1 << _T - _S
+_MOST = np.int32((_PARTS - 2) << _S)  # of orders 1 and 2
+_RATE = 5
 _FIRST = (0.02, 0.1, 0.25, 0.5)  # how often a confidence is right, before anything is learned
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48, _24 = np.uint64(16), np.uint64(48), np.uint64(24)
@@ -34,7 +38,7 @@ MAGIC = b"DFIDS2\0\0"
 
 
 def frequencies(ids: np.ndarray) -> np.ndarray:
-    """Order-0 frequency of each id up to the largest: at least one where it occurs, summing to 2**20."""
+    """Order-0 frequency of each id up to the largest: at least one where it occurs, summing to ``_Z``."""
     if not len(ids):
         return np.array([_Z], dtype=np.int32)
     count = np.bincount(ids).astype(np.int64)
@@ -53,6 +57,13 @@ class _Table:
         self.ids = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
 
 
+def _first_weights() -> list[np.ndarray]:
+    """Weights of orders 1 and 2 by whether both predict one id (which order 1 then stands for) and their confidences."""
+    p1, p2 = np.repeat(_FIRST, LEVELS), np.tile(_FIRST, LEVELS)
+    one, two = np.r_[(1 - p2) * p1, p1 + p2 - p1 * p2], np.r_[p2, np.zeros(LEVELS * LEVELS)]
+    return [(w * int(_MOST)).astype(np.int32) for w in (one, two)]
+
+
 class _Model:
     """Prediction state of ``lanes`` blocks. A slot holds the predicted id and, above it, the confidence."""
 
@@ -60,9 +71,9 @@ class _Model:
         self.table = table
         row = np.arange(lanes, dtype=np.int32)
         self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.right = [np.tile(np.array(_FIRST, dtype=np.float32), lanes) for _ in range(2)]
+        self.weights = [np.tile(w, lanes) for w in _first_weights()]
         self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-        self.row_slots, self.row_levels = row * SLOTS, row * LEVELS
+        self.row_slots, self.row_levels = row * SLOTS, row * (2 * LEVELS * LEVELS)
 
     def predict(self, active: int) -> None:
         """Sets predictions (guess) and weights (k, w1, w2) of the first ``active`` lanes."""
@@ -73,15 +84,13 @@ class _Model:
         self.held = [self.slots[o].take(self.slot[o]) for o in (0, 1)]
         self.guess = [h & 65535 for h in self.held]
         self.sure = [h >> 16 for h in self.held]
-        self.level = [levels + s for s in self.sure]
-        self.chance = [self.right[o].take(self.level[o]) for o in (0, 1)]
-        p2 = self.chance[1]
-        p1 = (1 - p2) * self.chance[0]
-        both = p1 + p2
-        self.k = np.maximum((16.5 - 16 * both).astype(np.int32), 1)
-        share = (16 - self.k) << 20
-        self.w2 = (share * (p2 / both)).astype(np.int32)
-        self.w1 = share - self.w2
+        self.same = self.guess[0] == self.guess[1]
+        self.level = levels + self.same * np.int32(LEVELS * LEVELS) + self.sure[0] * LEVELS + self.sure[1]
+        self.mass = [w.take(self.level) for w in self.weights]
+        self.w1 = self.mass[0]
+        parts = (self.w1 + self.mass[1] + (_Z - 1)) >> _S
+        self.k = _PARTS - parts
+        self.w2 = (parts << _S) - self.w1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids in the mixed distribution."""
@@ -106,11 +115,10 @@ class _Model:
         return ids
 
     def update(self, ids: np.ndarray, active: int) -> None:
-        for order in (0, 1):
-            hit, sure, chance = self.hit[order], self.sure[order], self.chance[order]
-            self.right[order][self.level[order]] = chance + (hit * np.float32(0.96) + np.float32(0.005) - chance) * np.float32(0.04)
-            grown = np.minimum(sure + 1, LEVELS - 1)
-            kept = self.guess[order] | np.where(hit, grown, sure - 1) << 16
+        for order, right in ((0, self.hit[0]), (1, self.hit[1] > self.same)):
+            hit, sure, mass = self.hit[order], self.sure[order], self.mass[order]
+            self.weights[order][self.level] = mass + (right * _MOST - mass >> _RATE)
+            kept = self.guess[order] | np.where(hit, np.minimum(sure + 1, LEVELS - 1), sure - 1) << 16
             self.slots[order][self.slot[order]] = np.where(hit | (sure > 1), kept, ids)
         self.before[:active] = self.last[:active]
         self.last[:active] = ids

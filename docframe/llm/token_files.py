@@ -35,7 +35,7 @@ END_ID = 1
 FILE_IDS = 8 << 20
 #: Bytes of text that a task gets, about.
 TASK = 32 << 20
-MEMO = 700_000
+MEMO = 1_000_000
 _NO_ID = -(1 << 63)
 
 
@@ -102,8 +102,10 @@ class Encoder:
         if ids is None:
             head = word.rstrip(_MARKS)
             if len(head) < len(word) and head[-1:].islower() and b"<|" not in word:
-                return self.word(head) + self.word(word[len(head) :])
-            ids = self.memo[word] = self._modelled(word.decode()) if word.isalpha() else self._learn(word)
+                ids = self.word(head) + self.word(word[len(head) :])
+            else:
+                ids = self._modelled(word.decode()) if word.isalpha() else self._learn(word)
+            self.memo[word] = ids
         return ids
 
     def _lower(self, text: bytes) -> bytes:
@@ -116,7 +118,9 @@ class Encoder:
         strings = pa.array([self._lower(t) for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
         split = pc.ascii_split_whitespace(strings)
         coded = split.flatten().dictionary_encode()
-        known = [*map(self.word, coded.dictionary.cast(pa.large_binary()).to_pylist())]
+        _, offsets, data = coded.dictionary.buffers()
+        places, data = np.frombuffer(offsets, dtype=np.int64, count=len(coded.dictionary) + 1).tolist(), data.to_pybytes() if data else b""
+        known = [self.word(data[i:j]) for i, j in zip(places, places[1:], strict=False)]
         size = np.fromiter(map(len, known), np.int64, len(known)) // 2
         each = coded.indices.to_numpy()
         sizes = size.take(each)
