@@ -264,6 +264,18 @@ def test_words_are_tokens_alone():
         assert np.frombuffer(coder.texts([text.encode()])[0], dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_random_words_equal_the_tokenizer():
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    coder, tokenizer = token_files.Encoder(token_files.tokenizer_path()), Tokenizer.from_file(token_files.tokenizer_path())
+    rng = np.random.default_rng(9)
+    letters = ["a", "e", "th", "S", "É", "é", "e\u0301", "ñ", "İ", "K", "ß", "Σ", "σ", "日", "한", "\u1100", "\u1161", "ก", "ำ", "1", "9", "²", "ª", "_", "'s", "'", ".", ",", "!!", "-", "<", "<|", "|>", "=\u0338", "…", "😀", "\u200d", "\u0301", " ", "\n", "\x1c", "\u00a0", "\u3000"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
+    for text, got in zip(texts, coder.texts([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 PRIVATE = "Mr. John Smith and Mrs Anna Smith, Mr. Smith; mail Jo.Doe@Mail7.example.com or jo.doe@mail7.example.com, +1 (377) 555-0271, +1-377-555-0271, 4111 1111 1111 1111, 193.195.198.107, token = \"2321bac4d15ec8f90433\" 123-45-6789 Г-жа Анна Петрова."
 
 
