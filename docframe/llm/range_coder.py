@@ -69,10 +69,10 @@ class _Model:
 
     def __init__(self, lanes: int, table: _Table) -> None:
         self.table = table
-        row = np.arange(lanes, dtype=np.int32)
-        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
+        row = np.arange(lanes, dtype=np.int64)  # places are 64 bits wide: NumPy would widen them at every use
+        self.slots = np.zeros((2, lanes * SLOTS), dtype=np.int32)
         self.weights = [np.tile(w, lanes) for w in _first_weights()]
-        self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
+        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
         self.row_slots, self.row_levels = row * SLOTS, row * (2 * LEVELS * LEVELS)
 
     def predict(self, active: int) -> None:
@@ -81,12 +81,12 @@ class _Model:
         two = one ^ self.before[:active] * 911
         rows, levels = self.row_slots[:active], self.row_levels[:active]
         self.slot = (rows + (one >> 4 & (SLOTS - 1)), rows + (two >> 3 & (SLOTS - 1)))
-        self.held = [self.slots[o].take(self.slot[o]) for o in (0, 1)]
+        self.held = [self.slots[o].take(self.slot[o], mode="clip") for o in (0, 1)]
         self.guess = [h & 65535 for h in self.held]
         self.sure = [h >> 16 for h in self.held]
         self.same = self.guess[0] == self.guess[1]
-        self.level = levels + self.same * np.int32(LEVELS * LEVELS) + self.sure[0] * LEVELS + self.sure[1]
-        self.mass = [w.take(self.level) for w in self.weights]
+        self.level = levels + (self.same * np.int32(LEVELS * LEVELS) + self.sure[0] * LEVELS + self.sure[1]).astype(np.int64)
+        self.mass = [w.take(self.level, mode="clip") for w in self.weights]
         self.w1 = self.mass[0]
         parts = (self.w1 + self.mass[1] + (_Z - 1)) >> _S
         self.k = _PARTS - parts
@@ -96,32 +96,36 @@ class _Model:
         """Start and width of the ids in the mixed distribution."""
         c1, c2 = self.guess
         self.hit = (c1 == ids, c2 == ids)
-        start = self.k * self.table.start.take(ids) + self.w1 * (c1 < ids) + self.w2 * (c2 < ids)
-        return start, self.k * self.table.width.take(ids) + self.w1 * self.hit[0] + self.w2 * self.hit[1]
+        self.at = at = ids.astype(np.int64)
+        start = self.k * self.table.start.take(at, mode="clip") + self.w1 * (c1 < ids) + self.w2 * (c2 < ids)
+        return start, self.k * self.table.width.take(at, mode="clip") + self.w1 * self.hit[0] + self.w2 * self.hit[1]
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds ``value``: a prediction's, or order 0's once the predictions before are taken out."""
         table, k, w1, w2 = self.table, self.k, self.w1, self.w2
         c1, c2 = self.guess
         same = c1 == c2
-        begin1 = k * table.start.take(c1) + w2 * (c2 < c1)
-        begin2 = k * table.start.take(c2) + w1 * (c1 < c2)
-        end1 = begin1 + k * table.width.take(c1) + w1 + w2 * same
-        end2 = begin2 + k * table.width.take(c2) + w2 + w1 * same
+        at1, at2 = c1.astype(np.int64), c2.astype(np.int64)
+        begin1 = k * table.start.take(at1, mode="clip") + w2 * (c2 < c1)
+        begin2 = k * table.start.take(at2, mode="clip") + w1 * (c1 < c2)
+        end1 = begin1 + k * table.width.take(at1, mode="clip") + w1 + w2 * same
+        end2 = begin2 + k * table.width.take(at2, mode="clip") + w2 + w1 * same
         past1, past2 = value >= end1, value >= end2
-        ids = table.ids.take((value - w1 * past1 - w2 * past2) // k, mode="clip").astype(np.int32)
-        np.copyto(ids, c1, where=(value >= begin1) & ~past1)
-        np.copyto(ids, c2, where=(value >= begin2) & ~past2)
-        return ids
+        # below 2**24 over less than 2**6: the quotient of doubles never rounds up to the next whole number
+        place = ((value - w1 * past1 - w2 * past2) / k).astype(np.int64)
+        ids = table.ids.take(place, mode="clip").astype(np.int32)
+        ids = np.where((value >= begin1) > past1, c1, ids)
+        return np.where((value >= begin2) > past2, c2, ids)
 
     def update(self, ids: np.ndarray, active: int) -> None:
         for order, right in ((0, self.hit[0]), (1, self.hit[1] > self.same)):
             hit, sure, mass = self.hit[order], self.sure[order], self.mass[order]
             self.weights[order][self.level] = mass + (right * _MOST - mass >> _RATE)
-            kept = self.guess[order] | np.where(hit, np.minimum(sure + 1, LEVELS - 1), sure - 1) << 16
-            self.slots[order][self.slot[order]] = np.where(hit | (sure > 1), kept, ids)
+            surer = np.minimum(sure + 1, LEVELS - 1) * hit
+            kept = self.held[order] - 65536 - ids  # from the id, if a sure prediction was wrong
+            self.slots[order][self.slot[order]] = ids + (surer << 16) + kept * ((sure > 1) > hit)
         self.before[:active] = self.last[:active]
-        self.last[:active] = ids
+        self.last[:active] = self.at
 
 
 def _renorm(low: np.ndarray, span: np.ndarray) -> np.ndarray:

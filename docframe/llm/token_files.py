@@ -71,20 +71,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.memo: dict[bytes, bytes] = {}
-        self.seen: set[str] = set()
-        self.fine: set[str] = set()
+        self.letters: dict[str, str | None] = {}
         self.byte_letters = _byte_letters()
 
-    def _is_fine(self, text: str) -> bool:
-        """Whether ``text`` is letters that stay as they are and together."""
-        if not self.fine.issuperset(text):
-            for c in set(text) - self.seen:
-                self.seen.add(c)
-                if self.tokenizer.normalizer.normalize_str(c) == c and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1:
-                    self.fine.add(c)
-            if not self.fine.issuperset(text):
-                return False
-        return text.isascii() or unicodedata.is_normalized("NFC", text)
+    def _letter(self, c: str) -> str | None:
+        """The byte letters of a letter that stays as it is, with those around it; None for any other character."""
+        if self.tokenizer.normalizer.normalize_str(c) != c or len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) > 1:
+            return None
+        return c.encode().decode("latin-1").translate(self.byte_letters)
+
+    def _in_letters(self, text: str) -> str | None:
+        """``text`` in byte letters, if it is letters that stay as they are and together."""
+        try:
+            each = list(map(self.letters.__getitem__, text))
+        except KeyError:
+            self.letters |= {c: self._letter(c) for c in set(text) - self.letters.keys()}
+            each = list(map(self.letters.__getitem__, text))
+        if None in each or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return None
+        return "".join(each)
 
     def _modelled(self, text: str) -> bytes:
         return array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
@@ -92,9 +97,11 @@ class Encoder:
     def _learn(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         head = text.rstrip(_PUNCTUATION)
-        if not head or not self._is_fine(head):
+        letters = self._in_letters(head)
+        if not letters:
             return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return self._modelled(head.encode().decode("latin-1").translate(self.byte_letters)) + self._modelled(text[len(head) :])
+        marks = text[len(head) :]
+        return self._modelled(letters) + (self._modelled(marks) if marks else b"")
 
     def word(self, word: bytes) -> bytes:
         """Ids of a word in lower case; marks after a letter are words of their own."""
