@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, language_model, mixing, packing, pii, simhash, substrings, token_files, toxicity
+from . import ann, embedding_dedup, language_model, mixing, packing, pii, simhash, substrings, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
+        "op11_token_counts": token_counts.op11_token_counts,
     }
 
 

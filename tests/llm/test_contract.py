@@ -18,13 +18,14 @@ COLUMNS = {
     "op8_toxicity": "doc_id bigint, severity int",
     "op9_mixing": "doc_id bigint, source string, block int",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns_and_rows(spark, name):
-    if name.startswith("op6"):
+    if name.startswith(("op6", "op11")):
         pytest.importorskip("public_tokenizers")
     out = __spark_entry__.queries()[name](spark, SF)
     types = dict(out.dtypes)
