@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, language_model, mixing, packing, pii, simhash, substrings, token_counts, token_files, toxicity
+from . import ann, embedding_dedup, filter_audit, language_model, merkle, mixing, packing, pii, simhash, substrings, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
         "op11_token_counts": token_counts.op11_token_counts,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substrings": substrings.OP1_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_merkle": merkle.OP13_SQL,
     }

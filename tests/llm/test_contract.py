@@ -19,6 +19,8 @@ COLUMNS = {
     "op9_mixing": "doc_id bigint, source string, block int",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op13_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -35,6 +37,8 @@ def test_columns_and_rows(spark, name):
     rows = out.count()
     if name == "op5_ann":
         assert rows == 5 * read(spark, SF, "embeddings").filter("vec_id % 50 = 0").count()
+    elif name == "op12_filter_audit":
+        assert rows == 600 * read(spark, SF, "documents").select("source").distinct().count()
     elif name == "op9_mixing":
         assert rows >= read(spark, SF, "documents").count()
     else:
