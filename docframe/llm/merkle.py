@@ -118,14 +118,14 @@ def _steps(siblings: Column, levels_up: int) -> Column:
     return F.filter(F.array(*made), lambda s: s["real"])
 
 
-def paths(tables: list[DataFrame], top: DataFrame, payload: DataFrame | None = None) -> DataFrame:
+def paths(tables: list[DataFrame], top: DataFrame | None = None, payload: DataFrame | None = None) -> DataFrame:
     """For every node of the lowest table: (tree, place, steps, ...) from it up to the root.
 
-    ``top`` has (tree, steps, ...) of the subroots. ``payload`` has (tree, n, place, carried struct) of the lowest nodes;
+    ``top`` has (tree, steps, ...) of the trees' last nodes; without it, these are the end. ``payload`` has (tree, n, place, carried struct) of the lowest nodes;
     its struct travels along as ``carried``.
     """
-    extra = [c for c in top.columns if c not in ("tree", "steps")]
-    above = top.withColumn("place", F.lit(0).cast("long"))
+    extra = [c for c in top.columns if c not in ("tree", "steps")] if top is not None else []
+    above = top.withColumn("place", F.lit(0).cast("long")) if top is not None else None
     for base in range((len(tables) - 1 + BAND - 1) // BAND * BAND - BAND, -1, -BAND):
         band = tables[base : base + BAND]
         height, nodes = min(BAND, len(tables) - 1 - base), tables[base]
@@ -145,8 +145,11 @@ def paths(tables: list[DataFrame], top: DataFrame, payload: DataFrame | None = N
         rows = rows.unionByName(own).withColumn("_up", F.shiftright("place", 3 * height)).repartition("tree", "_up")
         grouped = rows.groupBy("tree", "_up", "place", "n").agg(F.collect_list("s").alias("_s"), F.first("carried", ignorenulls=True).alias("carried"))
         mine = grouped.select("tree", "_up", "place", "carried", _steps(F.col("_s"), height).alias("_own"))
-        joined = mine.join(above.withColumnRenamed("place", "_up").withColumnRenamed("steps", "_rest"), ["tree", "_up"])
-        above = joined.select("tree", "place", F.concat("_own", "_rest").alias("steps"), "carried", *extra)
+        if above is None:
+            above = mine.select("tree", "place", F.col("_own").alias("steps"), "carried")
+        else:
+            joined = mine.join(above.withColumnRenamed("place", "_up").withColumnRenamed("steps", "_rest"), ["tree", "_up"])
+            above = joined.select("tree", "place", F.concat("_own", "_rest").alias("steps"), "carried", *extra)
         if base:
             above = saved(above.drop("carried"), "merkle-paths")
     return above
@@ -179,7 +182,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fields: Sequence[s
     tops = levels(subroots)
     found = tops[-1].select("digest").first()
     root = found[0].hex() if found else None
-    top = paths(tops, _root_path(docs.sparkSession)).select(F.col("place").alias("tree"), "steps") if len(tops) > 1 else trees.select("tree", _no_steps().alias("steps"))
+    top = paths(tops).select(F.col("place").alias("tree"), "steps") if len(tops) > 1 else trees.select("tree", _no_steps().alias("steps"))
     top = saved(top.join(subroots.select(F.col("place").alias("tree"), "digest"), "tree").withColumn("subroot", _hex(F.col("digest"))).drop("digest"), "merkle-top")
     if len(tables) > 1:
         all_paths = paths(tables, top, rows)
@@ -192,11 +195,6 @@ def _no_steps() -> Column:
     return F.array().cast("array<struct<real:boolean,left:string,right:string>>")
 
 
-def _root_path(spark: SparkSession) -> DataFrame:
-    """The path of the root itself: no steps."""
-    return spark.range(1).select(F.lit(0).cast("long").alias("tree"), _no_steps().alias("steps"))
-
-
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of whole ``documents`` with every row's proof, folded from tampered leaves where 3 divides the id's crc32."""
     docs = read(spark, sf_dir, "documents")
