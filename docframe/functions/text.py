@@ -140,6 +140,21 @@ def path_error(path: Column) -> Column:
     return F.when(path.startswith("/") | F.array_contains(F.split(path, "/"), ".."), "path_escapes_root")
 
 
+def _url_text(digest: Column) -> Column:
+    """The first twelve bytes of a hexadecimal digest in the alphabet of URLs: sixteen characters."""
+    return F.translate(F.base64(F.unhex(F.substr(digest, F.lit(1), F.lit(HEX_ID)))), "+/", "-_")
+
+
 def random_id(prefix: str) -> Column:
-    """``prefix_`` and a random text; another each time it is worked out, so write it before it is used twice."""
-    return F.concat(F.lit(prefix + "_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+    """``prefix_`` and sixteen random characters; others each time it is worked out, so write it before it is used twice."""
+    return F.concat(F.lit(prefix + "_"), _url_text(sha256(F.uuid())))
+
+
+def keyed_id(prefix: str, *parts: Column) -> Column:
+    """An id of the same form that equal parts always get, so that work done again makes the same rows."""
+    return F.concat(F.lit(prefix + "_"), _url_text(sha256(F.concat_ws(":", *[p.cast("string") for p in parts]))))
+
+
+def json_map(text: Column) -> Column:
+    """Fields of a JSON object by name, as text: strings as they are, other values as JSON; names may hold any characters."""
+    return F.from_json(text, "map<string,string>")

@@ -92,11 +92,16 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
-def insert_or_ignore(there: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``there`` and those rows of ``new`` whose key it lacks; of equal new keys the least row."""
+def new_rows(there: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Those rows of ``new`` whose key ``there`` lacks; of equal new keys the least row."""
     rest = [c for c in new.columns if c not in key]
     once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*")
-    return there.select(*new.columns).unionByName(once.join(there.select(*key), key, "left_anti").select(*new.columns))
+    return once.join(there.select(*key), key, "left_anti").select(*new.columns)
+
+
+def insert_or_ignore(there: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``there`` and its ``new_rows``."""
+    return there.select(*new.columns).unionByName(new_rows(there, new, key))
 
 
 def after_cursor(events: DataFrame, cursor: DataFrame) -> DataFrame:
