@@ -62,26 +62,98 @@ def video_markdown(transcript: Column, frames: Column) -> Column:
     return F.concat(F.regexp_replace(transcript, r"\s+\z", ""), F.lit("\n\n## Key Frames"), listed, F.lit("\n"))
 
 
+WARNINGS = "array<struct<severity:string,code:string,message:string,source:string>>"
+
+
+def warning(code: Column, message: Column, source: Column) -> Column:
+    return F.struct(F.lit("warning").alias("severity"), code.alias("code"), message.alias("message"), source.alias("source"))
+
+
 def transcript_warnings(aligned: Column) -> Column:
     """Warning records of a transcript: one where its segments are not all timed."""
-    record = F.struct(F.lit("transcript_not_time_aligned").alias("code"), F.lit("Local ASR produced whole-text transcript without timestamped segments.").alias("message"))
-    none = F.array().cast("array<struct<code:string,message:string>>")
-    return F.when(aligned, none).otherwise(F.array(record))
+    # Code and message.
+    record = warning(F.lit("transcript_not_time_aligned"), F.lit("Local ASR produced whole-text transcript without timestamped segments."), F.lit("transcript"))
+    return F.when(aligned, F.array().cast(WARNINGS)).otherwise(F.array(record))
+
+
+def clean(text: Column) -> Column:
+    """A recogniser's text: single characters put together, words with one space between them."""
+    return T.join_tokens(T.words_or_characters(text))
 
 
-def transcript(text: Column, segments: Column, engine: Column, method: Column) -> Column:
-    """A runner's result as a transcript: trimmed text (none: empty), segments (none: no segments), the engine's name."""
-    return F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("text"), segments.alias("segments"), F.coalesce(engine, F.lit("local-asr")).alias("engine"), method.alias("time_alignment_method"))
+def transcript(text: Column, sentences: Column, timed: Column, engine: Column) -> Column:
+    """A recogniser's result: segments of its sentences or, if these give none, of its timed tokens; its text cleaned, or else the segments' lines."""
+    of_sentences = sentence_segments(sentences)
+    segments = F.when(F.size(of_sentences) > 0, of_sentences).otherwise(timed)
+    whole = clean(F.coalesce(text, F.lit("")))
+    lines = T.strip(F.array_join(F.transform(segments, lambda s: s["text"]), "\n"))
+    return F.struct(F.when(whole != "", whole).otherwise(lines).alias("text"), segments.alias("segments"), F.coalesce(engine, F.lit("local-asr")).alias("engine"))
 
 
 def sentence_segments(sentences: Column) -> Column:
     """Segments of (start ms, end ms, text) sentences: seconds to three places, blank ones left out, numbered as they were."""
-    numbered = F.transform(sentences, lambda s, i: F.struct(F.concat(F.lit("seg-"), (i + 1).cast("string")).alias("id"), F.round(s["start"] / 1000, 3).alias("start_sec"), F.round(s["end"] / 1000, 3).alias("end_sec"), T.strip(s["text"]).alias("text")))
+    numbered = F.transform(sentences, lambda s, i: F.struct(F.concat(F.lit("seg-"), (i + 1).cast("string")).alias("id"), F.round(s["start"] / 1000, 3).alias("start_sec"), F.round(s["end"] / 1000, 3).alias("end_sec"), clean(s["text"]).alias("text")))
     return F.filter(numbered, lambda s: s["text"] != "")
 
 
-def shape_warnings(shapes: Column) -> Column:
-    """Warnings of a slide's shapes (array of name, visible, dynamic_field): off the slide, or text that is worked out when shown."""
-    off = F.transform(F.filter(shapes, lambda s: ~s["visible"]), lambda s: F.struct(F.lit("off_canvas_shape").alias("code"), s["name"].alias("shape")))
-    field = F.transform(F.filter(shapes, lambda s: s["dynamic_field"].isNotNull()), lambda s: F.struct(F.lit("dynamic_field").alias("code"), s["name"].alias("shape")))
-    return F.concat(off, field)
+SEGMENTS = "array<struct<id:string,start_sec:double,end_sec:double,text:string>>"
+
+
+def coerced_segments(result: Column) -> Column:
+    """struct(segments, error) of a runner's result as JSON text, whose segments are objects (start_sec, end_sec, text, id) or lists of three.
+
+    A list of another length, or anything else, is the error ``invalid_asr_result``, and so is a time that is no number.
+    """
+    listed = F.coalesce(F.try_variant_get(F.try_parse_json(result), "$.segments", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda x: F.schema_of_variant(x)
+    is_object, is_list = lambda x: F.startswith(kind(x), F.lit("OBJECT")), lambda x: F.startswith(kind(x), F.lit("ARRAY"))
+    field = lambda x, name, at, as_type: F.when(is_object(x), F.try_variant_get(x, f"$.{name}", as_type)).otherwise(F.try_variant_get(x, f"$[{at}]", as_type))
+
+    def broken(x: Column) -> Column:
+        size = F.size(F.try_variant_get(x, "$", "array<variant>"))
+        unreadable = F.lit(False)
+        for name, at in (("start_sec", 0), ("end_sec", 1)):
+            value = field(x, name, at, "variant")
+            there = value.isNotNull() & ~F.is_variant_null(value)
+            unreadable = unreadable | (there & field(x, name, at, "double").isNull())
+        return F.when(is_object(x), unreadable).when(is_list(x), (size != 3) | unreadable).otherwise(True)
+
+    made = F.transform(listed, lambda x: F.struct(F.when(is_object(x), field(x, "id", 3, "string")).alias("id"), field(x, "start_sec", 0, "double").alias("start_sec"), field(x, "end_sec", 1, "double").alias("end_sec"), F.coalesce(field(x, "text", 2, "string"), F.lit("")).alias("text")))
+    error = F.when(F.exists(listed, lambda x: F.coalesce(broken(x), F.lit(True))), "invalid_asr_result")
+    return F.struct(F.when(error.isNull(), made).alias("segments"), error.alias("error"))
+
+
+def page_item(markdown: Column, failure: Column, location: Column, error: Column, result: Column) -> Column:
+    """A page item's Markdown: native text, or a notice of a failure, or what was read from its pixels."""
+    reason = F.coalesce(failure, error)
+    notice = F.concat(F.lit("> [!WARNING] Visual parsing skipped for "), location, F.lit(": "), reason)
+    region = F.concat(F.lit("### Visual region: "), location, F.lit("\n\n"), T.without_first_image(F.coalesce(result, F.lit(""))))
+    return F.when(F.coalesce(markdown, F.lit("")) != "", markdown).when(reason.isNotNull(), notice).otherwise(region)
+
+
+def page_documents(pages: DataFrame, items: DataFrame, results: DataFrame) -> DataFrame:
+    """(doc, markdown, warnings, error): pages with their items from top to bottom, and before them what went wrong.
+
+    ``pages`` has (doc, page); ``items`` (doc, page, y, x, ord, markdown, failure, location, digest), of which text, failure or digest is there; ``results``
+    (doc, digest, result, error). Items of equal places keep their order. A document without a usable item has an error.
+    """
+    told = items.join(results.withColumnsRenamed({"error": "_error"}), ["doc", "digest"], "left")
+    missing = F.when(F.col("digest").isNotNull() & F.col("result").isNull(), F.coalesce("_error", F.lit("no visual result")))
+    native = F.coalesce("markdown", F.lit("")) != ""
+    reason = F.when(~native, F.coalesce("failure", missing))
+    row = F.struct("y", "x", "ord", page_item(F.col("markdown"), F.col("failure"), F.col("location"), missing, F.col("result")).alias("text"), F.when(reason.isNotNull(), F.concat("location", F.lit(": "), reason)).alias("warning"))
+    by_page = told.groupBy("doc", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count_if(reason.isNull()).alias("usable"))
+    n = F.col("page")
+    head = F.concat(F.lit("## Page "), n.cast("string"), F.lit("\n\n"), page_image_line(n))
+    each = pages.join(by_page, ["doc", "page"], "left").select("doc", "page", F.array_join(F.concat(F.array(head), F.coalesce(F.transform("rows", lambda r: r["text"]), F.array().cast("array<string>"))), "\n\n").alias("text"), F.coalesce(F.filter(F.transform("rows", lambda r: r["warning"]), lambda w: w.isNotNull()), F.array().cast("array<string>")).alias("warnings"), F.coalesce("usable", F.lit(0)).alias("usable"))
+    docs = each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text", "warnings"))).alias("p"), F.sum("usable").alias("usable"))
+    warnings = F.flatten(F.transform("p", lambda p: p["warnings"]))
+    listed = F.when(F.size(warnings) > 0, F.concat(F.lit("## Warnings\n\n"), F.array_join(F.transform(warnings, lambda w: F.concat(F.lit("- "), w)), "\n"), F.lit("\n\n"))).otherwise("")
+    text = F.concat(F.lit("# PDF Visual Parse Result\n\n"), listed, F.array_join(F.transform("p", lambda p: p["text"]), "\n\n"))
+    detail = F.when(F.size(warnings) > 0, F.array_join(warnings, "; ")).otherwise("no native text or visual content")
+    error = F.when(F.col("usable") == 0, F.concat(F.lit("PDF produced no usable content: "), detail))
+    return docs.select("doc", F.when(error.isNull(), text).alias("markdown"), warnings.alias("warnings"), error.alias("error"))
+
+
+def page_image_line(page: Column) -> Column:
+    return F.concat(F.lit("![page-"), page.cast("string"), F.lit("-image](images/pages/page_"), T.padded(page), F.lit(".png)"))

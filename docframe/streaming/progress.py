@@ -1,22 +1,10 @@
-"""Progress events and work items as streams."""
+"""Progress events as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-TERMINAL = ("completed", "completed_with_warnings", "failed", "expired")
-LEASE = "work_item_id long, at timestamp, action string, worker string, seconds int"
-ITEM = "work_item_id long, status string, attempt_count int, lease_owner string, note string"
-_STATE = "status string, attempt int, owner string, until_ms long, last_ms long"
-MAX_ATTEMPTS = 3
-#: How long the state of an ended item is kept, so that late actions on it are ignored.
-KEPT_MS = 3_600_000
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
@@ -36,57 +24,3 @@ def append_once(batch: DataFrame, batch_id: int, path: str) -> None:
 
 def publish_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(lambda df, n: append_once(df, n, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Lease state of one work item after more actions, in time order.
-
-    claim: takes a waiting item, or one whose lease ran out (its attempt counts); after MAX_ATTEMPTS it fails instead.
-    renew, complete, fail: count only from the owner of a lease that has not run out; fail waits again while attempts
-    remain. Ends are final.
-
-    Once the watermark passes the end of a lease, the item waits again, or fails if its attempts are used up; once it
-    passes an end by KEPT_MS, the item's state goes.
-    """
-    status, attempt, owner, until, last = state.get if state.exists else ("pending", 0, "", 0, 0)
-    if state.hasTimedOut:
-        if status != "leased":
-            state.remove()
-            return
-        status, note = ("pending", "lease_expired") if attempt < MAX_ATTEMPTS else ("failed", "work_item_attempts_exhausted")
-        state.update((status, attempt, "", until, last))
-        if status == "failed":
-            state.setTimeoutTimestamp(max(until + KEPT_MS, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], status, attempt, "", note)], columns=["work_item_id", "status", "attempt_count", "lease_owner", "note"])
-        return
-    rows = pd.concat(list(frames)).sort_values(["at", "action"], kind="stable")
-    out = []
-    for at, action, worker, seconds in zip(rows["at"], rows["action"], rows["worker"], rows["seconds"], strict=True):
-        now = int(at.timestamp() * 1000)
-        last = max(last, now)
-        note = "ignored"
-        if status in ("completed", "failed"):
-            pass
-        elif action == "claim" and (status == "pending" or until <= now):
-            if attempt >= MAX_ATTEMPTS:
-                status, owner, note = "failed", "", "work_item_attempts_exhausted"
-            else:
-                note = "claimed" if status == "pending" else "reclaimed"
-                status, attempt, owner, until = "leased", attempt + 1, worker, now + int(seconds) * 1000
-        elif action != "claim" and status == "leased" and owner == worker and until > now:
-            if action == "renew":
-                until, note = now + int(seconds) * 1000, "renewed"
-            elif action == "complete":
-                status, owner, note = "completed", "", "completed"
-            elif action == "fail":
-                status, owner, note = ("pending", "", "retry") if attempt < MAX_ATTEMPTS else ("failed", "", "failed")
-        out.append((key[0], status, attempt, owner, note))
-    state.update((status, attempt, owner, until, last))
-    if status != "pending":
-        state.setTimeoutTimestamp(max(until if status == "leased" else last + KEPT_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["work_item_id", "status", "attempt_count", "lease_owner", "note"])
-
-
-def lease_states(actions: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """State of each work item after each action (schema LEASE) and when its lease runs out, as a stream."""
-    return actions.withWatermark("at", late).groupBy("work_item_id").applyInPandasWithState(_advance, ITEM, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
