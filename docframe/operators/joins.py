@@ -72,11 +72,14 @@ def containing_packed(pages: DataFrame, markers: DataFrame, key: str, page: str,
 def topk_coverage(df: DataFrame, key: str, time: str, score: str, order: str, duration: str, k: int) -> DataFrame:
     """k rows of each key: the best of each of k half-open parts of its duration, filled up by the best of the rest.
 
-    Rows at or past the end are in no part and can only fill up. Ties go to the earlier row.
+    Rows at or past the end are in no part and can only fill up. Ties go to the earlier row. Where the duration is null or
+    0, the last row's time stands for it, and where that is 0 too, the number of rows.
     """
-    bucket = F.floor(F.col(time) * k / F.col(duration)).cast("int")
+    whole = W.partitionBy(key)
+    length = F.coalesce(F.nullif(F.col(duration).cast("double"), F.lit(0.0)), F.nullif(F.max(F.col(time)).over(whole).cast("double"), F.lit(0.0)), F.count("*").over(whole).cast("double"))
+    bucket = F.floor(F.col(time) * k / F.col("_length")).cast("int")
     part = F.when((F.col(time) >= 0) & (bucket < k), bucket)
     first = F.row_number().over(W.partitionBy(key, "_part").orderBy(F.desc(score), time, order))
-    marked = df.withColumn("_part", part).withColumn("_won", (F.col("_part").isNotNull() & (first == 1)).cast("int"))
+    marked = df.withColumn("_length", length).withColumn("_part", part).withColumn("_won", (F.col("_part").isNotNull() & (first == 1)).cast("int"))
     place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_won"), F.desc(score), time, order))
-    return marked.withColumn("_place", place).filter(F.col("_place") <= k).drop("_part", "_won", "_place")
+    return marked.withColumn("_place", place).filter(F.col("_place") <= k).drop("_length", "_part", "_won", "_place")

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the earliest time a zip entry can have; equal contents then give equal archives.
-_EPOCH = (1980, 1, 1, 0, 0, 0)
+EPOCH = (1980, 1, 1, 0, 0, 0)
 
 
 def zip_bytes(files: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", compression=zipfile.ZIP_DEFLATED) as archive:
         for name in sorted(files):
-            info = zipfile.ZipInfo(name, _EPOCH)
+            info = zipfile.ZipInfo(name, EPOCH)
             info.compress_type = zipfile.ZIP_DEFLATED
             archive.writestr(info, files[name])
     return out.getvalue()
