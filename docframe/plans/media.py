@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docframe.durable import assembly
+from docframe.durable.schema import ERROR
 from docframe.functions import hashes as H
 from docframe.functions import text as T
-from docframe.operators import folds, joins
+from docframe.operators import folds, frame_cache, joins
+from docframe.operators import shapes as S
 from docframe.operators import visuals as V
 
 from .base import Plans
@@ -42,8 +45,16 @@ def merge_candidates(t):
     return folds.merge_candidates(_frames(t), "user_id", "time", "event_id", "reason").select("user_id", "event_id", "time", "reason")
 
 
+def _score():
+    return F.round(H.selection_score(F.col("brightness"), F.col("entropy"), F.col("sharpness"), F.col("difference"), F.col("reason")), 6)
+
+
 def _scored(t) -> DataFrame:
-    merged = folds.merge_candidates(_frames(t), "user_id", "time", "event_id", "reason")
+    return _scored_of(_frames(t))
+
+
+def _scored_of(frames: DataFrame) -> DataFrame:
+    merged = folds.merge_candidates(frames, "user_id", "time", "event_id", "reason")
     before = F.lag("ahash").over(W.partitionBy("user_id").orderBy("time", "event_id"))
     return merged.withColumn("difference", H.bit_distance(F.col("ahash"), before)).withColumn("usable", H.usable_frame(F.col("brightness"), F.col("entropy"), F.col("sharpness")))
 
@@ -67,20 +78,25 @@ def select_perceptual(t):
     return folds.select_perceptual(_scored(t), "user_id", "time", "event_id", "reason", "ahash", "difference", "usable").select("user_id", "event_id", "time")
 
 
-@plans.add(f"""WITH d AS (SELECT *, max(time) OVER (PARTITION BY user_id) AS duration FROM (SELECT *, round({_SCORE}, 6) AS score FROM {_SCORED})), b AS (SELECT *, CASE WHEN CAST(floor(time * 5 / duration) AS INTEGER) < 5 THEN CAST(floor(time * 5 / duration) AS INTEGER) END AS part FROM d WHERE duration > 0),
- r AS (SELECT *, part IS NOT NULL AND row_number() OVER (PARTITION BY user_id, part ORDER BY score DESC, time, event_id) = 1 AS won FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY won DESC, score DESC, time, event_id) AS place FROM r) SELECT user_id, event_id, time FROM p WHERE place <= 5""")
+def _topk(rows: str, k: int) -> str:
+    """SQL of the best rows of each part of a video; ``rows`` have user_id, event_id, time, score and duration."""
+    length = "coalesce(nullif(duration, 0), nullif(max(time) OVER (PARTITION BY user_id), 0), CAST(count(*) OVER (PARTITION BY user_id) AS DOUBLE))"
+    return f"""(WITH d AS (SELECT *, {length} AS length FROM {rows}), b AS (SELECT *, CASE WHEN CAST(floor(time * {k} / length) AS INTEGER) < {k} THEN CAST(floor(time * {k} / length) AS INTEGER) END AS part FROM d),
+ r AS (SELECT *, part IS NOT NULL AND row_number() OVER (PARTITION BY user_id, part ORDER BY score DESC, time, event_id) = 1 AS won FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY won DESC, score DESC, time, event_id) AS place FROM r) SELECT user_id, event_id, time FROM p WHERE place <= {k})"""
+
+
+@plans.add("SELECT user_id, event_id, time FROM " + _topk(f"(SELECT *, max(time) OVER (PARTITION BY user_id) AS duration, round({_SCORE}, 6) AS score FROM {_SCORED})", 5))
 def topk_coverage(t):
-    """O06, O07, O09, J11, A12, Q2."""
-    score = F.round(H.selection_score(F.col("brightness"), F.col("entropy"), F.col("sharpness"), F.col("difference"), F.col("reason")), 6)
-    d = _scored(t).withColumn("score", score)
-    d = d.join(d.groupBy("user_id").agg(F.max("time").alias("duration")), "user_id").filter("duration > 0")
+    """Of a video whose frames are all at its start, its best frames."""
+    d = _scored(t).withColumn("score", _score())
+    d = d.join(d.groupBy("user_id").agg(F.max("time").alias("duration")), "user_id")
     return joins.topk_coverage(d, "user_id", "time", "score", "event_id", "duration", 5).select("user_id", "event_id", "time")
 
 
 @plans.add(f"SELECT user_id, CAST(least(floor(time / 60), 9) AS INTEGER) AS bucket, arg_max(event_id, {{'s': score, 'e': -event_id}}) AS best, count(*)::BIGINT AS n FROM (SELECT *, round({_SCORE}, 6) AS score FROM {_SCORED}) GROUP BY ALL")
 def bucket_argmax(t):
     """The best of each part, the first of equals."""
-    score = F.round(H.selection_score(F.col("brightness"), F.col("entropy"), F.col("sharpness"), F.col("difference"), F.col("reason")), 6)
+    score = _score()
     return _scored(t).groupBy("user_id", F.least(F.floor(F.col("time") / 60), F.lit(9)).cast("int").alias("bucket")).agg(F.max_by("event_id", F.struct(score.alias("s"), (-F.col("event_id")).alias("e"))).alias("best"), F.count("*").alias("n"))
 
 
@@ -294,13 +310,33 @@ def union_candidates(t):
 _NATIVE = r"regexp_matches(html, '<p[^>]*>[^<]*[A-Za-z]')"
 
 
-@plans.add(f"SELECT page_id, {_NATIVE} AS native, CASE WHEN {_NATIVE} THEN 'native_text' ELSE 'page_render' END AS item, {_NATIVE} AND contains(html, '<img') AS regions, '## Page ' || (page_id + 1) || chr(10) || chr(10) || '![page-' || (page_id + 1) || '-image](images/pages/page_' || printf('%03d', page_id + 1) || '.png)' AS head FROM pages")
+@plans.add(f"SELECT page_id, {_NATIVE} AS native, contains(html, '<img') AS regions, NOT {_NATIVE} AND NOT contains(html, '<img') AS rendered, '## Page ' || (page_id + 1) || chr(10) || chr(10) || '![page-' || (page_id + 1) || '-image](images/pages/page_' || printf('%03d', page_id + 1) || '.png)' AS head FROM pages")
 def native_first(t):
-    """Only pages without native text are rendered for a model, and pictures of others sent as regions."""
-    n, native = F.col("page_id") + 1, F.col("native")
-    pages = t("pages").select("page_id", F.rlike("html", F.lit("<p[^>]*>[^<]*[A-Za-z]")).alias("native"), F.contains("html", F.lit("<img")).alias("pictures"))
-    head = F.concat(F.lit("## Page "), n.cast("string"), F.lit("\n\n![page-"), n.cast("string"), F.lit("-image](images/pages/page_"), T.padded(n), F.lit(".png)"))
-    return pages.select("page_id", "native", F.when(native, "native_text").otherwise("page_render").alias("item"), (native & F.col("pictures")).alias("regions"), head.alias("head"))
+    """Pictures are sent as regions, whatever else is on the page; only a page with neither text nor pictures is rendered whole."""
+    n = F.col("page_id") + 1
+    pages = t("pages").select("page_id", F.rlike("html", F.lit("<p[^>]*>[^<]*[A-Za-z]")).alias("native"), F.contains("html", F.lit("<img")).alias("regions"))
+    return pages.select("page_id", "native", "regions", (~F.col("native") & ~F.col("regions")).alias("rendered"), F.concat(F.lit("## Page "), n.cast("string"), F.lit("\n\n"), V.page_image_line(n)).alias("head"))
+
+
+_ITEMS = """(SELECT *, turn // 3 AS page, CAST(turn * 7 % 5 AS DOUBLE) AS y, CAST(turn % 2 AS DOUBLE) AS x, 'page ' || (turn // 3 + 1) || ' image ' || (turn % 3 + 1) AS location, CASE WHEN conv_id % 7 > 0 AND turn % 4 = 0 THEN nullif(text, '') END AS markdown, CASE WHEN turn % 4 = 3 THEN 'invalid image bounds' END AS failure,
+ CASE WHEN turn % 4 = 1 AND conv_id % 7 > 0 THEN role END AS result, CASE WHEN turn % 4 = 2 THEN 'timed out' END AS late FROM conversations)"""
+
+
+@plans.add(f"""WITH i AS (SELECT *, CASE WHEN markdown IS NULL THEN coalesce(failure, late, CASE WHEN result IS NULL THEN 'no visual result' END) END AS reason FROM {_ITEMS}),
+ p AS (SELECT conv_id, page, string_agg(coalesce(markdown, '> [!WARNING] Visual parsing skipped for ' || location || ': ' || reason, '### Visual region: ' || location || chr(10) || chr(10) || result), chr(10) || chr(10) ORDER BY y, x, turn) AS body, list(location || ': ' || reason ORDER BY y, x, turn) FILTER (WHERE reason IS NOT NULL) AS w, count(*) FILTER (WHERE reason IS NULL) AS usable FROM i GROUP BY conv_id, page),
+ d AS (SELECT conv_id, string_agg('## Page ' || (page + 1) || chr(10) || chr(10) || '![page-' || (page + 1) || '-image](images/pages/page_' || printf('%03d', page + 1) || '.png)' || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY page) AS body, flatten(list(coalesce(w, []) ORDER BY page)) AS w, sum(usable) AS usable FROM p GROUP BY conv_id)
+ SELECT conv_id AS doc, CASE WHEN usable > 0 THEN '# PDF Visual Parse Result' || chr(10) || chr(10) || CASE WHEN len(w) > 0 THEN '## Warnings' || chr(10) || chr(10) || array_to_string(list_transform(w, lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) ELSE '' END || body END AS markdown, len(w)::BIGINT AS warnings, CASE WHEN usable = 0 THEN 'PDF produced no usable content: ' || CASE WHEN len(w) > 0 THEN array_to_string(w, '; ') ELSE 'no native text or visual content' END END AS error FROM d""")
+def pdf_pages(t):
+    """Pages with their items from top to bottom, a notice where one failed, and what went wrong before them all."""
+    c, turn, conv = t("conversations"), F.col("turn"), F.col("conv_id")
+    page = (F.floor(turn / 3) + 1).cast("int")
+    location = F.concat(F.lit("page "), page.cast("string"), F.lit(" image "), (turn % 3 + 1).cast("string"))
+    digest = F.when(turn % 4 < 3, T.sha256(F.concat(conv.cast("string"), F.lit(":"), turn.cast("string"))))
+    items = c.select(conv.alias("doc"), page.alias("page"), (turn * 7 % 5).cast("double").alias("y"), (turn % 2).cast("double").alias("x"), turn.alias("ord"), F.when((conv % 7 > 0) & (turn % 4 == 0), F.col("text")).alias("markdown"), F.when(turn % 4 == 3, "invalid image bounds").alias("failure"), location.alias("location"), digest.alias("digest"))
+    seen = F.when((turn % 4 == 1) & (conv % 7 > 0), F.concat(F.lit("![visual-item-0](a.png)\n\n"), F.col("role")))
+    results = c.filter((turn % 4 == 2) | seen.isNotNull()).select(conv.alias("doc"), digest.alias("digest"), seen.alias("result"), F.when(turn % 4 == 2, "timed out").alias("error"))
+    pages = items.select("doc", "page").distinct()
+    return V.page_documents(pages, items, results).select("doc", "markdown", F.size("warnings").cast("bigint").alias("warnings"), "error")
 
 
 @plans.add("SELECT e.user_id, e.event_id, count(f.event_id)::BIGINT AS frames FROM (SELECT *, epoch_us(ts) AS a, epoch_us(ts) + 600000000 AS b FROM events WHERE event_type = 'view') e LEFT JOIN (SELECT user_id, event_id, epoch_us(ts) AS u FROM events WHERE event_type = 'click') f ON e.user_id = f.user_id AND f.u >= e.a AND f.u < e.b GROUP BY e.user_id, e.event_id")
@@ -336,55 +372,97 @@ def hourly_events(t):
 
 
 _MOST = 12
-_SELECTED = f"""(WITH s AS ({plans.sql["select_perceptual"]}), d AS (SELECT f.user_id, f.event_id, f.time, round({_SCORE}, 6) AS score, u.duration FROM {_SCORED} f JOIN s ON f.user_id = s.user_id AND f.event_id = s.event_id JOIN (SELECT user_id, max(time) AS duration FROM {_FRAMES} GROUP BY user_id) u ON u.user_id = f.user_id WHERE u.duration > 0),
- b AS (SELECT *, CASE WHEN CAST(floor(time * {_MOST} / duration) AS INTEGER) < {_MOST} THEN CAST(floor(time * {_MOST} / duration) AS INTEGER) END AS part FROM d), r AS (SELECT *, part IS NOT NULL AND row_number() OVER (PARTITION BY user_id, part ORDER BY score DESC, time, event_id) = 1 AS won FROM b),
- p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY won DESC, score DESC, time, event_id) AS place FROM r) SELECT user_id, event_id, time, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS n FROM p WHERE place <= {_MOST})"""
+_SELECTED = f"""(SELECT user_id, event_id, time, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS n FROM {_topk(f"(SELECT f.user_id, f.event_id, f.time, round({_SCORE}, 6) AS score, u.duration FROM {_SCORED} f JOIN ({plans.sql['select_perceptual']}) s ON f.user_id = s.user_id AND f.event_id = s.event_id JOIN (SELECT user_id, max(time) AS duration FROM {_FRAMES} GROUP BY user_id) u ON u.user_id = f.user_id)", _MOST)})"""
 
 
 def _selected(t) -> DataFrame:
-    score = F.round(H.selection_score(F.col("brightness"), F.col("entropy"), F.col("sharpness"), F.col("difference"), F.col("reason")), 6)
-    kept = folds.select_perceptual(_scored(t), "user_id", "time", "event_id", "reason", "ahash", "difference", "usable").withColumn("score", score)
-    length = _frames(t).groupBy("user_id").agg(F.max("time").alias("duration")).filter("duration > 0")
-    top = joins.topk_coverage(kept.join(length, "user_id"), "user_id", "time", "score", "event_id", "duration", _MOST)
-    return top.select("user_id", "event_id", "time", F.row_number().over(W.partitionBy("user_id").orderBy("time", "event_id")).cast("bigint").alias("n"))
+    """Selected frames of each video, materialised; its length is that of all its frames."""
+    frames = _frames(t).withColumn("duration", F.max("time").over(W.partitionBy("user_id")))
+    kept = folds.select_perceptual(_scored_of(frames), "user_id", "time", "event_id", "reason", "ahash", "difference", "usable").withColumn("score", _score())
+    top = joins.topk_coverage(kept, "user_id", "time", "score", "event_id", "duration", _MOST)
+    return frame_cache.materialised(top.select("user_id", "event_id", "time"), "user_id", "time", "event_id")
 
 
-@plans.add(f"SELECT user_id, 'video-frame-' || printf('%03d', n) AS media_id, event_id, time, 'frames/video-frame-' || printf('%03d', n) || '.png' AS path FROM {_SELECTED}")
+@plans.add(f"SELECT user_id, 'video-frame-' || printf('%03d', n) AS media_id, event_id, time, 'images/video_frames/frame_' || printf('%03d', n) || '.jpg' AS path FROM {_SELECTED}")
 def frame_selection(t):
     """Candidates merged, scored, filtered, made novel and capped, with the ids and paths they are stored by."""
-    name = F.concat(F.lit("video-frame-"), T.padded(F.col("n")))
-    return _selected(t).select("user_id", name.alias("media_id"), "event_id", "time", F.concat(F.lit("frames/"), name, F.lit(".png")).alias("path"))
+    return _selected(t).select("user_id", F.concat(F.lit("video-frame-"), T.padded(F.col("n"))).alias("media_id"), "event_id", "time", F.concat(F.lit(assembly.FRAMES + "/"), F.col("path")).alias("path"))
 
 
-@plans.add(f"""SELECT v.user_id, '# Transcript' || chr(10) || chr(10) || v.spoken || chr(10) || chr(10) || '## Key Frames' || CASE WHEN f.list IS NULL THEN '' ELSE chr(10) || chr(10) || f.list END || chr(10) AS markdown, coalesce(f.frames, 0)::BIGINT AS frames, 'transcript_not_time_aligned' AS warning, 'completed' AS status FROM (SELECT user_id, count(*) || ' events' AS spoken FROM events WHERE user_id IS NOT NULL GROUP BY user_id) v
- LEFT JOIN (SELECT user_id, count(*) AS frames, string_agg('- `video-frame-' || printf('%03d', n) || '` at ' || time || 's: `frames/video-frame-' || printf('%03d', n) || '.png`', chr(10) ORDER BY n) AS list FROM {_SELECTED} GROUP BY user_id) f ON f.user_id = v.user_id""")
+_SPOKEN = "(SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN count(*) FILTER (WHERE event_type = 'view') || ' views' ELSE '' END AS spoken, count(*) FILTER (WHERE event_type = 'click') = 0 AS blind FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"
+
+
+@plans.add(f"""SELECT user_id AS job_id, CASE WHEN f.frames IS NULL AND spoken = '' THEN 'failed' ELSE 'completed_with_warnings' END AS status, CASE WHEN f.frames IS NULL AND spoken = '' THEN 'no_usable_media_result' END AS error,
+ array_to_string(list_filter([CASE WHEN f.frames IS NOT NULL OR spoken <> '' THEN 'transcript_not_time_aligned' END, CASE WHEN blind THEN 'video_frame_extraction_failed' END], lambda x: x IS NOT NULL), ',') AS warnings,
+ CASE WHEN f.frames IS NOT NULL OR spoken <> '' THEN '# Transcript' || CASE WHEN spoken <> '' THEN chr(10) || chr(10) || spoken ELSE '' END || chr(10) || chr(10) || '## Key Frames' || CASE WHEN f.list IS NULL THEN '' ELSE chr(10) || chr(10) || f.list END || chr(10) END AS markdown, coalesce(f.frames, 0)::BIGINT AS frames
+ FROM {_SPOKEN} v LEFT JOIN (SELECT s.user_id, count(*) AS frames, string_agg('- `video-frame-' || printf('%03d', n) || '` at ' || time || 's: `images/video_frames/frame_' || printf('%03d', n) || '.jpg`', chr(10) ORDER BY n) AS list FROM {_SELECTED} s JOIN {_SPOKEN} b ON s.user_id = b.user_id AND NOT b.blind GROUP BY s.user_id) f USING (user_id)""")
 def video_package(t):
-    """Transcript and key frames of a video as one text, its warnings and its status."""
-    spoken = t("events").filter("user_id is not null").groupBy("user_id").agg(F.concat(F.count("*").cast("string"), F.lit(" events")).alias("text"))
-    frames = frame_selection(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("media_id").alias("id"), F.col("time").alias("time_seconds"), "path"))).alias("frames"))
-    empty = F.array().cast("array<struct<id:string,time_seconds:double,path:string>>")
-    both = spoken.join(frames, "user_id", "left").withColumn("frames", F.coalesce("frames", empty))
+    """A video's package from its transcript (of views), its frames (if it has clicks), or both."""
+    e = t("events").filter("user_id is not null").groupBy(F.col("user_id").alias("job_id")).agg(F.count_if(F.col("event_type") == "view").alias("views"), (F.count_if(F.col("event_type") == "click") == 0).alias("blind"))
+    none = F.lit(None).cast(ERROR).alias("error")
     segments = F.array().cast("array<struct<start_sec:double,end_sec:double,text:string>>")
-    text = V.transcript_markdown(segments, F.col("text"), F.lit(False))
-    return both.select("user_id", V.video_markdown(text, F.col("frames")).alias("markdown"), F.size("frames").cast("bigint").alias("frames"), V.transcript_warnings(F.lit(False))[0]["code"].alias("warning"), F.lit("completed").alias("status"))
+    asr = e.filter("views > 0").select("job_id", F.concat(F.col("views").cast("string"), F.lit(" views")).alias("text"), segments.alias("segments"), F.lit(False).alias("time_aligned"), none)
+    found = _selected(t).groupBy(F.col("user_id").alias("job_id")).agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("video-frame-"), T.padded(F.col("n"))).alias("id"), F.col("time").alias("time_seconds"), "path"))).alias("frames"))
+    failed = F.when(F.col("blind"), F.struct(F.lit("video_frame_extraction_failed").alias("code"), F.lit("no frames").alias("message"))).cast(ERROR)
+    frames = e.join(found, "job_id", "left").select("job_id", F.when(~F.col("blind"), F.col("frames")).alias("frames"), failed.alias("error"))
+    made = assembly.video_packages(e, asr, frames)
+    return made.select("job_id", "status", F.col("error.code").alias("error"), F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("warnings"), "markdown", F.size("frames").cast("bigint").alias("frames"))
 
 
-@plans.add(r"SELECT conv_id, id, start_sec, end_sec, text FROM (SELECT conv_id, 'seg-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, round((turn * 1234.5) / 1000, 3) AS start_sec, round((turn * 1234.5 + 900) / 1000, 3) AS end_sec, CASE WHEN turn % 4 = 1 THEN '' ELSE role || turn END AS text FROM conversations) WHERE text <> ''")
+@plans.add(r"""SELECT conv_id, id, start_sec, end_sec, text FROM (SELECT conv_id, 'seg-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, round((turn * 1234.5) / 1000, 3) AS start_sec, round((turn * 1234.5 + 900) / 1000, 3) AS end_sec, CASE WHEN turn % 4 = 1 THEN '' WHEN turn % 4 = 2 THEN '漢字' || turn % 10 ELSE role || ' ' || turn END AS text FROM conversations) WHERE text <> ''""")
 def sentence_segments(t):
-    """Segments of timed sentences, which keep the numbers they had with blank ones among them."""
-    spoken = F.when(F.col("turn") % 4 == 1, " \t").otherwise(F.concat(F.lit(" "), F.col("role"), F.col("turn").cast("string"), F.lit("\n")))
+    """Segments of timed sentences, cleaned of a recogniser's spaces, which keep the numbers they had with blank ones among them."""
+    n = F.col("turn").cast("string")
+    spoken = F.when(F.col("turn") % 4 == 1, " \t").when(F.col("turn") % 4 == 2, F.concat(F.lit(" 漢 字  "), (F.col("turn") % 10).cast("string"))).otherwise(F.concat(F.lit(" "), F.col("role"), F.lit("   "), n, F.lit("\n")))
     row = F.struct("turn", (F.col("turn") * F.lit(1234.5)).alias("start"), (F.col("turn") * F.lit(1234.5) + 900).alias("end"), spoken.alias("text"))
     g = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("s"))
-    heard = V.transcript(F.lit(None).cast("string"), V.sentence_segments(F.col("s")), F.lit(None).cast("string"), F.lit("sentence_info"))
-    return g.select("conv_id", F.explode(heard["segments"]).alias("x")).select("conv_id", "x.*")
+    return g.select("conv_id", F.explode(V.sentence_segments(F.col("s"))).alias("x")).select("conv_id", "x.*")
+
+
+@plans.add("""SELECT conv_id, CASE WHEN bool_or(turn % 10 = 9) THEN 'invalid_asr_result' END AS error, CASE WHEN NOT bool_or(turn % 10 = 9) THEN string_agg(CASE WHEN turn % 2 = 0 THEN 's' || turn ELSE '-' END || '|' || CASE WHEN turn % 3 = 0 THEN '-' ELSE CAST(turn + 0.5 AS VARCHAR) END || '|' || CASE WHEN turn % 4 = 3 THEN '' ELSE role END, ';' ORDER BY turn) END AS segments FROM conversations GROUP BY conv_id""")
+def coerced_segments(t):
+    """Segments that come as objects, as lists of three, or (some) as lists of two, which spoil the result."""
+    n, role = F.col("turn").cast("string"), F.col("role")
+    start = F.when(F.col("turn") % 3 == 0, "null").otherwise(F.concat(n, F.lit(".5")))
+    text = F.when(F.col("turn") % 4 == 3, "").otherwise(role)
+    as_object = F.concat(F.lit('{"id": "s'), n, F.lit('", "start_sec": '), start, F.lit(', "end_sec": 99'), F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat(F.lit(', "text": "'), role, F.lit('"'))), F.lit("}"))
+    as_list = F.when(F.col("turn") % 10 == 9, F.concat(F.lit("["), start, F.lit(", 99]"))).otherwise(F.concat(F.lit("["), start, F.lit(', 99, "'), text, F.lit('"]')))
+    one = F.when(F.col("turn") % 2 == 0, as_object).otherwise(as_list)
+    g = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("x")))), lambda r: r["x"]), ", ").alias("all"))
+    heard = g.select("conv_id", V.coerced_segments(F.concat(F.lit('{"segments": ['), F.col("all"), F.lit("]}"))).alias("r"))
+    shown = F.transform("r.segments", lambda s: F.concat_ws("|", F.coalesce(s["id"], F.lit("-")), F.coalesce(s["start_sec"].cast("string"), F.lit("-")), s["text"]))
+    return heard.select("conv_id", F.col("r.error").alias("error"), F.array_join(shown, ";").alias("segments"))
+
+
+_SHAPES = "(SELECT l_orderkey AS slide, CAST(l_linenumber AS INTEGER) AS shape, CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber // 2 AS INTEGER) END AS parent, CAST(min(l_partkey) % 9000 - 2000 AS DOUBLE) AS x, CAST(min(l_suppkey) * 97 % 8000 - 1500 AS DOUBLE) AS y, CAST(min(l_quantity) * 100 AS DOUBLE) AS w, CAST(min(l_quantity) * 50 AS DOUBLE) AS h, CASE WHEN l_linenumber <= 3 THEN CAST(min(l_partkey) % 512 AS DOUBLE) END AS off, CASE WHEN l_linenumber = 2 THEN 0.0::DOUBLE WHEN l_linenumber <= 3 THEN CAST(min(l_quantity) * 200 AS DOUBLE) END AS ext FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+_PLACED = f"""(WITH RECURSIVE sh AS MATERIALIZED (SELECT * FROM {_SHAPES}), p AS (SELECT slide, shape, 0 AS depth, x, y, w AS width, h AS height, 1.0::DOUBLE AS sx, 1.0::DOUBLE AS sy, w, h, ext, off, x + w > 0 AND y + h > 0 AND x < 9144 AND y < 6858 AS visible FROM sh WHERE parent IS NULL
+ UNION ALL SELECT slide, shape, depth, x, y, width, height, sx, sy, w, h, ext, off, x + width > 0 AND y + height > 0 AND x < 9144 AND y < 6858 FROM (SELECT slide, shape, depth, px - poff * sx + cx * sx AS x, py - poff * sy + cy * sy AS y, w * sx AS width, h * sy AS height, sx, sy, w, h, ext, off
+  FROM (SELECT c.slide, c.shape, p.depth + 1 AS depth, p.x AS px, p.y AS py, p.off AS poff, c.x AS cx, c.y AS cy, c.w, c.h, c.ext, c.off, p.sx * CASE WHEN p.ext <> 0 THEN p.w / p.ext ELSE 1.0 END AS sx, p.sy * CASE WHEN p.ext <> 0 THEN p.h / p.ext ELSE 1.0 END AS sy FROM p JOIN sh c ON c.slide = p.slide AND c.parent = p.shape WHERE p.visible AND p.ext IS NOT NULL)))
+ SELECT slide, shape, depth, x, y, width, height, visible FROM p)"""
+
+
+def _placed(t) -> DataFrame:
+    """Orders as slides, their lines as shapes: the second and third lie in the first, the fourth to seventh in these."""
+    n = F.col("l_linenumber").cast("int")
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    off, extent = F.when(n <= 3, F.col("l_partkey") % 512), F.when(n == 2, 0).when(n <= 3, F.col("l_quantity") * 200)
+    rows = lines.select(F.col("l_orderkey").alias("slide"), n.alias("shape"), F.when(n > 1, F.floor(n / 2).cast("int")).alias("parent"), (F.col("l_partkey") % 9000 - 2000).alias("left"), (F.col("l_suppkey") * 97 % 8000 - 1500).alias("top"), (F.col("l_quantity") * 100).alias("width"), (F.col("l_quantity") * 50).alias("height"), off.alias("off_x"), off.alias("off_y"), extent.alias("ext_x"), extent.alias("ext_y"))
+    return S.placed(rows, 9144, 6858)
+
+
+@plans.add(f"SELECT slide, shape, depth, round(x, 4) AS x, round(y, 4) AS y, round(width, 4) AS width, visible FROM {_PLACED}")
+def nested_shapes(t):
+    """Places of shapes in groups of groups; what lies in a group off the slide is not looked at."""
+    return _placed(t).select("slide", "shape", "depth", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("width", 4).alias("width"), "visible")
 
 
-@plans.add("SELECT l_orderkey, string_agg(CASE WHEN NOT v THEN 'off_canvas_shape:' || l_linenumber END, ',' ORDER BY l_linenumber, l_partkey) AS off, count(*) FILTER (WHERE l_linenumber % 3 = 0)::BIGINT AS fields FROM (SELECT *, l_partkey % 20000 - 9000 + l_quantity * 100 > 0 AND l_partkey % 20000 - 9000 < 9144 AS v FROM lineitem) GROUP BY l_orderkey HAVING count(*) FILTER (WHERE NOT v OR l_linenumber % 3 = 0) > 0")
+@plans.add(f"""SELECT slide, 'pptx_shape_outside_slide' AS code, 'Excluded fully off-canvas shape ' || chr(39) || 'Shape ' || shape || chr(39) || ' from native slide ' || slide || ' visible semantics' AS message, 'pptx-slide-' || (slide + 256) AS identity, 'Shape ' || shape AS shape_name, NULL::VARCHAR AS field_type, NULL::VARCHAR AS cached_value, NULL::VARCHAR AS authority FROM {_PLACED} WHERE NOT visible
+ UNION ALL SELECT l_orderkey, 'pptx_dynamic_field_cached_value', 'Excluded non-authoritative cached value for dynamic field ' || chr(39) || CASE WHEN l_linenumber = 3 THEN 'slidenum' ELSE 'unknown' END || chr(39) || ' on native slide ' || l_orderkey, 'pptx-slide-' || (l_orderkey + 256), 'Shape ' || l_linenumber, CASE WHEN l_linenumber = 3 THEN 'slidenum' ELSE 'unknown' END, CAST(l_partkey AS VARCHAR), 'non_authoritative' FROM lineitem WHERE l_linenumber % 3 = 0""")
 def shape_warnings(t):
-    """A slide's warnings about shapes off its canvas and text that is worked out when shown."""
-    x = (F.col("l_partkey") % 20000 - 9000).cast("double")
-    seen = V.intersects(x, F.lit(0.0), F.col("l_quantity") * 100, F.lit(1.0), F.lit(9144), F.lit(6858))
-    shape = F.struct("l_linenumber", "l_partkey", F.col("l_linenumber").cast("string").alias("name"), seen.alias("visible"), F.when(F.col("l_linenumber") % 3 == 0, "slidenum").alias("dynamic_field"))
-    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(shape)).alias("shapes")).withColumn("w", V.shape_warnings(F.col("shapes"))).filter(F.size("w") > 0)
-    off = F.transform(F.filter("w", lambda w: w["code"] == "off_canvas_shape"), lambda w: F.concat(w["code"], F.lit(":"), w["shape"]))
-    return g.select("l_orderkey", F.when(F.size(off) > 0, F.array_join(off, ",")).alias("off"), F.size(F.filter("w", lambda w: w["code"] == "dynamic_field")).cast("bigint").alias("fields"))
+    """A record for each shape off its slide, within groups too, and for each field whose stored text is not believed."""
+    identity = lambda c: F.concat(F.lit("pptx-slide-"), (F.col(c) + 256).cast("string"))
+    name = lambda c: F.concat(F.lit("Shape "), F.col(c).cast("string"))
+    off = _placed(t).filter("not visible").select("slide", S.off_slide_warning(identity("slide"), F.col("slide"), name("shape")).alias("w"))
+    field = S.dynamic_field_warning(identity("l_orderkey"), F.col("l_orderkey"), name("l_linenumber"), F.when(F.col("l_linenumber") == 3, "slidenum"), F.col("l_partkey").cast("string"))
+    fields = t("lineitem").filter("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("slide"), field.alias("w"))
+    return off.unionByName(fields).select("slide", "w.code", "w.message", F.col("w.source_ref.source_slide_identity").alias("identity"), F.col("w.source_ref.shape_name").alias("shape_name"), "w.field_type", "w.cached_value", F.col("w.cached_value_authority").alias("authority"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import intake, jobs, media
+from . import durable, intake, jobs, media
 from .base import Query
 
-_GROUPS = (intake.plans, jobs.plans, media.plans)
+_GROUPS = (intake.plans, jobs.plans, media.plans, durable.plans)
 
 
 def queries() -> dict[str, Query]:
