@@ -28,7 +28,11 @@ KEY, KEY_SETTING = "change-me", "spark.docframe.pii.key"
 _SECRET_LEAD = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']? ?[=:]{1,2} ?[\"']?"
 _MEN = r"Mr|Sir|Herr|Señor|Monsieur|Г-н|Господин"
 _WOMEN = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Г-жа|Госпожа"
-_NAME = r"\p{Lu}\p{Ll}{1,30}"
+_GENDERLESS = r"Dr|Prof|Professor|Doctor|Docteur|Doktor"
+#: Names may have capitals, apostrophes and hyphens within. After a German title the third word may be any noun, so it is no name.
+_NAME = r"\p{Lu}(?:['’](?=\p{Lu}))?(?:\p{L}(?:['’](?=\p{Lu}))?){1,30}+(?:-\p{L}{1,30}+){0,2}+"
+_NAMES = rf"{_NAME}(?: {_NAME}){{0,2}}"
+_PEOPLE = ("man", "woman", "person")
 #: Pattern of each entity type, in order of precedence; all are bounded or possessive, so no text makes them backtrack far.
 PATTERNS: dict[str, str] = {
     "secret": rf"(?<![\p{{L}}\p{{N}}])(?i:{_SECRET_LEAD})[^\s\"',;]{{6,}}+|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16,}}+|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk-[A-Za-z0-9]{{20,}}+)",
@@ -38,17 +42,21 @@ PATTERNS: dict[str, str] = {
     "card": r"(?<![\d.+-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "man": rf"(?<!\p{{L}})(?:{_MEN})\.? {_NAME}(?: {_NAME})?",
-    "woman": rf"(?<!\p{{L}})(?:{_WOMEN})\.? {_NAME}(?: {_NAME})?",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "man": rf"(?<!\p{{L}})(?:Herr {_NAME}(?: {_NAME})?|(?:{_MEN})\.? {_NAMES})",
+    "woman": rf"(?<!\p{{L}})(?:Frau {_NAME}(?: {_NAME})?|(?:{_WOMEN})\.? {_NAMES})",
+    "person": rf"(?<!\p{{L}})(?:{_GENDERLESS})\.? {_NAMES}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity needs to hold: a digit, an at sign, a title or how a secret starts; tells most texts apart at little cost.
-MAYBE = rf"[0-9@]|(?:{_MEN}|{_WOMEN})\.? \p{{Lu}}|(?i:{_SECRET_LEAD})|AKIA|gh[pousr]_|sk-"
+MAYBE = rf"[0-9@]|(?:{_MEN}|{_WOMEN}|{_GENDERLESS})\.? \p{{Lu}}|(?i:{_SECRET_LEAD})|AKIA|gh[pousr]_|sk-"
 # Syllables that surrogate names are made of, by script; letters that surrogates draw from.
 LATIN = "ba be bo da de do fa fe ga go ha he ja jo ka ke la le lo ma me mo na ne no pa po ra re ro sa se so ta te to va ve".split()
 CYRILLIC = "ба бе бо ва ве да де до ка ле ла ма ми мо на не но ра ре ро са се та то".split()
-ENDINGS = {("man", False): ["n", "r", "s", "rd"], ("woman", False): ["na", "lla", "ra", "nia"], ("surname", False): ["ck", "nd", "lt", "mer", "son"], ("man", True): ["н", "р", "с", "м"], ("woman", True): ["на", "ла", "ра", "ня"], ("surname", True): ["енко", "ский", "юк", "их"]}
-ALPHABETS = {r"[a-z]": "abcdefghijklmnopqrstuvwxyz", r"[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[а-яё]": "абвгдежзийклмнопрстуфхцчшщыэюя", r"[А-ЯЁ]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", r"[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", r"[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"[ß-öø-ÿ]": "àáâäèéêëìíîïòóôöùúûüçñ", r"[À-ÖØ-Þ]": "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÇÑ", r"[\x{4E00}-\x{9FFF}]": "天地人山水火木金土日月風花雪雲雨春夏秋冬東西南北", r"[\x{3041}-\x{30FF}]": "あいうえおかきくけこさしすせそたちつてとなにぬねの"}
+ENDINGS = {("man", False): ["n", "r", "s", "rd"], ("woman", False): ["na", "lla", "ra", "nia"], ("person", False): ["l", "ly", "x", "be"], ("person", True): ["ль", "я", "ша", "и"], ("surname", False): ["ck", "nd", "lt", "mer", "son"], ("man", True): ["н", "р", "с", "м"], ("woman", True): ["на", "ла", "ра", "ня"], ("surname", True): ["енко", "ский", "юк", "их"]}
+ALPHABETS = {r"[a-z]": "abcdefghijklmnopqrstuvwxyz", r"[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[а-яё]": "абвгдежзийклмнопрстуфхцчшщыэюя", r"[А-ЯЁ]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", r"[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", r"[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"[ß-öø-ÿ]": "àáâäèéêëìíîïòóôöùúûüçñ", r"[À-ÖØ-Þ]": "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÇÑ", r"[\x{4E00}-\x{9FFF}]": "天地人山水火木金土日月風花雪雲雨春夏秋冬東西南北", r"[\x{3041}-\x{30FF}]": "あいうえおかきくけこさしすせそたちつてとなにぬねの", r"[\x{0621}-\x{064A}]": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"[\x{05D0}-\x{05EA}]": "אבגדהוזחטיכלמנסעפצקרשת", r"[\x{AC00}-\x{D7A3}]": "가나다라마바사아자차카타파하고노도로모보소오조초", r"[\x{0905}-\x{0939}]": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह", r"[\x{0E01}-\x{0E2E}]": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวสหอฮ"}
+#: A letter, mark or digit that nothing is drawn for; forms with one get surrogates by rank, so none of it stays.
+UNDRAWN = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^0-9{''.join(letters[1:-1] for letters in ALPHABETS)}]]"
 
 
 def _byte(stream: Column, at: Column | int) -> Column:
@@ -88,7 +96,7 @@ def luhn_sum(digits: Column) -> Column:
 def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a canonical form at an attempt."""
     stream = _stream(kind, canonical, attempt, key)
-    hexadecimal = canonical.rlike("^[0-9a-f]+$")
+    hexadecimal = canonical.rlike("^[0-9a-f:]+$")
     plain = _each(canonical, lambda c, i: _alike(stream, c, i, hexadecimal))
     top = F.length(canonical) - F.locate(".", F.reverse(canonical)) + 1
     # Equal domains get equal surrogates; what tells addresses apart is before the at sign.
@@ -116,7 +124,7 @@ def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
         return F.when(canonical.rlike("[а-яё]"), made(True)).otherwise(made(False))
 
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban)
-    for which in ("man", "woman", "surname"):
+    for which in (*_PEOPLE, "surname"):
         out = out.when(kind == which, name(which))
     return out.otherwise(plain)
 
@@ -136,10 +144,12 @@ def _parts(kind: Column, match: Column) -> Column:
     low = F.when(F.length(F.lower(match)) == F.length(match), F.lower(match)).otherwise(match)
     words = F.split(low, " ")
     one = lambda k, c: F.array(F.struct(k.alias("kind"), c.alias("canonical")))
-    names = F.when(F.size(words) > 2, F.array(F.struct(kind.alias("kind"), words[1].alias("canonical")), F.struct(F.lit("surname").alias("kind"), words[2].alias("canonical")))).otherwise(one(F.lit("surname"), words[1]))
+    # All words but the title; the last is the surname.
+    count = F.size(words)
+    names = F.transform(F.slice(words, F.lit(2), F.greatest(count - 1, F.lit(0))), lambda w, i: F.struct(F.when(i + 2 == count, "surname").otherwise(kind).alias("kind"), w.alias("canonical")))
     digits = F.regexp_replace(match, "[^0-9A-Za-z]", "")
     value = F.regexp_extract(match, rf"(?s)^(?:(?i:{_SECRET_LEAD}))?(.*)$", 1)
-    return F.when(kind.isin("man", "woman"), names).when(kind.isin("card", "phone", "ssn", "iban"), one(kind, digits)).when(kind == "secret", one(kind, value)).otherwise(one(kind, low))
+    return F.when(kind.isin(*_PEOPLE), names).when(kind.isin("card", "phone", "ssn", "iban"), one(kind, digits)).when(kind == "secret", one(kind, value)).otherwise(one(kind, low))
 
 
 def _poured(kind: Column, match: Column, new: Column) -> Column:
@@ -151,7 +161,7 @@ def _poured(kind: Column, match: Column, new: Column) -> Column:
     secret = F.concat(F.substr(match, F.lit(1), F.length(match) - value), first)
     names = F.concat_ws(" ", F.split(match, " ")[0], new)
     ranked = F.startswith(first, F.concat(kind, F.lit("-"))) & (kind != "secret")
-    return F.when(kind.isin("man", "woman"), names).when(ranked, first).when(kind.isin("card", "phone", "ssn", "iban"), packed).when(kind == "secret", secret).otherwise(cased)
+    return F.when(kind.isin(*_PEOPLE), names).when(ranked, first).when(kind.isin("card", "phone", "ssn", "iban"), packed).when(kind == "secret", secret).otherwise(cased)
 
 
 def by_rank(entities: DataFrame, key: str) -> DataFrame:
@@ -160,7 +170,7 @@ def by_rank(entities: DataFrame, key: str) -> DataFrame:
     placed = entities.select("kind", "canonical", digest.alias("_d")).withColumn("_r", F.row_number().over(W.partitionBy("kind").orderBy("_d", "canonical")).cast("string"))
     name = F.initcap(F.concat(F.lit("x"), F.translate(F.concat(F.substr("_d", F.lit(1), F.lit(8)), F.lit("x"), "_r"), "0123456789", "bdgklmnprs")))
     new = F.concat_ws("-", "kind", F.substr("_d", F.lit(1), F.lit(16)), "_r")
-    new = F.when(F.col("kind").isin("man", "woman", "surname"), name).when(F.col("kind") == "email", F.concat(new, F.lit("@surrogate.invalid"))).otherwise(new)
+    new = F.when(F.col("kind").isin(*_PEOPLE, "surname"), name).when(F.col("kind") == "email", F.concat(new, F.lit("@surrogate.invalid"))).otherwise(new)
     return placed.select("kind", "canonical", new.alias("new"))
 
 
@@ -172,7 +182,7 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFra
     each = entities.select("kind", "canonical").distinct()
     # An email's last label is never drawn; names are made anew whatever they hold.
     own = F.when(F.col("kind") == "email", F.regexp_replace("canonical", r"\.[^.]*$", "")).otherwise(F.col("canonical"))
-    fixed = ~F.col("kind").isin("man", "woman", "surname") & ~own.rlike("|".join(["[0-9]", *ALPHABETS]))
+    fixed = ~F.col("kind").isin(*_PEOPLE, "surname") & (own.rlike(UNDRAWN) | ~own.rlike("|".join(["[0-9]", *ALPHABETS])))
     # A number of partitions of its own: entities are few bytes and much work.
     each = saved(each.repartition(partitions(entities.sparkSession), "kind", "canonical").withColumn("fixed", fixed), "pii-entities")
     fixed = each.filter("fixed").select("kind", "canonical")
