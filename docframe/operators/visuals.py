@@ -157,3 +157,55 @@ def page_documents(pages: DataFrame, items: DataFrame, results: DataFrame) -> Da
 
 def page_image_line(page: Column) -> Column:
     return F.concat(F.lit("![page-"), page.cast("string"), F.lit("-image](images/pages/page_"), T.padded(page), F.lit(".png)"))
+
+
+# Versions of what is stored of a visual result.
+RESULT_VERSION, PROMPT_VERSION = "docframe.visual-result.v1", "1"
+UNITS = "array<struct<type:string,location:string,source_slide_identity:string,native_slide_index:int,hidden:boolean,rendered_page_index:int>>"
+
+
+def _text(value: Column) -> Column:
+    """A variant's trimmed text; null for other kinds and for blank ones."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.nullif(T.strip(F.try_variant_get(value, "$", "string")), F.lit("")))
+
+
+def _texts(value: Column) -> Column:
+    """Texts of a variant that is one or a list of some; what is no text is left out."""
+    listed = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), _text), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.when(_text(value).isNotNull(), F.array(_text(value))).otherwise(F.coalesce(listed, none))
+
+
+def tool_audits(response: Column) -> Column:
+    """What a response (JSON text with a list ``output``) says of image tools: array of (type, arguments, status, diagnostic_ref, warnings).
+
+    Arguments are the allowed scalar ones, in a fixed order, of an object or of a JSON text that holds one.
+    """
+    output = F.try_variant_get(F.try_parse_json(response), "$.output", "array<variant>")
+    at = lambda x, path: F.try_variant_get(x, f"$.{path}", "variant")
+
+    def arguments(item: Column) -> Column:
+        raw = F.coalesce(at(item, "arguments"), at(item, "action.arguments"))
+        told = F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(F.try_variant_get(raw, "$", "string"))).otherwise(raw)
+        pairs = []
+        for name in SHOWN_ARGUMENTS:
+            kind = F.schema_of_variant(at(told, name))
+            scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"))
+            pairs.append(F.struct(F.lit(name).alias("name"), F.when(scalar, F.trim(F.try_variant_get(told, f"$.{name}", "string"))).alias("value")))
+        return F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
+
+    def audit(item: Column) -> Column:
+        warnings = F.array_distinct(F.concat(*[_texts(at(item, p)) for p in ("warnings", "action.warnings", "result.warnings", "action.result.warnings")]))
+        return F.struct(F.coalesce(_text(at(item, "action.type")), F.lit("unknown")).alias("type"), arguments(item).alias("arguments"), F.coalesce(_text(at(item, "status")), _text(at(item, "action.status"))).alias("status"), F.lit(None).cast("string").alias("diagnostic_ref"), warnings.alias("warnings"))
+
+    return F.transform(F.filter(output, lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string") == "image_process", F.lit(False))), audit)
+
+
+def result_payload(digest: Column, locations: Column, units: Column, result: Column, provider: Column, model: Column, audits: Column) -> Column:
+    """What is stored of a visual result: ``result`` is the model's valid answer as JSON text, ``units`` the places it belongs to."""
+    v = F.try_parse_json(result)
+    part = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind).alias(name)
+    return F.struct(
+        F.lit(RESULT_VERSION).alias("schema_version"), F.lit(PROMPT_VERSION).alias("prompt_version"), T.visual_ref(digest).alias("source_ref"), digest.alias("content_sha256"), locations.alias("locations"), units.alias("source_units"),
+        part("description", "string"), part("visible_text", "array<string>"), part("layout", "string"), part("warnings", "array<string>"), F.lit(True).alias("remote_services_used"), provider.alias("provider"), model.alias("model"), audits.alias("tool_actions"),
+    )

@@ -135,14 +135,22 @@ def fanin_full_outer(t):
 _GONE = "status <> 'paused' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '1998-06-01'"
 
 
-@plans.add(f"""WITH m AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*)::BIGINT AS scanned, count(*) FILTER (WHERE {_GONE})::BIGINT AS expired, sum(CASE WHEN {_GONE} THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::BIGINT AS bytes, coalesce(string_agg(CASE WHEN {_GONE} THEN CAST(job_id AS VARCHAR) END, ',' ORDER BY job_id), '') AS ids FROM {_JOBS} GROUP BY 1)
-SELECT * FROM m UNION ALL SELECT 'all', sum(scanned)::BIGINT, sum(expired)::BIGINT, sum(bytes)::BIGINT, '' FROM m""")
+@plans.add(f"""WITH m AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*)::BIGINT AS scanned, count(*) FILTER (WHERE {_GONE})::BIGINT AS expired, sum(CASE WHEN {_GONE} THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::BIGINT AS bytes FROM {_JOBS} GROUP BY 1)
+SELECT * FROM m UNION ALL SELECT 'all', sum(scanned)::BIGINT, sum(expired)::BIGINT, sum(bytes)::BIGINT FROM m""")
 def cleanup_summary(t):
-    """All expired ids, listed by month, and the sums of all months."""
-    gone = (F.col("status") != "paused") & (F.col("created_at") + F.expr("INTERVAL '7' DAY") <= F.lit("1998-06-01").cast("timestamp"))
-    ids = F.array_join(F.array_sort(F.collect_list(F.when(F.col("e"), F.col("job_id")))).cast("array<string>"), ",")
-    months = _jobs(t).withColumn("e", gone).groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("scanned"), F.count_if("e").alias("expired"), F.sum(F.when(F.col("e"), F.round("o_totalprice").cast("bigint")).otherwise(0)).alias("bytes"), ids.alias("ids"))
-    return months.union(months.agg(F.lit("all"), F.sum("scanned"), F.sum("expired"), F.sum("bytes"), F.lit("")))
+    """What a sweep scans and deletes, by month and in all."""
+    months = _jobs(t).withColumn("e", _expired()).groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("scanned"), F.count_if("e").alias("expired"), F.sum(F.when(F.col("e"), F.round("o_totalprice").cast("bigint")).otherwise(0)).alias("bytes"))
+    return months.union(months.agg(F.lit("all"), F.sum("scanned"), F.sum("expired"), F.sum("bytes")))
+
+
+def _expired():
+    return (F.col("status") != "paused") & (F.col("created_at") + F.expr("INTERVAL '7' DAY") <= F.lit("1998-06-01").cast("timestamp"))
+
+
+@plans.add(f"SELECT strftime(created_at, '%Y-%m') AS month, job_id, CAST(round(o_totalprice) AS BIGINT) AS bytes FROM {_JOBS} WHERE {_GONE}")
+def cleanup_jobs(t):
+    """The jobs that a sweep deletes, a row each."""
+    return _jobs(t).filter(_expired()).select(F.date_format("created_at", "yyyy-MM").alias("month"), "job_id", F.round("o_totalprice").cast("bigint").alias("bytes"))
 
 
 @plans.add(f"SELECT job_id, 'expired' AS status, strftime(created_at + INTERVAL 7 DAY, '%Y-%m-%dT%H:%M:%S.%fZ') AS expired_at FROM {_JOBS} WHERE {_GONE}")

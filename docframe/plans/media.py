@@ -166,11 +166,15 @@ def flatten_join(t):
     return g.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), F.trim(x["text"]))), "\n").alias("text"), F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ",").alias("roles"))
 
 
-@plans.add("SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*)::BIGINT AS occurrences, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS locations FROM documents GROUP BY text")
+@plans.add("SELECT d.doc_id, sha256(d.text) AS sha256, f.first_doc, f.n AS occurrences, d.doc_id = f.first_doc AS first FROM documents d JOIN (SELECT text, min(doc_id) AS first_doc, count(*)::BIGINT AS n FROM documents GROUP BY text) f ON d.text = f.text")
 def content_dedup(t):
-    """The first of equal contents and where it occurs."""
+    """Where each content occurs, a row for each place, and which of them is the first.
+
+    Only digests are shuffled; the rows of one content are joined to one row of sums, which Spark can do in parts.
+    """
     d = t("documents").select("doc_id", T.sha256(F.col("text")).alias("sha256"))
-    return d.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("occurrences"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("locations"))
+    sums = d.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("occurrences"))
+    return d.join(sums, "sha256").select("doc_id", "sha256", "first_doc", "occurrences", (F.col("doc_id") == F.col("first_doc")).alias("first"))
 
 
 @plans.add("SELECT doc_id, 'visual-item-' || substr(sha256(text), 1, 16) || CASE WHEN n > 1 THEN printf('-%03d', n) ELSE '' END AS media_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents)")
@@ -466,3 +470,19 @@ def shape_warnings(t):
     field = S.dynamic_field_warning(identity("l_orderkey"), F.col("l_orderkey"), name("l_linenumber"), F.when(F.col("l_linenumber") == 3, "slidenum"), F.col("l_partkey").cast("string"))
     fields = t("lineitem").filter("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("slide"), field.alias("w"))
     return off.unionByName(fields).select("slide", "w.code", "w.message", F.col("w.source_ref.source_slide_identity").alias("identity"), F.col("w.source_ref.shape_name").alias("shape_name"), "w.field_type", "w.cached_value", F.col("w.cached_value_authority").alias("authority"))
+
+
+@plans.add("""SELECT doc_id, 'source_image_sha256:' || sha256(text) AS source_ref, sha256(text) AS content_sha256, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'zoom' END AS type, CASE WHEN doc_id % 2 = 0 THEN 'scale=2;direction=true' ELSE 'angle=' || n_chars END AS arguments, CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'ok' END AS status, lang || '|' || source AS tool_warnings, lang AS description, 'docframe.visual-result.v1' AS schema_version, 1::BIGINT AS actions FROM documents""")
+def visual_payload(t):
+    """The stored result of a picture: what the model said, and what its tools did, as far as it may be shown."""
+    i = F.col("doc_id")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    arguments = F.when(i % 2 == 0, F.lit(r'"{\"scale\": 2, \"secret\": 1, \"direction\": true}"')).otherwise(F.concat(F.lit('{"angle": " '), F.col("n_chars").cast("string"), F.lit(' ", "bbox_str": [1]}')))
+    action = F.concat(F.lit('{"type": '), F.when(i % 4 == 0, "5").otherwise('" zoom "'), F.lit(', "status": "ok", "warnings": "'), F.col("source"), F.lit(' "}'))
+    response = F.concat(F.lit('{"output": [{"type": "message"}, {"type": "image_process", "status": '), F.when(i % 3 == 0, '" done "').otherwise("null"), F.lit(', "action": '), action, F.lit(', "arguments": '), arguments, F.lit(', "warnings": ['), q(F.col("lang")), F.lit(', 3, " ", '), q(F.col("source")), F.lit("]}]}"))
+    digest = T.sha256(F.col("text"))
+    result = F.concat(F.lit('{"description": '), q(F.col("lang")), F.lit(', "visible_text": [], "layout": "", "warnings": []}'))
+    made = t("documents").select("doc_id", V.result_payload(digest, F.array(F.lit("page 1")), F.array().cast(V.UNITS), result, F.lit("local"), F.lit("m"), V.tool_audits(response)).alias("p"))
+    a = F.col("p.tool_actions")[0]
+    shown = F.array_join(F.transform(a["arguments"], lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";")
+    return made.select("doc_id", "p.source_ref", "p.content_sha256", a["type"].alias("type"), shown.alias("arguments"), a["status"].alias("status"), F.array_join(a["warnings"], "|").alias("tool_warnings"), "p.description", "p.schema_version", F.size("p.tool_actions").cast("bigint").alias("actions"))

@@ -22,6 +22,7 @@ P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 D = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
+C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 PART_SCHEMA = "source_id string, ord int, unit string, kind string, text string, error string"
 
 
@@ -97,6 +98,8 @@ def _shape_texts(shape: ElementTree.Element) -> Iterator[tuple[str, str]]:
         rows = [["".join(t.text or "" for t in c.iter(f"{A}t")) for c in row.findall(f"{A}tc")] for row in shape.iter(f"{A}tr")]
         if rows:
             yield "table", markdown_table(rows)
+        for chart in shape.iter(f"{C}chart"):
+            yield "chart", chart.get(f"{R}id", "")
     elif shape.tag == f"{P}pic":
         yield "image", next((b.get(f"{R}embed", "") for b in shape.iter(f"{A}blip")), "")
     else:
@@ -109,6 +112,24 @@ def _shape_texts(shape: ElementTree.Element) -> Iterator[tuple[str, str]]:
             yield "dynamic_field", f"{fld.get('type', 'unknown')}={fld.findtext(f'{A}t') or ''}"
 
 
+def _points(data: ElementTree.Element | None) -> dict[int, str]:
+    """Values of a chart's data by their places, as the file last stored them."""
+    return {int(p.get("idx", "0")): p.findtext(f"{C}v") or "" for p in data.iter(f"{C}pt")} if data is not None else {}
+
+
+def chart_markdown(root: ElementTree.Element) -> str:
+    """A chart's title and, where it has series of values, a table with a line for each category."""
+    title = "".join(x.text or "" for x in root.findall(f"{C}chart/{C}title//{A}t")).strip()
+    head = f"### Chart: {title}" if title else "### Chart"
+    series = list(root.iter(f"{C}ser"))
+    names = ["".join(v for _, v in sorted(_points(s.find(f"{C}tx")).items())) or (s.findtext(f"{C}tx/{C}v") or "") for s in series]
+    categories = _points(series[0].find(f"{C}cat")) if series else {}
+    values = [_points(s.find(f"{C}val")) for s in series]
+    places = sorted({*categories, *(i for v in values for i in v)})
+    rows = [["Category", *names], *([categories.get(i, ""), *(v.get(i, "") for v in values)] for i in places)]
+    return f"{head}\n\n{markdown_table(rows)}" if places else head
+
+
 def pptx_parts(content: bytes) -> Iterator[tuple[str, str, str]]:
     """(slide identity, kind, text) in presentation order: hidden marks, shapes by place, fields, notes."""
     package = Package(content)
@@ -123,7 +144,8 @@ def pptx_parts(content: bytes) -> Iterator[tuple[str, str, str]]:
         shapes = [c for c in tree if c.tag in (f"{P}sp", f"{P}grpSp", f"{P}pic", f"{P}graphicFrame")] if tree is not None else []
         for shape in sorted(shapes, key=_box):
             for kind, text in _shape_texts(shape):
-                yield identity, kind, near.get(text, (text, ""))[0] if kind == "image" else text
+                target = near.get(text, (text, ""))[0] if kind in ("image", "chart") else text
+                yield identity, kind, chart_markdown(package.xml(target)) if kind == "chart" else target
         for target, kind in near.values():
             if kind == "notesSlide":
                 yield identity, "notes", "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for p in package.xml(target).iter(f"{A}p")).strip()

@@ -89,3 +89,37 @@ def load_staged(spark: SparkSession, target: str) -> DataFrame:
     same = F.sha2("content", 256) == F.col("sha256")
     error = F.when(F.col("content").isNull(), "package_file_missing").when(~same, "package_file_changed")
     return both.select(F.col("_j").alias("job_id"), F.col("_p").alias("path"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+
+
+def visual_files(pictures: DataFrame) -> DataFrame:
+    """(job_id, path, content) of pictures (job_id, digest, media_type, content): one file for each digest of a job."""
+    suffix = F.when(F.lower("media_type").isin("image/jpeg", "image/jpg"), ".jpg").otherwise(".png")
+    named = pictures.filter("content is not null").select("job_id", F.concat(F.lit("images/visual/"), F.col("digest"), suffix).alias("path"), "content")
+    return named.groupBy("job_id", "path").agg(F.min("content").alias("content"))
+
+
+def deleted(jobs: DataFrame, root: str) -> DataFrame:
+    """Deletes the folders ``root/<job_id>`` of ``jobs``; returns (job_id, files, deleted_bytes). Folders that are gone count as 0.
+
+    The tasks delete, each its jobs', in any store that ``pyarrow.fs`` opens; done again after a failure, it deletes what is left.
+    Ids that would leave the root are refused. The result must be written to have effect.
+    """
+    from pyarrow import fs
+
+    kind = dict(jobs.dtypes)["job_id"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            rows = []
+            for job in frame["job_id"]:
+                if str(job) in ("", ".", "..") or "/" in str(job):
+                    raise ValueError(f"no folder can be named after job {job!r}")
+                folder = f"{base.rstrip('/')}/{job}"
+                found = [f for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)) if f.type == fs.FileType.File]
+                if store.get_file_info(folder).type == fs.FileType.Directory:
+                    store.delete_dir(folder)
+                rows.append((job, len(found), sum(f.size for f in found)))
+            yield pd.DataFrame(rows, columns=["job_id", "files", "deleted_bytes"])
+
+    return jobs.select("job_id").distinct().mapInPandas(run, f"job_id {kind}, files long, deleted_bytes long")

@@ -3,6 +3,8 @@
 import io
 import zipfile
 
+import pytest
+
 from docframe.sources import files, office, packages, registry
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -89,3 +91,31 @@ def test_staged_packages_load_by_their_descriptor(spark, tmp_path):
     errors = {(r.job_id, r.path): r.error for r in packages.load_staged(spark, target).collect()}
     assert errors["j1", "content.md"] == "package_file_missing" and errors["j1", "manifest.json"] == "package_file_changed" and errors["j1", "visual/h1.json"] is None
     assert packages.result_files(jobs.filter("job_id = 'x'")).count() == 0
+
+
+def test_charts_of_slides(spark):
+    c = 'xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"'
+    values = lambda tag, pairs: f"<c:{tag}><c:strRef><c:strCache>" + "".join(f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>' for i, v in pairs) + f"</c:strCache></c:strRef></c:{tag}>"
+    series = "<c:ser>" + values("tx", [(0, "North")]) + values("cat", [(0, "Q1"), (1, "Q2")]) + values("val", [(0, "1.5"), (2, "7")]) + "</c:ser><c:ser>" + values("tx", [(0, "South")]) + values("val", [(1, "4")]) + "</c:ser>"
+    frame = f'<p:graphicFrame><p:xfrm><a:off x="0" y="5"/></p:xfrm><a:graphic><a:graphicData><c:chart {c} r:id="c{{}}"/></a:graphicData></a:graphic></p:graphicFrame>'
+    deck = archive({
+        "ppt/presentation.xml": f'<p:presentation {P} {R}><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rels(("r1", "slide", "slides/slide1.xml")),
+        "ppt/slides/slide1.xml": f"<p:sld {P} {A} {R}><p:cSld><p:spTree>{frame.format(1)}{frame.format(2)}</p:spTree></p:cSld></p:sld>", "ppt/slides/_rels/slide1.xml.rels": rels(("c1", "chart", "../charts/chart1.xml"), ("c2", "chart", "../charts/chart2.xml")),
+        "ppt/charts/chart1.xml": f"<c:chartSpace {c} {A}><c:chart><c:title><c:tx><c:rich><a:p><a:r><a:t>Sales</a:t></a:r></a:p></c:rich></c:tx></c:title><c:plotArea><c:barChart>{series}</c:barChart></c:plotArea></c:chart></c:chartSpace>",
+        "ppt/charts/chart2.xml": f"<c:chartSpace {c}><c:chart/></c:chartSpace>",
+    })
+    assert parts(spark, deck, "pptx") == [("pptx-slide-256", "chart", "### Chart: Sales\n\n| Category | North | South |\n| --- | --- | --- |\n| Q1 | 1.5 |  |\n| Q2 |  | 4 |\n|  | 7 |  |"), ("pptx-slide-256", "chart", "### Chart")]
+
+
+def test_pictures_once_and_folders_deleted(spark, tmp_path):
+    rows = [("j", "d1", "image/jpeg", b"x"), ("j", "d1", "image/jpeg", b"x"), ("j", "d2", "image/png", b"y"), ("k", "d1", "IMAGE/JPG", b"x"), ("k", "d3", "image/png", None)]
+    got = packages.visual_files(spark.createDataFrame(rows, "job_id string, digest string, media_type string, content binary")).collect()
+    assert sorted((r.job_id, r.path, bytes(r.content)) for r in got) == [("j", "images/visual/d1.jpg", b"x"), ("j", "images/visual/d2.png", b"y"), ("k", "images/visual/d1.jpg", b"x")]
+    for name in ("a/x.txt", "a/sub/y.txt", "b/z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("four")
+    jobs = spark.createDataFrame([("a",), ("gone",), ("a",)], "job_id string")
+    assert sorted(tuple(r) for r in packages.deleted(jobs, f"file://{tmp_path}").collect()) == [("a", 2, 8), ("gone", 0, 0)]
+    assert not (tmp_path / "a").exists() and (tmp_path / "b" / "z.txt").exists()
+    with pytest.raises(Exception, match="no folder can be named"):
+        packages.deleted(spark.createDataFrame([("../b",)], "job_id string"), str(tmp_path)).collect()
