@@ -1,4 +1,4 @@
-"""The service's reads as calls on tables."""
+"""The service as calls on tables; what is written in transactions is in ``durable.service``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docframe.functions import media as M
 from docframe.functions import text as T
 from docframe.operators import manifest, queue
+from docframe.sources import packages
+from docframe.sources.storage import Folder
 
 
 @dataclass
@@ -51,6 +53,35 @@ class Service:
         """Jobs to sweep."""
         return self.jobs.filter((F.col("status") != "expired") & (F.col("expires_at") <= F.lit(now).cast("timestamp")))
 
+    def package(self, job_id: str, root: str) -> DataFrame:
+        """(result_code, filename, content) of a job's archive below ``root``; the bytes only with code 200, 404 if there is no file."""
+        spark = self.jobs.sparkSession
+        one = self.jobs.filter(F.col("job_id") == job_id).select("job_id", M.result_code(F.col("status")).alias("code"))
+        name = f"{job_id}.zip"
+        if not M.safe_name(job_id) or not Folder(spark, root).exists(name):
+            return one.select(F.when(F.col("code") == 200, 404).otherwise(F.col("code")).alias("result_code"), F.lit(name).alias("filename"), F.lit(None).cast("binary").alias("content"))
+        archive = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}").select("content")
+        return one.join(archive.withColumn("job_id", F.lit(job_id)), "job_id", "left").select(F.col("code").alias("result_code"), F.lit(name).alias("filename"), F.when(F.col("code") == 200, F.col("content")).alias("content"))
+
+    def page_image(self, requests: DataFrame, pages: DataFrame) -> DataFrame:
+        """(job_id, page, dpi, error, media_id) for requests (job_id, page, dpi as JSON texts): what is wrong with them, or the page's image.
+
+        ``pages`` has (job_id, page int, media_id).
+        """
+        checked = requests.withColumn("error", M.page_image_error(F.col("page"), F.col("dpi")))
+        found = checked.withColumn("_n", F.when(F.col("error").isNull(), F.col("page").try_cast("int"))).join(pages.select(F.col("job_id").alias("_j"), F.col("page").alias("_p"), "media_id"), (F.col("job_id") == F.col("_j")) & (F.col("_n") == F.col("_p")), "left")
+        error = F.coalesce("error", F.when(F.col("media_id").isNull(), "page_not_found"))
+        return found.select("job_id", "page", "dpi", error.alias("error"), "media_id")
+
+    def cleanup(self, now: str, root: str) -> tuple[DataFrame, DataFrame]:
+        """Deletes the files of expired jobs below ``root``: (job_id, files, deleted_bytes), and the tombstones that take the jobs' place.
+
+        Nothing is deleted before the first result is written; write that, then the tombstones, so that a sweep that dies
+        is done again.
+        """
+        at = F.lit(now).cast("timestamp")
+        return packages.deleted(self.expired(now), root), queue.tombstones(self.jobs, at)
+
     def publish(self, files: DataFrame) -> DataFrame:
         """Publication rows of ``files`` that are not there yet."""
         new = manifest.publications(files).withColumn("state", F.lit("published"))

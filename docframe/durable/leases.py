@@ -55,7 +55,7 @@ def claim(items: DataFrame, attempts: DataFrame, workers: DataFrame, now: Column
     gone = items.filter(queue.exhausted(now)).join(asked.select("kind").distinct(), "kind", "left_semi")
     order = W.partitionBy("kind").orderBy("worker_id")
     turn = asked.withColumn("place", F.row_number().over(order))
-    due = queue.claims(items, now, most).join(turn, ["kind", "place"])
+    due = queue.claims(items, now, most, "job_id").join(turn, ["kind", "place"])
     number, until = F.col("attempt_count") + 1, _after(now, F.lit(seconds))
     token = T.keyed_id("lease", F.col("work_item_id"), number, F.col("worker_id"), F.unix_micros(now))
     taken = due.withColumn("_before", F.col("lease_token")).withColumns({"status": F.lit("leased"), "lease_owner": F.col("worker_id"), "lease_token": token, "lease_expires_at": until, "heartbeat_at": now, "attempt_count": number})

@@ -97,3 +97,8 @@ def page_image_error(page: Column, dpi: Column) -> Column:
 def result_code(status: Column) -> Column:
     """What asking for a result gives: the status code that goes with a job's state."""
     return F.when(status.isNull(), 404).when(status == "expired", 410).when(status.isin("completed", "completed_with_warnings"), 200).otherwise(409)
+
+
+def safe_name(name: str) -> bool:
+    """Whether a name is one of a file or folder, and not a way out of its folder."""
+    return name not in ("", ".", "..") and "/" not in name and "\\" not in name

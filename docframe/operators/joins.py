@@ -41,22 +41,30 @@ def rewrite_comments(docs: DataFrame, slides: DataFrame, key: str, text: str) ->
     return numbered.join(maps, key, "left").withColumn(text, F.array_join(F.zip_with(pieces, between, lambda a, b: F.concat(a, b)), "")).drop("_n", "_map")
 
 
+#: Phrases up to this number are sent to every task: a hash and an id each, some megabytes at most.
+SENT_PHRASES = 100_000
+
+
 def containing(docs: DataFrame, markers: DataFrame, doc: str, text: str, marker: str, phrase: str, lead: int = 4) -> DataFrame:
     """(doc, marker) where a text holds a phrase of words as whole words.
 
     Both sides are joined on the phrase's first ``lead`` words (all of them if it has fewer), and only those pairs are compared. So it is an
-    equi-join: no text meets a marker that it shares nothing with.
+    equi-join: no text meets a marker that it shares nothing with. Up to SENT_PHRASES phrases, counted first, go to the texts, whose runs
+    of words are then not shuffled; beyond that both sides are.
     """
     split = lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")
     words = docs.select(doc, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("_text")).withColumn("_w", F.split("_text", " "))
     # Texts are cut into runs of each length that occurs, of which there are at most ``lead``.
-    lengths = sorted(r[0] for r in markers.select(F.least(F.size(split(F.col(phrase))), F.lit(lead)).alias("_n")).filter("_n > 0").distinct().collect()) or [lead]
+    sizes = markers.select(F.least(F.size(split(F.col(phrase))), F.lit(lead)).alias("_n")).filter("_n > 0").groupBy("_n").count().collect()
+    lengths = sorted(r[0] for r in sizes) or [lead]
     run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(n)), " ")))
     runs = F.flatten(F.array(*[run(n) for n in lengths]))
-    leads = words.select(doc, "_text", F.explode(F.array_distinct(runs)).alias("_h"))
+    leads = words.select(doc, F.explode(F.array_distinct(runs)).alias("_h"))
     wanted = markers.select(marker, F.trim(F.regexp_replace(phrase, r"\s+", " ")).alias("_phrase"), F.xxhash64(F.array_join(F.slice(split(F.col(phrase)), 1, lead), " ")).alias("_h"))
+    keys = wanted.select(marker, "_h")
+    met = leads.join(F.broadcast(keys) if sum(r[1] for r in sizes) <= SENT_PHRASES else keys, "_h").select(doc, marker).distinct()
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return leads.select(doc, "_h").join(wanted.select(marker, "_h"), "_h").select(doc, marker).distinct().join(words.select(doc, "_text"), doc).join(wanted.select(marker, "_phrase"), marker).filter(F.contains(spaced("_text"), spaced("_phrase"))).select(doc, marker)
+    return met.join(words.select(doc, "_text"), doc).join(wanted.select(marker, "_phrase"), marker).filter(F.contains(spaced("_text"), spaced("_phrase"))).select(doc, marker)
 
 
 def containing_packed(pages: DataFrame, markers: DataFrame, key: str, page: str, text: str, marker: str, phrase: str) -> DataFrame:

@@ -11,10 +11,18 @@ TERMINAL = ("completed", "completed_with_warnings", "failed", "expired")
 STATUSES = ("queued", "running", "completed", "completed_with_warnings", "failed", "expired")
 
 
-def with_ready(items: DataFrame) -> DataFrame:
-    """``items`` (work_item_id, status, depends_on, ...) and whether all dependencies are done."""
+def with_ready(items: DataFrame, within: str | None = None) -> DataFrame:
+    """``items`` (work_item_id, status, depends_on, ...) and whether all dependencies are done.
+
+    Where items depend only on others with the same value of ``within`` (a job's id: its items are few), they are looked up
+    among these, in one shuffle; otherwise anywhere in the table.
+    """
+    unfinished = ~F.col("status").isin(*DONE)
+    if within:
+        waiting = F.collect_list(F.when(unfinished, F.col("work_item_id"))).over(W.partitionBy(within))
+        return items.withColumn("ready", ~F.arrays_overlap("depends_on", waiting))
     needs = items.select("work_item_id", F.explode("depends_on").alias("_need"))
-    open_items = items.filter(~F.col("status").isin(*DONE)).select(F.col("work_item_id").alias("_need"))
+    open_items = items.filter(unfinished).select(F.col("work_item_id").alias("_need"))
     blocked = needs.join(open_items, "_need", "left_semi").select("work_item_id").distinct().withColumn("_blocked", F.lit(True))
     return items.join(blocked, "work_item_id", "left").withColumn("ready", F.col("_blocked").isNull()).drop("_blocked")
 
@@ -30,10 +38,10 @@ def exhausted(now: Column) -> Column:
     return (F.col("status") == "leased") & (F.col("lease_expires_at") <= now) & (F.col("attempt_count") >= F.col("max_attempts"))
 
 
-def claims(items: DataFrame, now: Column, per_kind: int = 1) -> DataFrame:
+def claims(items: DataFrame, now: Column, per_kind: int = 1, within: str | None = None) -> DataFrame:
     """The next items of each kind, oldest due first: what that many workers would claim, each another."""
     order = W.partitionBy("kind").orderBy("available_at", "created_at", "work_item_id")
-    return with_ready(items).filter(eligible(now)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_kind)
+    return with_ready(items, within).filter(eligible(now)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_kind)
 
 
 def fenced(owner: Column, token: Column, attempt: Column, now: Column) -> Column:
@@ -47,9 +55,9 @@ def after_failure(now: Column, retryable: Column, delay: Column) -> list[Column]
     return [F.when(again, "pending").otherwise("failed").alias("status"), F.when(again, now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.greatest(delay, F.lit(0)).cast("decimal(18,6)"))).otherwise(F.col("available_at")).alias("available_at")]
 
 
-def metrics(items: DataFrame, now: Column) -> DataFrame:
+def metrics(items: DataFrame, now: Column, within: str | None = None) -> DataFrame:
     """Queue depth, oldest age, leases, retries and failures in one pass; items whose attempts are used up don't wait."""
-    rows = with_ready(items)
+    rows = with_ready(items, within)
     waiting = F.col("ready") & (F.col("status") == "pending") & (F.col("available_at") <= now)
     lapsed = F.col("ready") & (F.col("status") == "leased") & (F.col("lease_expires_at") <= now) & (F.col("attempt_count") < F.col("max_attempts"))
     since = F.when(waiting, F.col("available_at")).when(lapsed, F.col("lease_expires_at"))

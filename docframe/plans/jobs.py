@@ -65,13 +65,13 @@ def queue_position(t):
 @plans.add(f"SELECT work_item_id, job_id FROM {_READY} WHERE {_ELIGIBLE}")
 def dependency_antijoin(t):
     """Items that can be claimed."""
-    return queue.with_ready(_items(t)).filter(queue.eligible(_now())).select("work_item_id", "job_id")
+    return queue.with_ready(_items(t), "job_id").filter(queue.eligible(_now())).select("work_item_id", "job_id")
 
 
 @plans.add(f"SELECT kind, work_item_id, place FROM (SELECT kind, work_item_id, row_number() OVER (PARTITION BY kind ORDER BY available_at, created_at, work_item_id) AS place FROM {_READY} WHERE {_ELIGIBLE}) WHERE place <= 3")
 def claim_order(t):
     """T02, O03."""
-    return queue.claims(_items(t), _now(), 3).select("kind", "work_item_id", F.col("place").cast("bigint").alias("place"))
+    return queue.claims(_items(t), _now(), 3, "job_id").select("kind", "work_item_id", F.col("place").cast("bigint").alias("place"))
 
 
 @plans.add(f"""SELECT count(*) FILTER (WHERE ready AND (w OR p))::BIGINT AS queue_depth, greatest(coalesce(epoch_us(TIMESTAMP '{NOW}') - epoch_us(min(CASE WHEN ready AND w THEN available_at WHEN ready AND p THEN lease_expires_at END)), 0) / 1e6, 0.0) AS oldest_eligible_age_seconds,
@@ -80,7 +80,7 @@ def claim_order(t):
  FROM (SELECT *, status = 'pending' AND available_at <= TIMESTAMP '{NOW}' AS w, coalesce(status = 'leased' AND lease_expires_at <= TIMESTAMP '{NOW}' AND attempt_count < max_attempts, false) AS p FROM {_READY})""")
 def queue_metrics(t):
     """A03, X27."""
-    return queue.metrics(_items(t), _now())
+    return queue.metrics(_items(t), _now(), "job_id")
 
 
 @plans.add(f"SELECT work_item_id, job_id, 'work_item_attempts_exhausted' AS code FROM {_ITEMS} WHERE status = 'leased' AND lease_expires_at <= TIMESTAMP '{NOW}' AND attempt_count >= max_attempts")

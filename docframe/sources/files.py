@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,6 @@ def texts(sources: DataFrame) -> DataFrame:
     return sources.withColumn("text", F.when(good, F.decode("content", "UTF-8"))).withColumn("error", F.when(~good, "source_unreadable"))
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row for each JSON file that holds an object; broken files are left out."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("document"), F.try_parse_json("value").isNotNull().alias("fine"))
-    return raw.filter("fine and document is not null").select("path", "document.*")
-
-
 def raster_type(content: Column | str) -> Column:
     """Media type of PNG, JPEG, GIF, BMP, TIFF or WebP bytes by their first ones; null for others."""
     head = F.hex(F.substring(content, 1, 12))
@@ -38,3 +34,20 @@ def raster_type(content: Column | str) -> Column:
     for mark, kind in marks.items():
         out = out.when(head.startswith(mark), kind)
     return out
+
+
+def embedded_images(images: DataFrame, convert: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(..., content, media_type, error) of images (..., content): PNG and JPEG as they are, others put through ``convert``.
+
+    ``convert`` takes rows of other raster formats (with media_type) and gives them back as PNG, with null content where it
+    can't. Without it, and for bytes of no known format, there is an error and no content.
+    """
+    typed = images.withColumn("media_type", raster_type(F.col("content")))
+    own = typed.filter("media_type in ('image/png', 'image/jpeg')").withColumn("error", F.lit(None).cast("string"))
+    other = typed.filter("media_type is not null and media_type not in ('image/png', 'image/jpeg')")
+    none = F.lit(None).cast("binary")
+    made = convert(other).select(*typed.columns) if convert else other.withColumn("content", none)
+    failed = F.when(F.col("content").isNull(), "image_conversion_failed")
+    made = made.withColumn("error", failed).withColumn("media_type", F.when(F.col("content").isNotNull(), "image/png").otherwise(F.col("media_type")))
+    unknown = typed.filter("media_type is null").withColumns({"content": none, "error": F.lit("image_unreadable")})
+    return own.unionByName(made).unionByName(unknown)

@@ -4,7 +4,10 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from docframe import api
+from docframe.operators import manifest
 from docframe.sources import files, office, packages, registry
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -119,3 +122,38 @@ def test_pictures_once_and_folders_deleted(spark, tmp_path):
     assert not (tmp_path / "a").exists() and (tmp_path / "b" / "z.txt").exists()
     with pytest.raises(Exception, match="no folder can be named"):
         packages.deleted(spark.createDataFrame([("../b",)], "job_id string"), str(tmp_path)).collect()
+
+
+def test_images_of_other_formats_are_converted_or_reported(spark):
+    rows = [(1, b"\x89PNG\r\n\x1a\nrest"), (2, b"\xff\xd8\xffrest"), (3, b"GIF89a.."), (4, b"BMrest"), (5, b"text"), (6, None)]
+    images = spark.createDataFrame([(i, bytearray(c) if c else None) for i, c in rows], "id int, content binary")
+    found = lambda df: {r.id: (r.media_type, r.error, r.content is not None) for r in df.collect()}
+    assert found(files.embedded_images(images)) == {1: ("image/png", None, True), 2: ("image/jpeg", None, True), 3: ("image/gif", "image_conversion_failed", False), 4: ("image/bmp", "image_conversion_failed", False), 5: (None, "image_unreadable", False), 6: (None, "image_unreadable", False)}
+    to_png = lambda df: df.withColumn("content", F.when(F.col("media_type") == "image/gif", F.lit(b"png")))
+    assert found(files.embedded_images(images, to_png))[3] == ("image/png", None, True)
+    assert found(files.embedded_images(images, to_png))[4] == ("image/bmp", "image_conversion_failed", False)
+
+
+def test_page_images_and_diagnostics(spark):
+    there = spark.createDataFrame([("a", 1), ("b", 2)], "media_id string, n int")
+    assert sorted(map(tuple, manifest.page_images(there, spark.createDataFrame([("b", 3), ("c", 4)], "media_id string, n int")).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    record = spark.range(1).select(manifest.diagnostics(F.lit("p"), F.lit("1"), F.lit(False), F.create_map(F.lit("pages"), F.lit("3"))).alias("d")).first().d
+    assert (record.name, record.version, record.empty_result, record.extra) == ("p", "1", False, {"pages": "3"})
+
+
+def test_service_packages_images_and_sweeps(spark, tmp_path):
+    at = lambda s: F.lit(s).cast("timestamp")
+    jobs = spark.createDataFrame([("j", "completed"), ("q", "queued"), ("lost", "completed")], "job_id string, status string").withColumn("expires_at", F.when(F.col("job_id") == "j", at("2024-01-01")).otherwise(at("2025-01-01")))
+    none = spark.range(0)
+    service = api.Service(jobs, none, none, none, none)
+    (tmp_path / "j.zip").write_bytes(b"zip")
+    assert [tuple(service.package(x, str(tmp_path)).first())[:2] for x in ("j", "q", "lost")] == [(200, "j.zip"), (409, "q.zip"), (404, "lost.zip")]
+    assert bytes(service.package("j", str(tmp_path)).first().content) == b"zip" and service.package("../j", str(tmp_path)).count() == 0
+    requests = spark.createDataFrame([("j", "1", "144"), ("j", "2", "144"), ("j", "0", "144"), ("j", "1", "100")], "job_id string, page string, dpi string")
+    pages = spark.createDataFrame([("j", 1, "page-1")], "job_id string, page int, media_id string")
+    assert sorted((r.page, r.dpi, r.error, r.media_id) for r in service.page_image(requests, pages).collect()) == [("0", "144", "invalid_page", None), ("1", "100", "unsupported_page_image_dpi", None), ("1", "144", None, "page-1"), ("2", "144", "page_not_found", None)]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "f").write_text("abc")
+    gone, stones = service.cleanup("2024-06-01", str(tmp_path))
+    assert [tuple(r) for r in gone.collect()] == [("j", 1, 3)] and not (tmp_path / "j").exists()
+    assert [(r.job_id, r.status) for r in stones.collect()] == [("j", "expired")]
