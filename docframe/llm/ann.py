@@ -221,6 +221,19 @@ def _routed(vectors: DataFrame, router: Tree) -> DataFrame:
     return vectors.select("id", "x").mapInArrow(route, f"id long, part long, x {dict(vectors.dtypes)['x']}")
 
 
+def _refit_rows(routed: DataFrame, audited: list[int], sample: int) -> DataFrame:
+    """Up to ``sample`` rows of each part to fit its own network on, none of them audited.
+
+    About half as many again are drawn by a hash first, so that no part is put in order as a whole.
+    """
+    rows = routed.filter(~F.col("id").isin(audited))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # at most MOST rows
+    share = F.element_at(F.create_map(*[F.lit(v) for p, c in sizes.items() for v in (p, min(1.0, 1.5 * sample / c))]), F.col("part"))
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("id"), "id"))
+    return drawn.withColumn("_r", place).filter(F.col("_r") <= sample).drop("_r")
+
+
 def build(vectors: DataFrame, k: int = 5, parts: int | None = None, sample: int = SAMPLE, target: float = TARGET) -> Index | None:
     """Index over ``vectors`` (id long, x array); None without rows."""
     order = [F.xxhash64("id"), F.col("id")]
@@ -230,8 +243,11 @@ def build(vectors: DataFrame, k: int = 5, parts: int | None = None, sample: int
     n = vectors.count()
     x = units(pa.array(some["x"].tolist()))
     wanted = parts or min(MOST, max(PARTS, -(-n // PART)))
-    wanted = max(1, min(wanted, min(len(x), sample) // 32))
-    router = Tree(fit(x[:sample], wanted), wanted)
+    # The last of the sample are for the audit alone, also where the sample is the whole table.
+    fitted = min(sample, len(x) - min(AUDIT, len(x) // 8))
+    audited = some["id"].to_numpy()[fitted:].tolist()
+    wanted = max(1, min(wanted, fitted // 32))
+    router = Tree(fit(x[:fitted], wanted), wanted)
     if n > wanted * PART and wanted > 1:
         again = min(MOST, -(-n // (wanted * PART)))
 
@@ -242,15 +258,14 @@ def build(vectors: DataFrame, k: int = 5, parts: int | None = None, sample: int
             arrays = joined_arrays(made.w1.ravel(), made.b1, made.w2.ravel(), made.b2) if made else b""
             return pa.table({"part": table.column("part").slice(0, 1), "net": pa.array([arrays], pa.binary())})
 
-        first = _routed(vectors, router)
-        own = first.withColumn("_r", F.row_number().over(W.partitionBy("part").orderBy(*order))).filter(F.col("_r") <= sample).drop("_r")
+        own = _refit_rows(_routed(vectors, router), audited, sample)
         for row in own.groupBy("part").applyInArrow(refit, "part long, net binary").collect():  # at most MOST networks
             if row["net"]:
                 w1, b1, w2, b2 = split_arrays(bytes(row["net"]))
                 router.add(row["part"], Router(w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), -1), b2))
     rows = saved(_routed(vectors, router), "ann-index")
     counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # at most as many rows as parts
-    unseen = slice(sample, None) if len(x) > sample else slice(0, AUDIT)
+    unseen = slice(fitted, None) if len(x) > fitted else slice(0, AUDIT)
     probe, px = some["id"].to_numpy()[unseen], x[unseen]
     true = _ranked(rows.mapInArrow(_brute(probe, px, k), "query_id long, part long, vec_id long, score double"), k).select("query_id", "part").collect()
     place = np.argsort(np.argsort(-router.logits(px), axis=1), axis=1)
