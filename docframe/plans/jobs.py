@@ -135,12 +135,17 @@ def fanin_full_outer(t):
 _GONE = "status <> 'paused' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '1998-06-01'"
 
 
-@plans.add(f"""WITH m AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*)::BIGINT AS scanned, count(*) FILTER (WHERE {_GONE})::BIGINT AS expired, sum(CASE WHEN {_GONE} THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::BIGINT AS bytes FROM {_JOBS} GROUP BY 1)
-SELECT * FROM m UNION ALL SELECT 'all', sum(scanned)::BIGINT, sum(expired)::BIGINT, sum(bytes)::BIGINT FROM m""")
+@plans.add(f"""WITH m AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*)::BIGINT AS scanned, count(*) FILTER (WHERE {_GONE})::BIGINT AS expired, sum(CASE WHEN {_GONE} THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::BIGINT AS bytes, coalesce(string_agg(CASE WHEN {_GONE} THEN CAST(job_id AS VARCHAR) END, ',' ORDER BY job_id), '') AS ids FROM {_JOBS} GROUP BY 1)
+SELECT * FROM m UNION ALL SELECT 'all', sum(scanned)::BIGINT, sum(expired)::BIGINT, sum(bytes)::BIGINT, '' FROM m""")
 def cleanup_summary(t):
-    """What a sweep scans and deletes, by month and in all."""
-    months = _jobs(t).withColumn("e", _expired()).groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("scanned"), F.count_if("e").alias("expired"), F.sum(F.when(F.col("e"), F.round("o_totalprice").cast("bigint")).otherwise(0)).alias("bytes"))
-    return months.union(months.agg(F.lit("all"), F.sum("scanned"), F.sum("expired"), F.sum("bytes")))
+    """All expired ids, listed by month, and the sums of all months."""
+    jobs = _jobs(t).withColumn("e", _expired()).withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    # Ids are put in order and joined by runs of 65,536 numbers; a month's task only strings its runs together.
+    ids = F.array_join(F.array_sort(F.collect_list(F.when(F.col("e"), F.col("job_id")))).cast("array<string>"), ",")
+    runs = jobs.groupBy("month", F.shiftright("job_id", 16).alias("run")).agg(F.count("*").alias("scanned"), F.count_if("e").alias("expired"), F.sum(F.when(F.col("e"), F.round("o_totalprice").cast("bigint")).otherwise(0)).alias("bytes"), ids.alias("ids"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ids") != "", F.struct("run", "ids")))), lambda r: r["ids"]), ",")
+    months = runs.groupBy("month").agg(*[F.sum(c).alias(c) for c in ("scanned", "expired", "bytes")], listed.alias("ids"))
+    return months.union(months.agg(F.lit("all"), F.sum("scanned"), F.sum("expired"), F.sum("bytes"), F.lit("")))
 
 
 def _expired():

@@ -106,3 +106,13 @@ def test_short_phrases_are_found_in_long_texts(spark):
     docs = spark.createDataFrame([(1, "one two F2D-ab-1 four five six"), (2, "x F2D-ab-10 y z w v"), (3, "four five")], "d int, text string")
     markers = spark.createDataFrame([(1, "F2D-ab-1"), (2, "four five"), (3, "two F2D-ab-1 four five six"), (4, "absent")], "m int, phrase string")
     assert {tuple(r) for r in joins.containing(docs, markers, "d", "text", "m", "phrase").collect()} == {(1, 1), (1, 2), (3, 2), (1, 3)}
+
+
+def test_a_sweep_lists_every_expired_id_by_month(spark):
+    from docframe.plans import jobs
+
+    keys = [7, 65_535, 65_536, 200_000, 9, -3, 70_000]
+    rows = [(k, "F", dt.date(1995, 3, 1 + i), 10.4, i) for i, k in enumerate(keys)] + [(11, "P", dt.date(1995, 4, 1), 1.0, 1), (12, "O", dt.date(1998, 7, 1), 1.0, 1)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderdate date, o_totalprice double, o_custkey long")
+    got = {r.month: (r.scanned, r.expired, r.bytes, r.ids) for r in jobs.cleanup_summary(lambda _: orders).collect()}
+    assert got == {"1995-03": (7, 7, 70, ",".join(map(str, sorted(keys)))), "1995-04": (1, 0, 0, ""), "1998-07": (1, 0, 0, ""), "all": (9, 7, 70, "")}
