@@ -53,7 +53,7 @@ PARTS = 64
 #: Customers up to which the law of tables is tabled.
 EXACT = 1_024
 _END, _START = np.uint64(0xE5D1_0C4B_9A73_2F40), np.uint64(0x1F83_D9AB_FB41_BD6B)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _ROWS = "kind int, key long, other long, head binary, docs binary, stats array<long>"
 _ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("head", pa.binary()), ("docs", pa.binary()), ("stats", pa.list_(pa.int64()))])
 _FULL, _ACTIVE, _WORDS, _META, _SUMS, _OWN = range(6)
@@ -98,6 +98,21 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the different tokens, number of every token among them, its text); hashes are held of one slice at a time."""
+    vocabularies, numbers, docs, base = [], [], [], 0
+    for some in _sliced(texts):
+        token, _, doc = tokens(some)
+        own, number = np.unique(token, return_inverse=True)
+        vocabularies.append(own)
+        numbers.append(number.astype(np.int32))
+        docs.append(doc + np.int32(base))
+        base += len(some)
+    vocabulary = np.unique(np.concatenate(vocabularies))
+    numbers = [np.searchsorted(vocabulary, own).astype(np.int32)[number] for own, number in zip(vocabularies, numbers, strict=True)]
+    return vocabulary, np.concatenate(numbers), np.concatenate(docs)
+
+
 def _sliced(texts: list[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
@@ -137,33 +152,48 @@ def _messages(buckets: int, hot: np.ndarray):
     parts = _split(hot)
 
     def sent(piece: int, texts: list[bytes], ids: list, held: list[bool]) -> Iterator[dict]:
-        token, before, doc = tokens(texts)
-        vocabulary, word = np.unique(token, return_inverse=True)
-        word = word.astype(np.int32)
+        vocabulary, word, doc = numbered(texts)
         # Contexts are named by the words' numbers, the start's, or those of the parts of a split one.
         names = np.r_[vocabulary, _START, parts.ravel()]
-        rank = np.empty(len(names), dtype=np.int64)
+        rank = np.empty(len(names), dtype=np.int32)
         by_hash = np.argsort(names, kind="stable")
-        rank[by_hash] = np.arange(len(names))
+        rank[by_hash] = np.arange(len(names), dtype=np.int32)
         names = names[by_hash]
-        context = np.r_[np.int32(0), word[:-1]].astype(np.int64)
-        context[before == _START] = len(vocabulary)
+        context = np.r_[np.int32(len(vocabulary)), word[:-1]]
+        context[1:][word[:-1] == np.searchsorted(vocabulary, _END)] = len(vocabulary)
         if len(hot):
             known = np.searchsorted(hot, np.r_[vocabulary, _START]).clip(max=len(hot) - 1)
-            which = np.where(hot[known] == np.r_[vocabulary, _START], known, -1)[context]
-            part = (vocabulary >> np.uint64(58)).astype(np.int64)[word]
+            which = np.where(hot[known] == np.r_[vocabulary, _START], known, -1).astype(np.int32)[context]
+            part = (vocabulary >> np.uint64(58)).astype(np.int32)[word]
             context = np.where(which >= 0, len(vocabulary) + 1 + which * PARTS + part, context)
-        code = rank[context] * len(vocabulary) + word
-        del context, token, before
-        order = np.argsort(code, kind="stable")
-        code, doc = code[order], doc[order]
+            del which, part
+        code = rank[context].astype(np.int64)
+        del context
+        code *= len(vocabulary)
+        code += word
+        del word
         n_docs = np.bincount(doc, minlength=len(texts))
+        # Texts rise with the places of tokens, so sorting (pair, text) in place keeps the order of places.
+        if len(names) * len(vocabulary) * len(texts) < 1 << 63:
+            code *= len(texts)
+            code += doc
+            del doc
+            code.sort()
+            doc = np.empty(len(code), dtype=np.int32)
+            np.remainder(code, len(texts), out=doc, casting="unsafe")
+            code //= len(texts)
+        else:
+            order = np.argsort(code, kind="stable")
+            code, doc = code[order], doc[order]
+            del order
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         many = np.diff(np.r_[first, len(code)]).astype(np.int32)
         learn = np.add.reduceat((~np.array(held, dtype=bool))[doc].astype(np.int32), first)
-        pair_context, pair_word = code[first] // len(vocabulary), code[first] % len(vocabulary)
+        code = code[first]
+        pair_context, pair_word = (code // len(vocabulary)).astype(np.int32), (code % len(vocabulary)).astype(np.int32)
+        del code, first
         upto = np.r_[0, np.cumsum(many)]
-        for bucket, a, b in _steps(_deal(names[pair_context], buckets)):
+        for bucket, a, b in _steps(_deal(names, buckets).astype(np.int32)[pair_context]):
             own, at_own = np.unique(pair_context[a:b], return_inverse=True)
             words, at = np.unique(pair_word[a:b], return_inverse=True)
             head = joined_arrays(np.diff(names[own], prepend=np.uint64(0)), np.diff(vocabulary[words], prepend=np.uint64(0)), np.bincount(at_own).astype(np.int32), at.astype(np.int32), learn[a:b])
@@ -207,11 +237,17 @@ def _state(owners: int):
             codes.append(np.repeat(own, g[2]) * len(words) + mine[g[3]])
         learn = np.concatenate([g[4] for g in got])
         del got
-        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        ends = [len(c) for c in codes]
+        codes = np.concatenate(codes)
+        code = np.unique(codes)
+        at = np.searchsorted(code, codes).astype(np.int32)
+        del codes
         count = np.bincount(at, weights=learn, minlength=len(code)).astype(np.int64)
-        ends = np.cumsum([len(c) for c in codes])
-        del codes, learn
-        docs = joined_arrays(*[x for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)) for x in (np.array([table.column("other")[i].as_py()]), np.diff(at[a:b], prepend=0).astype(np.int32), *split_arrays(table.column("docs")[i].as_py()))])
+        del learn
+        ends = np.cumsum(ends)
+        # A piece's own arrays pass as they came.
+        other, sent = table.column("other"), table.column("docs")
+        docs = b"".join(joined_arrays(np.array([other[i].as_py()]), np.diff(at[a:b], prepend=0).astype(np.int32)) + sent[i].as_py() for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)))
         del at
         context, word = code // len(words), (code % len(words)).astype(np.int32)
         full = joined_arrays(np.diff(contexts, prepend=np.uint64(0)), np.bincount(context, minlength=len(contexts)).astype(np.int32), word, count)

@@ -2,10 +2,13 @@
 
 import math
 import random
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docframe.llm import language_model as L
@@ -159,3 +162,18 @@ def test_probabilities_sum_to_one():
     for u in range(3):
         own = np.r_[count[u] - 0.6 * tables[u], 0] + (L.STRENGTH + 0.6 * tables[u].sum()) * p
         assert own.sum() / (L.STRENGTH + count[u].sum()) == pytest.approx(1)
+
+
+def test_memory_of_a_piece(monkeypatch):
+    # Tokens of a piece are held as numbers; its pairs are sorted in place.
+    monkeypatch.setattr(L.TaskContext, "get", staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 500) % 50_000).encode() for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([i % 5 == 1 for i in range(2000)]), pa.array(texts)], names=["a", "b", "t"])
+    run = L._messages(50, np.sort(L.tokens([b"w1 w2"])[0][:2]))
+    L.tokens(texts[:1])
+    tracemalloc.start()
+    out = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r.num_rows for r in out) > 40 and peak < 60 * 501 * len(texts), peak
