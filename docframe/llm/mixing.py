@@ -9,7 +9,8 @@ Without a given budget, the smallest is taken that reads every document at least
 
 Where the last block stops is found from token sums of 4,096 hash ranges of each source, then of 4,096 parts of the one
 that holds the end, and so on for ``LEVELS`` levels; only the rows of one last part, a part in 4,096 ** LEVELS, are put in
-order. So a source with a third of all rows never meets in one task.
+order. So a source with a third of all rows never meets in one task. All of this is done on lengths and hashes; what the
+rows themselves are joined with is one row a source, the place where its last block ends, so that no text is shuffled.
 
 Defined cases: null source is a source of its own; null and empty texts have no tokens and are read once; a null id
 keeps its row; repeated rows are rows of their own; an empty table gives an empty result; extra columns are kept.
@@ -17,7 +18,7 @@ keeps its row; repeated rows are rows of their own; an empty table gives an empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,32 +82,52 @@ def plan(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, tar
     return saved(out.select("source", "tokens", "share", "weight", "quota", "full", "rest"), "mix-plan")
 
 
-def mix(docs: DataFrame, chosen: DataFrame, seed: int = SEED) -> DataFrame:
+def ends(lengths: DataFrame, chosen: DataFrame, seed: int = SEED) -> DataFrame:
+    """``chosen`` (a plan) with cut, open and before, null where no last block is read in part.
+
+    Of the last block, rows are read whose slot's first 12 * LEVELS bits are below ``cut``; of those at it, if ``open``,
+    as many as follow in order after ``before`` tokens. ``lengths`` holds (source, n_tokens, _mark).
+    """
+    at = chosen.filter("rest > 0").select(F.col("source").alias("_source"), F.col("full").alias("block"), "rest", F.lit(0).cast("long").alias("cut"), F.lit(True).alias("open"), F.lit(0).cast("long").alias("before"))
+    for level in range(LEVELS):
+        rows = lengths.join(at.filter("open"), lengths["source"].eqNullSafe(at["_source"])).withColumn("slot", _slot(seed))
+        if level:
+            rows = rows.filter(F.shiftrightunsigned("slot", 64 - 12 * level) == F.col("cut"))
+        part = F.shiftrightunsigned(F.shiftleft("slot", 12 * level), 52)
+        sums = rows.groupBy("_source", "block", "rest", "cut", "before", part.alias("_range")).agg(F.sum("n_tokens").alias("_sum"))
+        earlier = F.coalesce(F.sum("_sum").over(W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        # The last range that starts within the block is the one that holds its end, or ends with it.
+        last = sums.withColumn("_from", F.col("before") + earlier).filter("_from < rest").groupBy("_source", "block", "rest", "cut").agg(F.max(F.struct("_range", "_from", "_sum")).alias("_last"))
+        split = F.col("_last._from") + F.col("_last._sum") > F.col("rest")
+        found = last.select("_source", "block", "rest", (F.col("cut") * 4096 + F.col("_last._range") + F.when(split, 0).otherwise(1)).alias("cut"), split.alias("open"), F.col("_last._from").alias("before"))
+        at = saved(found.unionByName(at.filter("not open").withColumn("cut", F.col("cut") * 4096)), "mix-ends")
+    return saved(chosen.join(at.drop("block", "rest"), chosen["source"].eqNullSafe(at["_source"]), "left").drop("_source"), "mix-plan")
+
+
+def _slot(seed: int):
+    return F.xxhash64(F.lit(seed), F.col("block"), F.col("_mark"))
+
+
+def mix(docs: DataFrame, chosen: DataFrame, seed: int = SEED, lengths: DataFrame | None = None, n_tokens: Column | None = None) -> DataFrame:
     """Rows of ``docs`` (source, n_tokens, _mark long, ...) with block int and slot long: the order within the block.
 
-    ``chosen`` is a plan. Its join is left to Spark, which broadcasts it only below its measured threshold.
+    ``chosen`` is a plan. Its join is left to Spark, which broadcasts it only below its measured threshold. ``lengths`` holds
+    the same rows' (source, n_tokens, _mark), if written; ``docs`` may then lack n_tokens, which ``n_tokens`` works out.
     """
-    named = chosen.select(F.col("source").alias("_source"), "weight", "full", "rest")
+    named = ends(docs if lengths is None else lengths, chosen, seed).select(F.col("source").alias("_source"), "weight", "full", "rest", "cut", "open", "before")
     rows = docs.join(named, docs["source"].eqNullSafe(named["_source"])).drop("_source")
-    slot = F.xxhash64(F.lit(seed), F.col("block"), F.col("_mark"))
-    whole = rows.filter("full > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).withColumn("slot", slot).drop("full", "rest")
-    edge = rows.filter("rest > 0").withColumn("block", F.col("full")).withColumn("slot", slot).withColumn("_before", F.lit(0).cast("long"))
-    parts = [whole]
-    for level in range(LEVELS):
-        part = F.shiftrightunsigned(F.shiftleft("slot", 12 * level), 52).cast("int")
-        edge = edge.withColumn("_range", part)
-        sums = edge.groupBy("source", "_range").agg(F.sum("n_tokens").alias("_sum"), F.max("rest").alias("_rest"), F.max("_before").alias("_base"))
-        earlier = F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranges = saved(sums.withColumn("_from", F.col("_base") + earlier).filter("_from < _rest").select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_sum", "_from"), "mix-ranges")
-        near = edge.join(ranges, edge["source"].eqNullSafe(ranges["_s"]) & (edge["_range"] == ranges["_r"])).drop("_s", "_r", "_range", "_before")
-        parts.append(near.filter("_from + _sum <= rest").drop("full", "rest", "_sum", "_from"))
-        edge = near.filter("_from + _sum > rest").withColumn("_before", F.col("_from")).drop("_sum", "_from")
+    # Whole blocks and the one that is read in part in one pass, so that the rows are read once.
+    last = F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1)
+    rows = rows.withColumn("block", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))).withColumn("slot", _slot(seed))
+    place = F.shiftrightunsigned("slot", 64 - 12 * LEVELS)
+    held = ["full", "rest", "cut", "open", "before"]
+    whole = rows.filter((F.col("block") < F.col("full")) | (place < F.col("cut"))).drop(*held)
+    edge = rows.filter((F.col("block") == F.col("full")) & F.col("open") & (place == F.col("cut")))
+    if n_tokens is not None:
+        edge = edge.withColumn("n_tokens", n_tokens)
     order = W.partitionBy("source").orderBy("slot", "_mark", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    parts.append(edge.withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(order)).filter("_upto <= rest").drop("_upto", "full", "rest", "_before"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    edge = edge.withColumn("_upto", F.col("before") + F.sum("n_tokens").over(order)).filter("_upto <= rest").drop("_upto", *held)
+    return whole.unionByName(edge if n_tokens is None else edge.drop("n_tokens"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +140,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix reads it. Columns as in."""
-    # The row travels as one column, so that none of its names can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", word_count("text").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_mark"))
-    return mix(rows, plan(rows.select("source", "n_tokens"))).select("_row.*")
+    # The row travels as one column, so that none of its names can clash. Words are counted once.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", F.xxhash64("doc_id", "text").alias("_mark"))
+    lengths = saved(docs.select("source", word_count("text").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_mark")), "lengths")
+    return mix(rows, plan(lengths), lengths=lengths, n_tokens=word_count(F.col("_row.text"))).select("_row.*")

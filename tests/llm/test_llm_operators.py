@@ -509,3 +509,19 @@ def test_stage_finds_pairs_of_similarity_point_eight(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= set(range(0, 300, 2)) and len(kept) - 150 <= 15
+
+
+def test_mixing_joins_rows_with_one_row_a_source(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "concat('s', if(id % 10 = 0, 1, 0)) as source")
+    lengths = docs.select("source", word_count("text").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_mark"))
+    assert mixing.ends(lengths, mixing.plan(lengths)).count() == 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        mixed = mixing.mixed_documents(docs)
+        read = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(read) == 6000 and max(read.values()) == 2
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
