@@ -214,5 +214,6 @@ def package_archives(t):
     files = F.array(F.struct(F.lit("meta/source.json").alias("path"), F.to_json(F.struct("lang")).cast("binary").alias("content")), F.struct(F.lit("content.md").alias("path"), F.col("text").cast("binary").alias("content")))
     rows = d.select(F.concat(F.lit("job_"), F.col("doc_id").cast("string")).alias("job_id"), F.explode(files).alias("f")).select("job_id", "f.*")
     path = _folder(d, "packages")
-    zip_sink.write_packages(rows, path)
-    return zip_sink.read_packages(d.sparkSession, path).select("job_id", "path", F.sha2("content", 256).alias("sha256"))
+    folders = d.count() // 256 + 1
+    zip_sink.write_packages(rows, path, folders=folders)
+    return zip_sink.read_packages(d.sparkSession, path, folders).select("job_id", "path", F.sha2("content", 256).alias("sha256"))

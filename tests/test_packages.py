@@ -38,6 +38,31 @@ def test_archives_round_trip(spark, tmp_path):
     assert tree(tmp_path / "out") == ["job_0.zip"]
 
 
+def test_archives_spread_over_folders(spark, tmp_path):
+    rows = [(f"job_{i % 40}", f"f/{i:03}", os.urandom(20 + i)) for i in range(120)] + [("job_1", "none", None), ("job_2", "f/002", b"")]
+    path = str(tmp_path / "out")
+    zip_sink.write_packages(spark.createDataFrame(rows[:60], FILES).repartition(3), path, folders=6)
+    zip_sink.write_packages(spark.createDataFrame([r for r in rows if int(r[0][4:]) < 30], FILES), f"file://{path}", folders=6)
+    zip_sink.write_packages(spark.createDataFrame([r for r in rows if int(r[0][4:]) >= 30], FILES), path, folders=6)
+    names = tree(tmp_path / "out")
+    assert sorted(n.split("/")[1] for n in names) == sorted(f"job_{i}.zip" for i in range(40)) and {n.split("/")[0] for n in names} <= {f"jobs-{i:06}" for i in range(6)}
+    back = {(r.job_id, r.path): bytes(r.content) for r in zip_sink.read_packages(spark, path, folders=6).collect()}
+    assert back == {(j, p): c or b"" for j, p, c in rows[:120]} | {("job_1", "none"): b"", ("job_2", "f/002"): b""}
+    zip_sink.write_packages(spark.createDataFrame([("j", "a", b"x")], FILES), path, overwrite=True, folders=6)
+    assert [n.split("/")[1] for n in tree(tmp_path / "out")] == ["j.zip"]
+
+
+def test_the_driver_hears_of_folders_and_moves_them_whole(tmp_path):
+    writer = zip_sink.PackageWriter(str(tmp_path / "o"), False, spread=True)
+    message = writer.write(iter([{"job_id": f"j{i}", "path": "x", "content": b"1", "folder": f"jobs-{i // 50:06}"} for i in range(100)]))
+    assert message.files == [] and [n for _, n in message.folders] == ["jobs-000000", "jobs-000001"]
+    writer.commit([message])
+    assert len(tree(tmp_path / "o")) == 100 and not (tmp_path / "o" / "_temporary").exists()
+    for folders in (["jobs-0", "jobs-1", "jobs-0"], ["../up"], ["jobs-/x"], [None]):
+        with pytest.raises(ValueError, match="apart|named"):
+            writer.write(iter([{"job_id": f"j{i}", "path": "x", "content": b"", "folder": f} for i, f in enumerate(folders)]))
+
+
 def test_repeated_paths_and_no_rows(spark, tmp_path):
     zip_sink.write_packages(spark.createDataFrame([("j", "a", b"2"), ("j", "a", b"1"), ("j", "a", b"1")], FILES), str(tmp_path / "o"))
     assert [tuple(map(bytes, (r.content,))) for r in zip_sink.read_packages(spark, str(tmp_path / "o")).collect()] == [(b"1",)]
